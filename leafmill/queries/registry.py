@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from leafmill.queries import general  # noqa: E402
+
+MODULES: list = [general]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
