@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chunking
+from leafmill.llm import chunking, tokenizer
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,13 @@ def p1_embed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("rel_path", "chunk_idx", F.length("chunk").alias("n_chars"))
 
 
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's ids by the public vocabulary byte_bpe_50k."""
+    return tokenizer.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows}
+    return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
