@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chunking, tokenizer
+from leafmill.llm import chunking, leakage, tokenizer
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +29,14 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that reproduce evaluation passages, with the items."""
+    found = leakage.leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+    return found.select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows, "p6_ids": p6_ids}
+    return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
