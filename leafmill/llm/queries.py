@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chunking, leakage, tokenizer
+from leafmill.llm import chunking, leakage, shapes, tokenizer
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +35,13 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of which more than half is keywords, bare links, names or tags."""
+    return shapes.spam_pages(table(spark, sf, "documents"), "doc_id", "text").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
