@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chunking, leakage, shapes, tokenizer
+from leafmill.llm import chunking, leakage, names, shapes, tokenizer
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def p1_embed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("rel_path", "chunk_idx", F.length("chunk").alias("n_chars"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation."""
+    return names.variant_pairs(names.store_spellings(table(spark, sf, "store_docs")))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's ids by the public vocabulary byte_bpe_50k."""
     return tokenizer.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
@@ -41,7 +46,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
