@@ -43,7 +43,7 @@ _DEPTH = re.compile(r"^(?:\s*(?:>|&gt;|\||[A-Z]{1,3}>))+\s*")
 _DATE = r"(?:\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\d{1,2}\.? \w{3,10}\.? \d{4}|\w{3,10}\.? \d{1,2},? \d{4})"
 _SAID = r"(?:schrieb|wrote|a écrit|escribió|ha scritto|skrev|said)"
 _INTRO = re.compile(rf"^(?=.*(?:{_DATE}|\S+@\S+)).{{0,240}}\b{_SAID}\b.{{0,160}}:\s*$|^(?:Zitat von|Quoting|Citation de|Citando a)\b.{{1,200}}:\s*$", re.I)
-_OPENING = re.compile(rf"^(?:Am|On|At|Le|El|Il|Zitat von|Quoting|Citation de|Citando a)\b.{{3,}}|^.{{3,}}\b{_SAID}\b.*{_DATE}|^(?:[A-ZÄÖÜ][\w'.-]+,? ){{1,4}}(?:<\S+@\S+>)?\s*$|^.{{3,}}<\S*@\S*$|^.{{3,80}}\b{_SAID}\s*(?:am|on|le|el)?\s*$", re.I)
+_OPENING = re.compile(rf"^(?:Am|On|At|Le|El|Il|Zitat von|Quoting|Citation de|Citando a)\b.{{3,}}|^.{{3,}}\b{_SAID}\b.*{_DATE}|^(?:[A-ZÄÖÜ][\w'.-]*,? ?){{1,4}}(?:<\S+@\S+>)?\s*$|^.{{3,}}<\S*@\S*$|^.{{3,80}}\b{_SAID}\s*(?:am|on|le|el)?\s*$", re.I)
 _MARKER = re.compile(
     r"^\W*(?:Original message|Original-?nachricht|Ursprüngliche Nachricht|Weitergeleitete Nachricht|Forwarded message|Begin forwarded message|Anfang der weitergeleiteten Nachricht|Message d['’]origine|Message original|Message transféré|"
     r"Début du message (?:transféré|réexpédié)|Mensaje original|Mensaje reenviado|Inicio del mensaje reenviado|Messaggio originale)\W*$",
@@ -124,11 +124,11 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
         if _MARKER.match(text[i]) or _INTRO.match(text[i]):
             intro[i] = True
             continue
-        # An introduction that was broken into two or three lines.
-        for more in (1, 2):
+        # An introduction that was broken into several lines.
+        for more in (1, 2, 3):
             if at + more < len(live) and live[at + more] == i + more and not any(quoted[i : i + more + 1]):
                 joined = " ".join(text[i : i + more + 1])
-                if len(joined) < 260 and _OPENING.match(text[i]) and _INTRO.match(joined) and not _SENTENCE.search(text[i]):
+                if len(joined) < 260 and _OPENING.match(text[i]) and _INTRO.match(joined) and not (_SENTENCE.search(text[i]) and len(text[i].split()) > 6):
                     intro[i : i + more + 1] = [True] * (more + 1)
     header = [not quoted[i] and not blank[i] and bool(_HEADER.match(text[i])) for i in range(n)]
     i = 0
@@ -203,13 +203,21 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
         if len(words) <= 5 and len(t) <= 60:
             parts = [_plain(w) for w in words]
             parts = [p for p in parts if p]
-            name = bool(parts) and any(len(p) > 2 for p in parts) and all(len(p) == 1 or p in names or any(p in s for s in solid if len(p) > 2) for p in parts) and not t.endswith((",", ":"))
+            begins = {x[:1] for x in names}
+            name = bool(parts) and (any(len(p) > 2 for p in parts) or (len(t) <= 2 and set(parts) <= begins)) and all(len(p) == 1 or p in names or any(p in s for s in solid if len(p) > 2) for p in parts) and not t.endswith((",", ":"))
         out.append(
             Line(
                 False, intro[i], open_[i], match, closing, name, bool(_DELIMITER.match(t)), len(t) <= 70 and bool(_CONTACT.match(t)), len(t) <= 80 and bool(_DEVICE.match(t)), bool(_DISCLAIMER.search(t)),
                 bool(_POSTSCRIPT.match(t)), bool(_SENTENCE.search(t)) or len(words) >= 9, short, tail, first,
             )
         )
+    # A line without a sentence right above contact data is a role or a firm; one in capitals at the very end a name.
+    for i, line in enumerate(out):
+        if line is None or not line.short or line.sentence or line.closing or line.name or line.quoted or line.intro or text[i].endswith((",", ":")):
+            continue
+        below = out[i + 1] if i + 1 < n else None
+        if (below is not None and (below.contact or below.device)) or (i == live[-1] and i != live[0] and line.first and all(w[:1].isupper() for w in text[i].split()) and len(text[i].split()) <= 3):
+            out[i] = line._replace(name=True)
     return out
 
 
@@ -242,8 +250,8 @@ def _emit(line: Line) -> tuple[float, float, float, float]:
     if line.device:
         signature += 10.0
     if line.short and not line.sentence:
-        signature += 2.5
-    if line.sentence and not line.device:
+        signature += 4.2
+    if line.sentence and not (line.device or line.name or line.closing or line.contact):
         signature -= 3.0
     if line.legal:
         legal += 11.0
