@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chunking, leakage, mailtext, names, shapes, tokenizer
+from leafmill.llm import chunking, leakage, mailtext, names, neighbours, shapes, tokenizer
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return mailtext.authored_tokens(table(spark, sf, "store_docs"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of vectors of which one is among the 10 most similar to the other."""
+    return neighbours.similar_pairs(table(spark, sf, "chunk_vectors"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's ids by the public vocabulary byte_bpe_50k."""
     return tokenizer.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
@@ -56,7 +61,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows, "p2_found": p2_found, "p4_found": p4_found, "p4_tokens": p4_tokens, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows, "p2_found": p2_found, "p4_found": p4_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
