@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.queries import general  # noqa: E402
+from leafmill.queries import general, retrieval  # noqa: E402
 
-MODULES: list = [general]
+MODULES: list = [retrieval, general]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
