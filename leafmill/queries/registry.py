@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.queries import general, retrieval  # noqa: E402
+from leafmill.queries import general, metadata, retrieval  # noqa: E402
 
-MODULES: list = [retrieval, general]
+MODULES: list = [retrieval, metadata, general]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
