@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,23 @@ def get_session(app: str = "leafmill", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand the package to all workers, once per application, so that they need no path of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_leafmill_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="leafmill-"), "leafmill.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("leafmill", os.path.relpath(full, root)))
+    context.addPyFile(target)  # served by the driver to every executor, also to those that join later
+    context._leafmill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
