@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 MOST = 0.5
 #: So many shapes must hold at least DOMINANT of the spam-like characters.
 FEW_SHAPES, DOMINANT = 6, 0.7
+#: Short lines with a repeated word are a list of names from so many of one shape on.
+LISTED = 5
 #: A content word is repeated if it makes up this share of the page's content words, and occurs as often as REPEATS.
 REPEATED, REPEATS = 0.02, 3
 
@@ -39,7 +41,7 @@ FUNCTION_WORDS = frozenset(
     nur ob oder sein seine sich sie sind so über um und uns unser unsere unter vom von vor war waren warum was weil wenn
     wer wie wir wird wo wurde wurden zu zum zur zwischen
     au aux avec ce ces cette dans de des donc du elle en est et être il ils la le les leur lui mais ne nous on ou par
-    pas plus pour qu que qui sa sans se ses son sont sous sur un une vous
+    pas plus puis pour qu que qui sa sans se ses son sont sous sur un une vous
     al como con cuando de del desde dos el ella en entre es esta este ha han hasta la las lo los más me muy no nos o
     para pero por que se sin sobre son su sus también un una unos y ya""".split()
 )
@@ -56,6 +58,7 @@ _CHAT = re.compile(r"^\s*(?:\[?\d{1,2}[:.]\d\d(?:[:.]\d\d)?\]?|\[?\d{1,4}[-./]\d
 _CHECK = re.compile(r"^\s*(?:[-*+]|\d+[.)])?\s*(?:\[[ xX✓]?\]|[☐☑☒✓✔✗])\s")
 _TABLE = re.compile(r"^\s*\|.*\|\s*$|^\s*[-|+:=\s]{5,}$|(?:\t[^\t]*){2,}|(?:;[^;]*){3,}")
 _CODE = re.compile(r"[{}]\s*$|;\s*$|^\s*[\w.\[\]]+\s*[:+\-]?=\s*\S|^\s*(?:def|class|import|return|if|for|while|var|let|const|function|public|private)\b.*[({:;]|\w\(.*\)\s*$|^```")
+_BROKEN = re.compile(r"[,:;\d]")
 _CLOSING = re.compile(r"[.!?…:]['\"»“)]*\s*$")
 
 
@@ -76,7 +79,8 @@ def _bucket(n: int) -> int:
 def reduce_unit(unit: str, repeated: frozenset[str] | set[str]) -> Shape:
     """The shape of one line or sentence; ``repeated`` holds the page's repeated words."""
     links = len(_URL.findall(unit)) + unit.count("href=")
-    bare = _URL.sub(" ", _TAG.sub(" ", unit)) if links else unit
+    bare = _TAG.sub(" ", unit) if "<" in unit else unit
+    bare = _URL.sub(" ", bare) if links else bare
     words = _WORD.findall(bare)
     lower = [w.lower() for w in words]
     function = sum(w in FUNCTION_WORDS for w in lower)
@@ -105,18 +109,20 @@ def reduce_unit(unit: str, repeated: frozenset[str] | set[str]) -> Shape:
         kind = "code"
     elif not words:
         kind = "other"
-    elif content and again >= 0.6 * content and len(words) >= 2 and not (fluent and again < 0.9 * content and function >= 0.3 * len(words)):
+    elif content and again >= (0.85 if _CLOSING.search(unit) and _BROKEN.search(unit) else 0.6) * content and len(words) >= 2 and not (fluent and again < 0.9 * content and function >= 0.3 * len(words)):
         kind = "keywords"
-    elif len(parts) >= 4 and longest <= 6 and function < 0.25 * len(words):
+    elif len(parts) >= 4 and longest <= 6 and not fluent and function < 0.25 * len(words):
         kind = "phrases"
     elif function or _CLOSING.search(unit):
         kind = "sentence"
     else:
-        kind = "short"
+        kind = "names" if again and len(words) >= 2 else "short"
+    if kind == "link":
+        return Shape(kind, _bucket(len(words)), 0, "", min(links, 2))
     return Shape(kind, _bucket(len(words)), capitals, separators, min(links, 2))
 
 
-SPAM_KINDS = frozenset({"link", "keywords", "phrases"})
+SPAM_KINDS = frozenset({"link", "keywords", "phrases", "names"})
 
 
 def units(text: str) -> list[str]:
@@ -133,8 +139,13 @@ def page_shapes(text: str) -> dict[Shape, int]:
     total = sum(counts.values())
     repeated = {w for w, n in counts.items() if n >= REPEATS and n >= REPEATED * total}
     mass: dict[Shape, int] = defaultdict(int)
+    seen: Counter = Counter()
     for piece in pieces:
-        mass[reduce_unit(piece, repeated)] += len(piece.strip())
+        shape = reduce_unit(piece, repeated)
+        mass[shape] += len(piece.strip())
+        seen[shape] += 1
+    for shape in [s for s in mass if s.kind == "names" and seen[s] < LISTED]:
+        mass[shape._replace(kind="short")] += mass.pop(shape)
     return mass
 
 
