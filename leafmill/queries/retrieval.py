@@ -273,9 +273,9 @@ SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS most FROM
         "bm25_temporal": _temporal_sql(PHRASE, AS_OF),
         "bm25_temporal_fallback": _temporal_sql(NOWHERE, PHRASE_DAY),
         "snippets": r"""
-WITH s AS (SELECT row_id, body, coalesce(nullif(instr(lower(body), 'invoice'), 0), nullif(instr(lower(body), 'heizkostenabrechnung'), 0), nullif(instr(lower(body), 'protokoll'), 0), 0) AS at FROM store_docs WHERE body IS NOT NULL),
-w AS (SELECT *, greatest(at - 60, 1) AS st FROM s)
-SELECT row_id, CASE WHEN at > 0 THEN (CASE WHEN st > 1 THEN '…' ELSE '' END) || trim(regexp_replace(substr(body, st, 240), '[\r\n]+', ' ', 'g'), ' ') || (CASE WHEN st + 239 < length(body) THEN '…' ELSE '' END)
+WITH s AS (SELECT row_id, body, coalesce(nullif(instr(lower(body), 'invoice'), 0), nullif(instr(lower(body), 'heizkostenabrechnung'), 0), nullif(instr(lower(body), 'protokoll'), 0), 0) AS pos FROM store_docs WHERE body IS NOT NULL),
+w AS (SELECT *, greatest(pos - 60, 1) AS st FROM s)
+SELECT row_id, CASE WHEN pos > 0 THEN (CASE WHEN st > 1 THEN '…' ELSE '' END) || trim(regexp_replace(substr(body, st, 240), '[\r\n]+', ' ', 'g'), ' ') || (CASE WHEN st + 239 < length(body) THEN '…' ELSE '' END)
  ELSE trim(regexp_replace(substr(body, 1, 240), '[\r\n]+', ' ', 'g'), ' ') END AS snippet FROM w""",
         "cosine_topk": f"""
 WITH e AS (SELECT * FROM embeddings WHERE {_GOOD.format("embedding")}),
