@@ -50,9 +50,9 @@ def pool(vectors: DataFrame, vec: str) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, key: str, vec: str, query: list[float], k: int) -> DataFrame:
-    """``key, score`` of the ``k`` vectors closest to the query; ties by the smaller key."""
+    """``key, score`` of the ``k`` vectors closest to the query; ties by the smaller key, zero vectors left out."""
     length = float(np.linalg.norm(query)) or 1.0
-    scored = vectors.select(key, (dot(vec, [x / length for x in query]) / norm(vec)).alias("score"))
+    scored = vectors.select(key, F.try_divide(dot(vec, [x / length for x in query]), norm(vec)).alias("score")).where(F.col("score").isNotNull())
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
