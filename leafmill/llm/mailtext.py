@@ -81,7 +81,7 @@ class Line(NamedTuple):
     quoted: bool  # quotation mark at the start
     intro: bool  # introduces a quotation, or is part of such a line, a header or a marker
     open: bool  # stands after an introduction that no marked quotation follows
-    match: int  # 0 unknown, 1 not in the answered mail, 2 partly, 3 wholly
+    match: int  # 0 unknown, 1 not in the answered mail, 2 partly, 3 wholly, 4 as a line of its own, 5 as a short line beside such
     closing: bool
     name: bool
     delimiter: bool
@@ -180,7 +180,7 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
             own = _grams(t)
             if len(words) >= 4:
                 share = len(own & known[0]) / len(own)
-                match = 3 if share >= 0.75 else 2 if share >= 0.34 else 1
+                match = 4 if _plain(t) in known[1] else 3 if share >= 0.75 else 2 if share >= 0.34 else 1
             else:
                 match = 3 if _plain(t) in known[1] and _plain(t) else 1
         tail = False
@@ -211,6 +211,14 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
                 bool(_POSTSCRIPT.match(t)), bool(_SENTENCE.search(t)) or len(words) >= 9, short, tail, first,
             )
         )
+    # A short line that the answered mail has too, such as a greeting, says something only next to longer ones.
+    plain = [i for i in live if not quoted[i] and not intro[i]]
+    for at, i in enumerate(plain):
+        line = out[i]
+        if line.match < 3 or len(_WORDS.findall(text[i])) > 6:
+            continue
+        long = [j for j in (plain[at + 1 : at + 2] + (plain[at - 1 : at] if at and (plain[at - 1] == i - 1 or at + 1 == len(plain)) else [])) if out[j].match >= 3 and len(_WORDS.findall(text[j])) > 3]
+        out[i] = line._replace(match=5 if long else 2)
     # A line without a sentence right above contact data is a role or a firm; one in capitals at the very end a name.
     for i, line in enumerate(out):
         if line is None or not line.short or line.sentence or line.closing or line.name or line.quoted or line.intro or text[i].endswith((",", ":")):
@@ -218,6 +226,13 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
         below = out[i + 1] if i + 1 < n else None
         if (below is not None and (below.contact or below.device)) or (i == live[-1] and i != live[0] and line.first and all(w[:1].isupper() for w in text[i].split()) and len(text[i].split()) <= 3):
             out[i] = line._replace(name=True)
+    # So is a line that closely stands between two lines of a signature.
+    for i, line in enumerate(out):
+        above, below = (out[i - 1] if i else None), (out[i + 1] if i + 1 < n else None)
+        if line is None or above is None or below is None or line.quoted or line.intro or line.closing or line.legal or len(text[i]) > 60:
+            continue
+        if (above.name or above.delimiter or above.contact) and (below.contact or below.device) and not line.postscript:
+            out[i] = line._replace(name=True)
     return out
 
 
@@ -232,10 +247,14 @@ def _emit(line: Line) -> tuple[float, float, float, float]:
         quote += 7.0
     if line.open:
         quote += 5.0 if line.match != 1 else 3.2
-    if line.match == 3:
-        quote += 4.0 if not line.short else 1.0
+    if line.match == 5:
+        quote += 3.5
+    elif line.match == 4:
+        quote += 6.0
+    elif line.match == 3:
+        quote += 4.0
     elif line.match == 2:
-        quote += 1.5
+        quote += 1.5 if not line.short else 0.0
     elif line.match == 1 and not line.open:
         quote -= 2.0
     if line.closing:
@@ -257,7 +276,7 @@ def _emit(line: Line) -> tuple[float, float, float, float]:
         legal += 11.0
     elif not line.first:
         legal += 3.5
-    if line.postscript:
+    if line.postscript and line.match < 4:
         authored += 9.0
     return authored, quote, signature, legal
 
@@ -290,7 +309,7 @@ def decode(lines: list[Line | None]) -> list[int]:
     signed = [0] * (n + 1)
     warned = [0] * (n + 1)
     for i, h in enumerate(heads):
-        marked[i + 1] = marked[i] + (h.quoted or h.intro or h.tail or h.match == 3)
+        marked[i + 1] = marked[i] + (h.quoted or h.intro or h.tail or h.match >= 3)
         signed[i + 1] = signed[i] + (h.closing or h.name or h.delimiter or h.contact or h.device)
         warned[i + 1] = warned[i] + h.legal
     best = [[0.0] * 4] + [[-1e9] * 4 for _ in range(n)]

@@ -57,6 +57,7 @@ _LOG = re.compile(r"^\W*\d{1,4}[-:/.]\d{1,2}(?:[-:/.]\d{1,4})?\b.*\b(?:TRACE|DEB
 _CHAT = re.compile(r"^\s*(?:\[?\d{1,2}[:.]\d\d(?:[:.]\d\d)?\]?|\[?\d{1,4}[-./]\d{1,2}[-./]\d{1,4},? \d{1,2}:\d\d\]?)\s*[-–]?\s*[^:]{1,40}:|^\s*\*\*\w+\*\*:")
 _CHECK = re.compile(r"^\s*(?:[-*+]|\d+[.)])?\s*(?:\[[ xX✓]?\]|[☐☑☒✓✔✗])\s")
 _TABLE = re.compile(r"^\s*\|.*\|\s*$|^\s*[-|+:=\s]{5,}$|(?:\t[^\t]*){2,}|(?:;[^;]*){3,}")
+_ASSIGNED = re.compile(r"^\s*[\w.\[\]]+\s*[:+\-]?=\s*\S|^```|\w\([^()]*\)\s*[;{]?\s*$")
 _CODE = re.compile(r"[{}]\s*$|;\s*$|^\s*[\w.\[\]]+\s*[:+\-]?=\s*\S|^\s*(?:def|class|import|return|if|for|while|var|let|const|function|public|private)\b.*[({:;]|\w\(.*\)\s*$|^```")
 _BROKEN = re.compile(r"[,:;\d]")
 _CLOSING = re.compile(r"[.!?…:]['\"»“)]*\s*$")
@@ -105,7 +106,7 @@ def reduce_unit(unit: str, repeated: frozenset[str] | set[str]) -> Shape:
         kind = "path"
     elif _TABLE.match(unit) or len(_NUMBER.findall(bare)) > 1.5 * len(words):
         kind = "table"
-    elif _CODE.search(unit) and again < 0.5 * content:
+    elif _ASSIGNED.search(unit) or (_CODE.search(unit) and again < 0.5 * content):
         kind = "code"
     elif not words:
         kind = "other"
@@ -134,8 +135,13 @@ def page_shapes(text: str) -> dict[Shape, int]:
     """Characters per shape."""
     pieces = units(text)
     counts: Counter = Counter()
-    for piece in pieces:
-        counts.update(w for w in map(str.lower, _WORD.findall(_URL.sub(" ", _TAG.sub(" ", piece)))) if w not in FUNCTION_WORDS)
+    for piece, times in Counter(pieces).items():
+        found = [w.lower() for w in _WORD.findall(_URL.sub(" ", _TAG.sub(" ", piece)))]
+        own = [w for w in found if w not in FUNCTION_WORDS]
+        # A sentence that a page repeats as a whole is no repetition of its words.
+        times = 1 if len(found) >= 5 and len(own) < 0.75 * len(found) else times
+        for w in own:
+            counts[w] += times
     total = sum(counts.values())
     repeated = {w for w, n in counts.items() if n >= REPEATS and n >= REPEATED * total}
     mass: dict[Shape, int] = defaultdict(int)
