@@ -116,6 +116,12 @@ def live_entities(entities: Column | str) -> Column:
     return F.filter(col(entities), lambda e: ~F.coalesce(~e.valid, F.lit(False)))
 
 
+def add_tags(tags: Column | str, defaults: list[str]) -> Column:
+    """The tags as they are, then the default ones that are missing."""
+    own = F.coalesce(col(tags), F.array().cast("array<string>"))
+    return F.concat(own, F.array_except(F.array(*[F.lit(t) for t in defaults]).cast("array<string>"), own))
+
+
 def participant_names(participants: Column | str) -> Column:
     """Distinct ``Name <address>`` strings in order."""
     return F.array_distinct(F.transform(col(participants), lambda p: F.trim(F.concat_ws(" ", p["name"], F.concat(F.lit("<"), p.address, F.lit(">"))))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions import canonical, hashing, text
+from leafmill.functions import canonical, entities, hashing, text
 from leafmill.operators import amendments as am
 from leafmill.operators import documents as dm
 from leafmill.operators import objects as ob
@@ -205,11 +205,21 @@ def index_health(spark: SparkSession, sf: str) -> DataFrame:
     return dm.index_health(d.where("rel_path IS NOT NULL"), indexed, table(spark, sf, "chunk_vectors"))
 
 
+def default_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "store_docs").select("row_id", F.array_join(text.add_tags("tags", ["imported", "todo"]), "|").alias("tags"))
+
+
+def extracted_entities(spark: SparkSession, sf: str) -> DataFrame:
+    found = entities.extract(table(spark, sf, "store_docs"), "row_id", "body")
+    return found.where("type IN ('email', 'url', 'phone')").select("row_id", "type", "value", "canonical")
+
+
 def queries() -> dict:
     names = (
         canonical_values, entity_amounts, canon_emails, canon_references, content_hashes, thread_ids, resolve_amendments, pending_amendments, apply_amendments, producer_claims, retractable, queue_rollup,
         producers_refcount, plan_gc, plan_remove, link_names, cache_misses, snapshot_diff, newest_versions, embed_missing, managed_outdated, invalid_entities_by_type, concurrent_keys, thread_summary,
         directions, shared_references, chat_lines, validate_findings, participant_strings, day_buckets, index_health,
+        default_tags, extracted_entities,
     )
     return {f.__name__: f for f in names}
 
@@ -318,6 +328,11 @@ WITH p AS (SELECT row_id, i, trim(concat_ws(' ', p."name", '<' || p.address || '
 f AS (SELECT row_id, s, min(i) AS i FROM p GROUP BY 1, 2)
 SELECT row_id, coalesce(string_agg(s, '; ' ORDER BY i), '') AS people FROM store_docs LEFT JOIN f USING (row_id) WHERE participants IS NOT NULL GROUP BY 1""",
         "day_buckets": "SELECT CAST(CAST(timezone('Europe/Zurich', timezone('UTC', ts)) AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+        "default_tags": "SELECT row_id, array_to_string(list_concat(coalesce(tags, []), list_filter(['imported', 'todo'], lambda t: NOT list_contains(coalesce(tags, []), t))), '|') AS tags FROM store_docs",
+        "extracted_entities": " UNION ALL ".join(
+            f"SELECT DISTINCT row_id, '{kind}' AS type, value, {shown} AS canonical FROM (SELECT row_id, unnest(regexp_extract_all(body, {literal(entities.PATTERNS[kind])})) AS value FROM store_docs WHERE length(body) > 0)"
+            for kind, shown in (("email", "substr(value, 1, instr(value, '@')) || lower(substr(value, instr(value, '@') + 1))"), ("url", "value"), ("phone", "'+' || regexp_replace(value, '[^0-9]', '', 'g')"))
+        ),
         "index_health": """
 SELECT (SELECT count(DISTINCT rel_path) FROM store_docs) AS n_docs, (SELECT count(DISTINCT rel_path) FROM store_docs WHERE length(body) > 0) AS n_indexed, (SELECT count(DISTINCT rel_path) FROM chunk_vectors) AS n_embedded,
  (SELECT count(DISTINCT rel_path) FROM store_docs WHERE rel_path NOT IN (SELECT rel_path FROM store_docs WHERE length(body) > 0 AND rel_path IS NOT NULL)) AS n_stale""",

@@ -256,3 +256,45 @@ def test_hybrid_degrades_and_fuses(spark):
     assert trace["dense"] is None and fused.orderBy("rank").first().path == "c"
     assert "[1] C\nstones" in answer.context(fused, docs).first().context
     assert list(answer.stream_answer(['data: {"choices":[{"delta":{"content":"Hi<|END_TOKEN|>"}}]}', "data: [DONE]", ": ping"])) == ["Hi"]
+
+
+def test_entities(spark):
+    from leafmill.functions import entities
+
+    rows = spark.createDataFrame([(1, "Mail A.b@Example.ORG or https://x.example/a?b=1, CH93 0076 2011 6238 5295 7 and CH93 0076 2011 6238 5295 8, CHF 1'234.50, +41 79 123 45 67."), (2, None), (3, "")], "id long, body string")
+    got = {(r.type, r.canonical, r.valid) for r in entities.extract(rows, "id", "body").collect()}
+    assert ("email", "A.b@example.org", None) in got and ("iban", "CH9300762011623852957", True) in got and ("iban", "CH9300762011623852958", False) in got
+    assert ("amount", "1234.50", None) in got and ("phone", "+41791234567", None) in got and ("url", "https://x.example/a?b=1,", None) in got
+
+
+def test_embed_store_is_completed(spark, tmp_path):
+    from leafmill.plans import embed_build as eb
+
+    docs = spark.createDataFrame(
+        [("a.md", 1, "x" * 4000, "T", None, None, None), ("skip/b.md", 1, "y", None, None, None, None), ("c.md", 1, None, None, None, None, None), ("d.md", 1, None, "Head", ["t"], None, None)],
+        f"rel_path string, mtime_ns long, body string, title string, tags array<string>, entities array<{ENTITY}>, participants array<struct<address:string,name:string,role:string>>",
+    )
+    store_ = eb.EmbedStore(spark, f"file://{tmp_path}/e")
+    assert store_.load().count() == 0
+    model = dense.hashing_embedder(8)
+    assert eb.build(docs, store_, "m", model, ["skip"]) == 4
+    assert eb.build(docs, store_, "m", model, ["skip"]) == 0
+    assert {(r.rel_path, r.chunk_idx) for r in store_.load().collect()} == {("a.md", 0), ("a.md", 1), ("a.md", 2), ("d.md", 0)}
+    changed = docs.withColumn("mtime_ns", F.when(F.col("rel_path") == "d.md", 2).otherwise(F.col("mtime_ns")).cast("long"))
+    assert eb.build(changed, store_, "m", model, ["skip"]) == 1 and eb.live(store_, changed, "m").count() == 4
+
+
+def test_runs(spark):
+    from leafmill.plans import runs
+
+    book = runs.Runs()
+    first = book.begin(runs.Run("convert", "a"))
+    with pytest.raises(RuntimeError):
+        book.begin(runs.Run("scrub", "b"))
+    other = book.begin(runs.Run("index"))
+    book.end(first)
+    book.end(other)
+    assert [s for s in range(1, 12) if runs.reports(s, 0, 1)] == [1, 2, 3, 5, 8]
+    assert runs.guarded(spark, runs.Run("count"), lambda: spark.range(10).count(), 30) == 10
+    run = runs.Run("x", done=1, total=3)
+    assert run.eta() >= 0 and runs.Run("x").eta() is None
