@@ -73,6 +73,13 @@ _DISCLAIMER = re.compile(
 _POSTSCRIPT = re.compile(r"^\W*(?:P\.?\s?S\.?|N\.?B\.?|Nachtrag|Postscriptum)\s*[:.\-–]", re.I)
 _SENTENCE = re.compile(r"[.!?…]['\"»“)]*\s*$")
 _WORDS = re.compile(r"\w+")
+_OTHER = re.compile(r"[\W_]+")
+# Parts of the disclaimers' words; a line without any of them is not searched.
+_STEMS = tuple(
+    "vertraul|richtet sich allein|empfänger|adressat|untersagt|irrtüm|haftet|abmelden|sie erhalten|sitz der|denken sie|absendende|drucken|handelsreg|intended|recipient|reached you|liabil|consent|permitted|leave the list|joined a list|do not bind|"
+    "before you|views in|protected|privileg|sensitive|confiden|unsubscribe|erase all|protégé|légalement|réservé|merci de|prévenir|décline|imprim|désabonner|recevez|siège|privado|es legal|va dirigido|recibió|avise|rogamos|"
+    "no responde|darse de|recibe este|domicilio".split("|")
+)
 
 
 class Line(NamedTuple):
@@ -96,8 +103,8 @@ class Line(NamedTuple):
 
 
 def _plain(text: str) -> str:
-    text = unicodedata.normalize("NFKD", text.lower())
-    return "".join(c for c in text if c.isalnum())
+    text = text.lower()
+    return _OTHER.sub("", text if text.isascii() else unicodedata.normalize("NFKD", text))
 
 
 def _grams(text: str) -> set[tuple[str, ...]]:
@@ -121,16 +128,17 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
     for at, i in enumerate(live):
         if quoted[i]:
             continue
-        if _MARKER.match(text[i]) or _INTRO.match(text[i]):
+        ends = text[i].endswith(":")
+        if (len(text[i]) < 60 and _MARKER.match(text[i])) or (ends and _INTRO.match(text[i])):
             intro[i] = True
             continue
         # An introduction that was broken into several lines.
         for more in (1, 2, 3):
             if at + more < len(live) and live[at + more] == i + more and not any(quoted[i : i + more + 1]):
                 joined = " ".join(text[i : i + more + 1])
-                if len(joined) < 260 and _OPENING.match(text[i]) and _INTRO.match(joined) and not (_SENTENCE.search(text[i]) and len(text[i].split()) > 6):
+                if len(joined) < 260 and joined.endswith(":") and _OPENING.match(text[i]) and _INTRO.match(joined) and not (_SENTENCE.search(text[i]) and len(text[i].split()) > 6):
                     intro[i : i + more + 1] = [True] * (more + 1)
-    header = [not quoted[i] and not blank[i] and bool(_HEADER.match(text[i])) for i in range(n)]
+    header = [not quoted[i] and not blank[i] and ":" in text[i][:20] and bool(_HEADER.match(text[i])) for i in range(n)]
     i = 0
     while i < n:
         if header[i]:
@@ -194,7 +202,7 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
                 tail = bool(cross) and cross <= known[0]
             if not tail and not ended and not (match == 1 and len(words) >= 4):
                 tail = t[:1].islower() or (len(words) <= 6 and len(above) > 40) or (above_moved and i + 1 < n and quoted[i + 1])
-        short = len(words) <= 5 and len(t) <= 50
+        short, low = len(words) <= 5 and len(t) <= 50, t.lower()
         closing = False
         if len(t) <= 70 and (found := _CLOSING.match(t.replace("ß", "ss"))):
             rest = _plain(found["rest"])
@@ -207,7 +215,7 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
             name = bool(parts) and (any(len(p) > 2 for p in parts) or (len(t) <= 2 and set(parts) <= begins)) and all(len(p) == 1 or p in names or any(p in s for s in solid if len(p) > 2) for p in parts) and not t.endswith((",", ":"))
         out.append(
             Line(
-                False, intro[i], open_[i], match, closing, name, bool(_DELIMITER.match(t)), len(t) <= 70 and bool(_CONTACT.match(t)), len(t) <= 80 and bool(_DEVICE.match(t)), bool(_DISCLAIMER.search(t)),
+                False, intro[i], open_[i], match, closing, name, bool(_DELIMITER.match(t)), len(t) <= 70 and bool(_CONTACT.match(t)), len(t) <= 80 and bool(_DEVICE.match(t)), any(x in low for x in _STEMS) and bool(_DISCLAIMER.search(t)),
                 bool(_POSTSCRIPT.match(t)), bool(_SENTENCE.search(t)) or len(words) >= 9, short, tail, first,
             )
         )
