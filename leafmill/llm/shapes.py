@@ -12,12 +12,12 @@ shapes hold nearly all of that.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +48,9 @@ FUNCTION_WORDS = frozenset(
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)+/\S*", re.I)
 _TAG = re.compile(r"<[^<>]{1,300}>")
-_WORD = re.compile(r"\p{L}[\p{L}\p{M}'’]*")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _NUMBER = re.compile(r"\d[\d.,'’:]*")
-_SPLIT = re.compile(r"\r\n|[\n\r\f\v\x85\u2028\u2029]|<br\s*/?>|(?<=</a>)\s*|(?<=</li>)\s*|(?<=[.!?…])\s+(?=[\p{Lu}¿¡\"'«„])", re.I)
+_SPLIT = re.compile(r"\r\n|[\n\r\f\v\x85\u2028\u2029]|<br\s*/?>|(?<=</a>)\s*|(?<=</li>)\s*|(?<=[.!?…])\s+(?=[^\W\d_]|[¿¡\"'«„])")
 _SEPARATOR = re.compile(r"\s*[|,;•·>»#*~]+\s*|\s+[-–—/]+\s+|\s*::\s*|\s*->\s*|\t+")
 _PATH = re.compile(r"^\s*(?:[A-Za-z]:\\|~?/|\.{1,2}/|[\w.-]+/)(?:[^\s/\\]+[/\\])*[^/\\]*$")
 _LOG = re.compile(r"^\W*\d{1,4}[-:/.]\d{1,2}(?:[-:/.]\d{1,4})?\b.*\b(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|NOTICE|CRITICAL)\b|^\W*\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
@@ -77,50 +77,68 @@ def _bucket(n: int) -> int:
     return n if n < 4 else 4 + min(3, (n - 4) // 6)
 
 
-def reduce_unit(unit: str, repeated: frozenset[str] | set[str]) -> Shape:
-    """The shape of one line or sentence; ``repeated`` holds the page's repeated words."""
-    links = len(_URL.findall(unit)) + unit.count("href=")
-    bare = _TAG.sub(" ", unit) if "<" in unit else unit
+class Unit(NamedTuple):
+    """A line or sentence with what its shape is made from."""
+
+    text: str
+    bare: str  # without markup and links
+    words: list[str]  # lower case
+    capitals: int
+    function: int
+    links: int
+
+
+def read_unit(text: str) -> Unit:
+    """A unit's words and links."""
+    links = len(_URL.findall(text)) + text.count("href=") if "://" in text or "www." in text or "/" in text or "href=" in text else 0
+    bare = _TAG.sub(" ", text) if "<" in text else text
     bare = _URL.sub(" ", bare) if links else bare
-    words = _WORD.findall(bare)
-    lower = [w.lower() for w in words]
-    function = sum(w in FUNCTION_WORDS for w in lower)
-    content = len(words) - function
-    again = sum(w in repeated for w in lower)
-    capitals = 0 if not words else round(3 * sum(w[0].isupper() for w in words) / len(words))
+    found = _WORD.findall(bare)
+    words = [w.lower() for w in found]
+    return Unit(text, bare, words, sum(w[0].isupper() for w in found), len([w for w in words if w in FUNCTION_WORDS]), links)
+
+
+def reduce_unit(unit: Unit | str, repeated: frozenset[str] | set[str]) -> Shape:
+    """The shape of one line or sentence; ``repeated`` holds the page's repeated words."""
+    unit = read_unit(unit) if isinstance(unit, str) else unit
+    text, bare, words, upper, function, links = unit
+    size = len(words)
+    content = size - function
+    again = len([w for w in words if w in repeated]) if repeated else 0
+    capitals = round(3 * upper / size) if size else 0
+    fluent = function >= 2 and function >= 0.15 * size and size >= 5
+    if links:
+        return Shape("described" if size >= 8 and fluent else "link", _bucket(size), 0, "", min(links, 2))
+    if fluent and again < 0.6 * content:
+        return Shape("sentence", _bucket(size), capitals, "", 0)
     marks = _SEPARATOR.findall(bare)
     common = Counter(m.strip()[:1] or "t" for m in marks)
     separators = common.most_common(1)[0][0] if common else ""
-    parts = [p for p in (_WORD.findall(x) for x in _SEPARATOR.split(bare)) if p]
+    parts = [p for p in (_WORD.findall(x) for x in _SEPARATOR.split(bare)) if p] if marks else [words]
     longest = max(map(len, parts), default=0)
-    fluent = function >= 2 and function >= 0.15 * len(words) and len(words) >= 5
-    if links:
-        kind = "described" if len(words) >= 8 and fluent else "link"
-    elif _CHECK.match(unit):
+    if _CHECK.match(text):
         kind = "check"
-    elif _CHAT.match(unit):
+    elif _CHAT.match(text):
         kind = "chat"
-    elif _LOG.match(unit):
+    elif _LOG.match(text):
         kind = "log"
-    elif _PATH.match(unit):
+    elif _PATH.match(text):
         kind = "path"
-    elif _TABLE.match(unit) or len(_NUMBER.findall(bare)) > 1.5 * len(words):
+    elif _TABLE.match(text) or len(_NUMBER.findall(bare)) > 1.5 * size:
         kind = "table"
-    elif _ASSIGNED.search(unit) or (_CODE.search(unit) and again < 0.5 * content):
+    elif _ASSIGNED.search(text) or (_CODE.search(text) and again < 0.5 * content):
         kind = "code"
     elif not words:
         kind = "other"
-    elif content and again >= (0.85 if _CLOSING.search(unit) and _BROKEN.search(unit) else 0.6) * content and len(words) >= 2 and not (fluent and again < 0.9 * content and function >= 0.3 * len(words)):
+    elif content and again >= (0.85 if _CLOSING.search(text) and _BROKEN.search(text) else 0.6) * content and size >= 2 and not (fluent and again < 0.9 * content and function >= 0.3 * size):
         kind = "keywords"
-    elif len(parts) >= 4 and longest <= 6 and not fluent and function < 0.25 * len(words):
+    elif len(parts) >= 4 and longest <= 6 and not fluent and function < 0.25 * size:
         kind = "phrases"
-    elif function or _CLOSING.search(unit):
+    elif function or _CLOSING.search(text):
         kind = "sentence"
     else:
-        kind = "names" if again and len(words) >= 2 else "short"
-    if kind == "link":
-        return Shape(kind, _bucket(len(words)), 0, "", min(links, 2))
-    return Shape(kind, _bucket(len(words)), capitals, separators, min(links, 2))
+        kind = "names" if again and size >= 2 else "short"
+    return Shape(kind, _bucket(size), capitals, separators, 0)
 
 
 SPAM_KINDS = frozenset({"link", "keywords", "phrases", "names"})
@@ -133,23 +151,26 @@ def units(text: str) -> list[str]:
 
 def page_shapes(text: str) -> dict[Shape, int]:
     """Characters per shape."""
-    pieces = units(text)
+    pieces = Counter(units(text))
+    read = [(read_unit(piece), times) for piece, times in pieces.items()]
     counts: Counter = Counter()
-    for piece, times in Counter(pieces).items():
-        found = [w.lower() for w in _WORD.findall(_URL.sub(" ", _TAG.sub(" ", piece)))]
-        own = [w for w in found if w not in FUNCTION_WORDS]
-        # A sentence that a page repeats as a whole is no repetition of its words.
-        times = 1 if len(found) >= 5 and len(own) < 0.75 * len(found) else times
-        for w in own:
-            counts[w] += times
+    for unit, times in read:
+        size = len(unit.words)
+        own = [w for w in unit.words if w not in FUNCTION_WORDS] if unit.function else unit.words
+        if times > 1 and not (size >= 5 and len(own) < 0.75 * size):
+            for w in own:
+                counts[w] += times
+        else:
+            # A sentence that a page repeats as a whole is no repetition of its words.
+            counts.update(own)
     total = sum(counts.values())
     repeated = {w for w, n in counts.items() if n >= REPEATS and n >= REPEATED * total}
     mass: dict[Shape, int] = defaultdict(int)
     seen: Counter = Counter()
-    for piece in pieces:
-        shape = reduce_unit(piece, repeated)
-        mass[shape] += len(piece.strip())
-        seen[shape] += 1
+    for unit, times in read:
+        shape = reduce_unit(unit, repeated)
+        mass[shape] += len(unit.text.strip()) * times
+        seen[shape] += times
     for shape in [s for s in mass if s.kind == "names" and seen[s] < LISTED]:
         mass[shape._replace(kind="short")] += mass.pop(shape)
     return mass
