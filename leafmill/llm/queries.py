@@ -64,5 +64,27 @@ def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p1_embed_rows": p1_embed_rows, "p2_found": p2_found, "p4_found": p4_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
+_PLACES = "list_max(list_filter(range(2, 502), lambda k: {0}))"
+#: The pieces of p1_found one after the other; place k of the window w stands for the end s + 1499 + k.
+_PIECES = f"""
+WITH RECURSIVE r AS (
+ SELECT row_id, body AS t, length(body) AS n, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS s FROM store_docs WHERE length(body) > 2000
+ UNION ALL
+ SELECT row_id, t, n, i + 1, s + 1299 + coalesce(
+  {_PLACES.format("substr(w, k - 1, 2) = chr(10) || chr(10)")},
+  {_PLACES.format("substr(w, k, 1) = chr(10)")},
+  {_PLACES.format("substr(w, k, 1) = ' ' AND contains('.!?', substr(w, k - 1, 1))")},
+  {_PLACES.format("substr(w, k, 1) = ' '")}, 501)
+ FROM (SELECT row_id, t, n, i, s, substr(t, s + 1500, 501) AS w FROM r WHERE n - s > 2000)
+),
+pieces AS (SELECT row_id, i AS chunk_idx, s AS char_from, CASE WHEN n - s <= 2000 THEN n ELSE lead(s) OVER (PARTITION BY row_id ORDER BY i) + 200 END AS char_to FROM r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": _PIECES + " SELECT * FROM pieces",
+        "p1_embed_rows": _PIECES
+        + """
+SELECT rel_path, 0 AS chunk_idx, length(body) AS n_chars FROM store_docs WHERE length(body) BETWEEN 1 AND 2000
+UNION ALL SELECT rel_path, chunk_idx, char_to - char_from FROM pieces JOIN store_docs USING (row_id)""",
+    }
