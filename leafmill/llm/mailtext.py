@@ -38,8 +38,8 @@ atentamente|cordialmente|un saludo|un cordial saludo|saludos|saludos cordiales|u
 # The longest formula is tried first.
 _FORMULAS = "|".join(sorted(CLOSINGS.split("|"), key=len, reverse=True))
 
-_QUOTE = re.compile(r"^\s*(?:>|&gt;|\|(?!.*\|\s*$)|[A-Z]{1,3}>)")
-_DEPTH = re.compile(r"^(?:\s*(?:>|&gt;|\||[A-Z]{1,3}>))+\s*")
+_QUOTE = re.compile(r"^\s*(?:>|&gt;|\|(?!.*\|\s*$)|['\"(]?[A-Za-zÄÖÜäöüÉé.]{1,3}>)")
+_DEPTH = re.compile(r"^(?:\s*(?:>|&gt;|\||['\"(]?[A-Za-zÄÖÜäöüÉé.]{1,3}>))+\s*")
 _DATE = r"(?:\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\d{1,2}\.? \w{3,10}\.? \d{4}|\w{3,10}\.? \d{1,2},? \d{4})"
 _SAID = r"(?:schrieb|wrote|a écrit|escribió|ha scritto|skrev|said)"
 _INTRO = re.compile(rf"^(?=.*(?:{_DATE}|\S+@\S+)).{{0,240}}\b{_SAID}\b.{{0,160}}:\s*$|^(?:Zitat von|Quoting|Citation de|Citando a)\b.{{1,200}}:\s*$", re.I)
@@ -50,6 +50,7 @@ _MARKER = re.compile(
     re.I,
 )
 _HEADER = re.compile(r"^\s*[*_]{0,2}(?:Von|From|De|Gesendet|Sent|Envoyé|Enviado|An|To|À|A|Para|Kopie|Cc|Bcc|Betreff|Subject|Objet|Asunto|Datum|Date|Fecha|Antwort an|Reply-To)\s?:[*_]{0,2}\s*\S", re.I)
+_FROM = re.compile(r"^\s*[*_]{0,2}(?:Von|From|De)\s?:[*_]{0,2}\s.*\S+@\S+", re.I)
 _RULE = re.compile(r"^\s*(?:_{10,}|-{10,})\s*$")
 _CLOSING = re.compile(rf"^\W*(?:{_FORMULAS})\s*[,.!;–-]*\s*(?P<rest>.{{0,60}})$", re.I)
 _DELIMITER = re.compile(r"^\s*(?:--|—|–|_{2,}|={3,}|-{3,}|\*( ?\*){2,}|~{3,}|#{3,}|\+{3,})\s*$")
@@ -70,9 +71,10 @@ _DISCLAIMER = re.compile(
     r"es (?:confidencial|legal|privado)|va dirigido solo|lo recibió por error|avise al remitente|le rogamos que lo borre|no responde de|antes de imprimir|darse de baja|recibe este|domicilio social",
     re.I,
 )
-_POSTSCRIPT = re.compile(r"^\W*(?:P\.?\s?S\.?|N\.?B\.?|Nachtrag|Postscriptum)\s*[:.\-–]", re.I)
+_POSTSCRIPT = re.compile(r"^\W*(?:P\.?\s?-?[SD]\.?|N\.?B\.?|Nachtrag|Postscriptum|Posdata)\s*[:.\-–]", re.I)
 _SENTENCE = re.compile(r"[.!?…]['\"»“)]*\s*$")
 _WORDS = re.compile(r"\w+")
+_WRITTEN_OUT = re.compile(r"(?<=[aou])e")
 _OTHER = re.compile(r"[\W_]+")
 # Parts of the disclaimers' words; a line without any of them is not searched.
 _STEMS = tuple(
@@ -107,6 +109,11 @@ def _plain(text: str) -> str:
     return _OTHER.sub("", text if text.isascii() else unicodedata.normalize("NFKD", text))
 
 
+def _name(text: str) -> str:
+    """The same with umlauts that are written out read as such."""
+    return _WRITTEN_OUT.sub("", _plain(text))
+
+
 def _grams(text: str) -> set[tuple[str, ...]]:
     found = _WORDS.findall(text.lower())
     return {tuple(found[i : i + 3]) for i in range(len(found) - 2)}
@@ -121,7 +128,7 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
     n = len(lines)
     text = [line.strip("\r\n\t ﻿ ") for line in lines]
     bare = [_DEPTH.sub("", t) if _QUOTE.match(t) else t for t in text]
-    blank = [not b for b in bare]
+    blank = [not b or not b.strip("|> ") for b in bare]
     quoted = [bool(_QUOTE.match(t)) for t in text]
     intro = [False] * n
     live = [i for i in range(n) if not blank[i]]
@@ -136,7 +143,7 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
         for more in (1, 2, 3):
             if at + more < len(live) and live[at + more] == i + more and not any(quoted[i : i + more + 1]):
                 joined = " ".join(text[i : i + more + 1])
-                if len(joined) < 260 and joined.endswith(":") and _OPENING.match(text[i]) and _INTRO.match(joined) and not (_SENTENCE.search(text[i]) and len(text[i].split()) > 6):
+                if len(joined) < 260 and joined.endswith(":") and _OPENING.match(text[i]) and _INTRO.match(joined) and not (_SENTENCE.search(text[i]) and len(text[i].split()) > 12):
                     intro[i : i + more + 1] = [True] * (more + 1)
     header = [not quoted[i] and not blank[i] and ":" in text[i][:20] and bool(_HEADER.match(text[i])) for i in range(n)]
     i = 0
@@ -145,7 +152,7 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
             j = i
             while j < n and (header[j] or (j > i and not blank[j] and not quoted[j] and j + 1 < n and header[j + 1] and len(text[j]) < 80)):
                 j += 1
-            if sum(header[i:j]) >= 2:
+            if sum(header[i:j]) >= 2 or _FROM.match(text[i]):
                 intro[i:j] = [True] * (j - i)
             i = j
         else:
@@ -170,8 +177,8 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
     if parent:
         clean = _unquoted(parent)
         known = _grams(clean), {_plain(x) for x in clean.split("\n")}
-    names = [_plain(w) for s in sender for w in re.split(r"[\s,;.@_-]+", s.split("@")[0]) if len(w) > 1]
-    solid = [_plain(s.split("@")[0]) for s in sender]
+    names = [_name(w) for s in sender for w in re.split(r"[\s,;.@_-]+", s.split("@")[0]) if len(w) > 1]
+    solid = [_name(s.split("@")[0]) for s in sender]
     out: list[Line | None] = []
     for i in range(n):
         if blank[i]:
@@ -205,11 +212,11 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
         short, low = len(words) <= 5 and len(t) <= 50, t.lower()
         closing = False
         if len(t) <= 70 and (found := _CLOSING.match(t.replace("ß", "ss"))):
-            rest = _plain(found["rest"])
+            rest = _name(found["rest"])
             closing = not rest or any(rest.startswith(x) or x.startswith(rest) for x in names + solid if len(x) > 2) or (len(_WORDS.findall(found["rest"])) <= 2 and found["rest"][:1].isupper() and t[len(t) - len(found["rest"]) - 2 :][:1] in ",.; ")
         name = False
         if len(words) <= 5 and len(t) <= 60:
-            parts = [_plain(w) for w in words]
+            parts = [_name(w) for w in words]
             parts = [p for p in parts if p]
             begins = {x[:1] for x in names}
             name = bool(parts) and (any(len(p) > 2 for p in parts) or (len(t) <= 2 and set(parts) <= begins)) and all(len(p) == 1 or p in names or any(p in s for s in solid if len(p) > 2) for p in parts) and not t.endswith((",", ":"))
@@ -227,12 +234,17 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
             continue
         long = [j for j in (plain[at + 1 : at + 2] + (plain[at - 1 : at] if at and (plain[at - 1] == i - 1 or at + 1 == len(plain)) else [])) if out[j].match >= 3 and len(_WORDS.findall(text[j])) > 3]
         out[i] = line._replace(match=5 if long else 2)
-    # A line without a sentence right above contact data is a role or a firm; one in capitals at the very end a name.
-    for i, line in enumerate(out):
-        if line is None or not line.short or line.sentence or line.closing or line.name or line.quoted or line.intro or text[i].endswith((",", ":")):
+    # A line without a sentence right above contact data is a role or a firm, one that the next lines repeat with more is a
+    # name, and so is one in capitals at the very end.
+    for at in range(len(live) - 1, -1, -1):
+        i, line = live[at], out[live[at]]
+        if not line.short or line.sentence or line.closing or line.name or line.quoted or line.intro or text[i].endswith((",", ":")):
             continue
         below = out[i + 1] if i + 1 < n else None
-        if (below is not None and (below.contact or below.device)) or (i == live[-1] and i != live[0] and line.first and all(w[:1].isupper() for w in text[i].split()) and len(text[i].split()) <= 3):
+        words = set(_WORDS.findall(text[i].lower()))
+        more = any(words < set(_WORDS.findall(text[j].lower())) and out[j].short and not out[j].quoted for j in live[at + 1 : at + 3]) if 0 < len(words) <= 3 else False
+        last = i == live[-1] and at and line.first and all(w[:1].isupper() for w in text[i].split()) and len(words) <= 3
+        if (below is not None and (below.contact or below.device or (below.name and not below.closing))) or (more and at) or last:
             out[i] = line._replace(name=True)
     # So is a line that closely stands between two lines of a signature.
     for i, line in enumerate(out):
@@ -314,10 +326,14 @@ def decode(lines: list[Line | None]) -> list[int]:
         for i in range(n):
             sums[k][i + 1] = sums[k][i] + scores[i][k]
     marked = [0] * (n + 1)  # units that hold a cue of a quotation
+    strong = [0] * (n + 1)  # the same, without what only the answered mail tells
+    told = [0] * (n + 1)  # lines that the answered mail has
     signed = [0] * (n + 1)
     warned = [0] * (n + 1)
     for i, h in enumerate(heads):
         marked[i + 1] = marked[i] + (h.quoted or h.intro or h.tail or h.match >= 3)
+        strong[i + 1] = strong[i] + (h.quoted or h.intro or h.tail or h.open)
+        told[i + 1] = told[i] + (len(units[i]) if h.match >= 3 else 0)
         signed[i + 1] = signed[i] + (h.closing or h.name or h.delimiter or h.contact or h.device)
         warned[i + 1] = warned[i] + h.legal
     best = [[0.0] * 4] + [[-1e9] * 4 for _ in range(n)]
@@ -332,6 +348,9 @@ def decode(lines: list[Line | None]) -> list[int]:
                     score += 0.0 if h.quoted or h.intro or h.tail else -1.5
                     if marked[j] == marked[i]:
                         score -= 2.0
+                    elif strong[j] == strong[i] and told[j] - told[i] < 2:
+                        # One line in common may be chance.
+                        score -= 1.5
                 elif k == SIGNATURE:
                     # How it begins, and how long signatures are.
                     score += 1.0 if h.closing or h.delimiter else 0.0 if h.name or h.contact or h.device else -4.0
