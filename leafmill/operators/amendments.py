@@ -116,15 +116,20 @@ def apply(docs: DataFrame, resolved: DataFrame, doc: str = "row_id", tags: str =
     """
     kind = docs.schema[entities].dataType.simpleString()
     hashed = resolved.where(F.col("doc").isNotNull()).withColumn("hash", assertion_hash())
-    records = hashed.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("emitted_by", "hash", "fields"))).alias("records"))
-    new_tags = F.flatten(F.transform("records", lambda r: F.coalesce(r.fields.tags, F.array().cast("array<string>"))))
-    new_ents = F.flatten(F.transform("records", lambda r: F.coalesce(r.fields.entities, F.array().cast(kind))))
-    joined = docs.join(records, docs[doc] == records.doc, "left").drop("doc")
-    touched = F.col("records").isNotNull()
+    # Repeats go before a document's values are gathered, so what is gathered is as small as the result.
+    new_tags = hashed.select("doc", F.explode("fields.tags").alias("tag")).where(F.col("tag").isNotNull()).distinct().groupBy("doc").agg(F.collect_list("tag").alias("__tags"))
+    each = hashed.select("doc", "emitted_by", "hash", F.posexplode("fields.entities").alias("place", "entity"))
+    each = each.withColumn("key", entity_key(F.col("entity"))).withColumn("first", F.struct("emitted_by", "hash", "place"))
+    one = each.groupBy("doc", "key").agg(F.min("first").alias("first"), F.min_by("entity", "first").alias("entity"))
+    gathered = F.transform(F.sort_array(F.collect_list(F.struct("first", "key.scope", "key.type", "key.value", "entity"))), lambda e: e.entity)
+    new_ents = one.groupBy("doc").agg(gathered.alias("__entities"))
+    records = hashed.select("doc").distinct().join(new_tags, "doc", "left").join(new_ents, "doc", "left")
+    joined = docs.join(records, docs[doc] == records.doc, "left")
+    touched = F.col("doc").isNotNull()
     return (
-        joined.withColumn(tags, F.when(touched, merge_tags(tags, new_tags)).otherwise(F.col(tags)))
-        .withColumn(entities, F.when(touched, merge_entities(entities, new_ents, kind)).otherwise(F.col(entities)))
-        .drop("records")
+        joined.withColumn(tags, F.when(touched, merge_tags(tags, "__tags")).otherwise(F.col(tags)))
+        .withColumn(entities, F.when(touched, merge_entities(entities, "__entities", kind)).otherwise(F.col(entities)))
+        .drop("doc", "__tags", "__entities")
     )
 
 

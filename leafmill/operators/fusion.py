@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leafmill.operators.ranking import rank_rows
+
 RRF_K = 60
 
 
@@ -25,8 +27,8 @@ def rrf(lists: DataFrame, group: str | None = None) -> DataFrame:
         .agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.max("score").alias("score"), F.min(F.struct("list_no", "rank")).alias("first"))
         .withColumn("rrf", F.round("rrf", 9))
     )
-    order = Window.partitionBy(*keys).orderBy(F.desc("rrf"), F.asc("first.list_no"), F.asc("first.rank"), F.asc("path"))
-    return fused.withColumn("rank", F.row_number().over(order)).select(*keys, "rank", "path", "score", "rrf")
+    order = [F.desc("rrf"), F.asc("first.list_no"), F.asc("first.rank"), F.asc("path")]
+    return rank_rows(fused, keys, order).select(*keys, "rank", "path", "score", "rrf")
 
 
 def as_list(ranked: DataFrame, number: int) -> DataFrame:

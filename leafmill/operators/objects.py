@@ -27,6 +27,11 @@ def producers(rows: DataFrame) -> DataFrame:
     return one.groupBy("object_sha").agg(F.sort_array(F.collect_list(F.struct("message", "p.plugin", "p.source_sha"))).alias("producers"))
 
 
+def producer_counts(rows: DataFrame) -> DataFrame:
+    """``object_sha, n, first_message``: how many messages each object comes from; no list is made, however many there are."""
+    return rows.groupBy("object_sha").agg(F.countDistinct("message").alias("n"), F.min("message").alias("first_message"))
+
+
 def add_producer(rows: DataFrame, new: DataFrame) -> DataFrame:
     """Producer rows with new ones; of one source the latest given wins."""
     both = rows.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
@@ -60,12 +65,14 @@ def link_names(rows: DataFrame) -> DataFrame:
     The smallest SHA-256 keeps the plain name, so the result does not depend on order.
     """
     one = rows.groupBy("folder", "sha256").agg(F.min("name").alias("name"))
-    rank = F.row_number().over(Window.partitionBy("folder", "name").orderBy("sha256"))
+    # Joined by the whole row, so a name that many contents share makes no hot key.
+    plain = one.groupBy("folder", "name").agg(F.min("sha256").alias("sha256")).withColumn("plain", F.lit(True))
     dot = F.length("name") - F.instr(F.reverse("name"), ".") + 1
     has = (F.instr(F.reverse("name"), ".") > 0) & (dot > 1)
     suffix = F.concat(F.lit("_"), F.substring("sha256", 1, 8))
     other = F.when(has, F.concat(F.substr("name", F.lit(1), dot - 1), suffix, F.substr("name", dot, F.length("name")))).otherwise(F.concat("name", suffix))
-    return one.withColumn("rn", rank).select("folder", "sha256", F.when(F.col("rn") == 1, F.col("name")).otherwise(other).alias("name"))
+    marked = one.join(plain, ["folder", "name", "sha256"], "left")
+    return marked.select("folder", "sha256", F.when(F.col("plain"), F.col("name")).otherwise(other).alias("name"))
 
 
 def canonical_index(links: DataFrame) -> DataFrame:

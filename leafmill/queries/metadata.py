@@ -111,8 +111,7 @@ def _producers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def producers_refcount(spark: SparkSession, sf: str) -> DataFrame:
-    p = ob.producers(_producers(spark, sf))
-    return p.select("object_sha", F.size("producers").cast("bigint").alias("n"), F.col("producers")[0].message.alias("first_message"))
+    return ob.producer_counts(_producers(spark, sf))
 
 
 def plan_gc(spark: SparkSession, sf: str) -> DataFrame:

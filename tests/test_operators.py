@@ -298,3 +298,16 @@ def test_runs(spark):
     assert runs.guarded(spark, runs.Run("count"), lambda: spark.range(10).count(), 30) == 10
     run = runs.Run("x", done=1, total=3)
     assert run.eta() >= 0 and runs.Run("x").eta() is None
+
+
+def test_rank_rows_spans_parts(spark):
+    from leafmill.operators.ranking import rank_rows
+
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN CAST(NULL AS STRING) WHEN id % 3 = 1 THEN 'a' ELSE concat('g', id % 50) END AS g", "id", "(id * 7919) % 1000 AS v").repartition(5)
+    got = rank_rows(rows, ["g"], [F.desc("v"), F.asc("id")]).collect()
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (-r.v, r.id)):
+        want.setdefault(r.g, []).append(r.id)
+    assert len(got) == 3000 and all(want[r.g][r["rank"] - 1] == r.id for r in got)
+    assert rank_rows(rows, [], [F.asc("id")]).where("rank <> id + 1").count() == 0
+    assert rank_rows(rows.limit(0), ["g"], [F.asc("id")]).count() == 0
