@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -27,23 +28,6 @@ def get_session(app: str = "leafmill", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def ship(spark: SparkSession) -> None:
-    """Hand the package to all workers, once per application, so that they need no path of their own."""
-    context = spark.sparkContext
-    if getattr(context, "_leafmill_shipped", False):
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="leafmill-"), "leafmill.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.join("leafmill", os.path.relpath(full, root)))
-    context.addPyFile(target)  # served by the driver to every executor, also to those that join later
-    context._leafmill_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -70,6 +54,40 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
+def put_file(spark: SparkSession, name: str, content: bytes) -> tuple[str, bool]:
+    """Write a small file to the shared folder: (path or URI, whether it is an ordinary path that all machines see)."""
+    folder = shared_dir(spark)
+    if folder.startswith("file:") or "://" not in folder:
+        local = "/" + folder.removeprefix("file:").lstrip("/")
+        os.makedirs(local, exist_ok=True)
+        with open(f"{local}/{name}", "wb") as f:
+            f.write(content)
+        return f"{local}/{name}", True
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(content))
+    stream.close()
+    return f"{folder}/{name}", False
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand the package to all workers, once per application, so that they need no path of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_leafmill_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("leafmill", os.path.relpath(full, root)))
+    # Executors that join later get it too.
+    context.addPyFile(put_file(spark, f"leafmill-{uuid.uuid4().hex}.zip", packed.getvalue())[0])
+    context._leafmill_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` read again from a reliable checkpoint, its lineage cut."""
     context = df.sparkSession.sparkContext
