@@ -56,18 +56,18 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
 
 def put_file(spark: SparkSession, name: str, content: bytes) -> tuple[str, bool]:
     """Write a small file to the shared folder: (path or URI, whether it is an ordinary path that all machines see)."""
-    folder = shared_dir(spark)
-    if folder.startswith("file:") or "://" not in folder:
-        local = "/" + folder.removeprefix("file:").lstrip("/")
-        os.makedirs(local, exist_ok=True)
-        with open(f"{local}/{name}", "wb") as f:
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file":
+        local = target.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "wb") as f:
             f.write(content)
-        return f"{local}/{name}", True
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+        return local, True
+    stream = system.create(target)
     stream.write(bytearray(content))
     stream.close()
-    return f"{folder}/{name}", False
+    return target.makeQualified(system.getUri(), system.getWorkingDirectory()).toString(), False
 
 
 def ship(spark: SparkSession) -> None:
