@@ -136,7 +136,7 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
         if quoted[i]:
             continue
         ends = text[i].endswith(":")
-        if (len(text[i]) < 60 and _MARKER.match(text[i])) or (ends and _INTRO.match(text[i])):
+        if (len(text[i]) < 60 and _MARKER.match(text[i])) or (ends and len(text[i]) < 500 and _INTRO.match(text[i])):
             intro[i] = True
             continue
         # An introduction that was broken into several lines.
@@ -152,7 +152,7 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
             j = i
             while j < n and (header[j] or (j > i and not blank[j] and not quoted[j] and j + 1 < n and header[j + 1] and len(text[j]) < 80)):
                 j += 1
-            if sum(header[i:j]) >= 2 or _FROM.match(text[i]):
+            if sum(header[i:j]) >= 2 or (len(text[i]) < 500 and _FROM.match(text[i])):
                 intro[i:j] = [True] * (j - i)
             i = j
         else:

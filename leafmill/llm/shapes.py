@@ -46,7 +46,7 @@ FUNCTION_WORDS = frozenset(
     para pero por que se sin sobre son su sus también un una unos y ya""".split()
 )
 
-_URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)+/\S*", re.I)
+_URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|\b[\w-]{1,80}(?:\.[\w-]{1,80}){1,8}/\S*", re.I)
 _TAG = re.compile(r"<[^<>]{1,300}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _NUMBER = re.compile(r"\d[\d.,'’:]*")
