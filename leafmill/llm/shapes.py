@@ -59,6 +59,7 @@ _CHECK = re.compile(r"^\s*(?:[-*+]|\d+[.)])?\s*(?:\[[ xX✓]?\]|[☐☑☒✓✔
 _TABLE = re.compile(r"^\s*\|.*\|\s*$|^\s*[-|+:=\s]{5,}$|(?:\t[^\t]*){2,}|(?:;[^;]*){3,}")
 _ASSIGNED = re.compile(r"^\s*[\w.\[\]]+\s*[:+\-]?=\s*\S|^```|\w\([^()]*\)\s*[;{]?\s*$")
 _CODE = re.compile(r"[{}]\s*$|;\s*$|^\s*[\w.\[\]]+\s*[:+\-]?=\s*\S|^\s*(?:def|class|import|return|if|for|while|var|let|const|function|public|private)\b.*[({:;]|\w\(.*\)\s*$|^```")
+_RUN = re.compile(r"(\s)\s+")
 _BROKEN = re.compile(r"[,:;\d]")
 _CLOSING = re.compile(r"[.!?…:]['\"»“)]*\s*$")
 
@@ -89,10 +90,12 @@ class Unit(NamedTuple):
 
 
 def read_unit(text: str) -> Unit:
-    """A unit's words and links."""
+    """A unit's words and links; blanks at its ends are left out."""
+    text = text.strip()
     links = len(_URL.findall(text)) + text.count("href=") if "://" in text or "www." in text or "/" in text or "href=" in text else 0
     bare = _TAG.sub(" ", text) if "<" in text else text
     bare = _URL.sub(" ", bare) if links else bare
+    bare = _RUN.sub(r"\1", bare) if len(bare) > 400 else bare  # else separators are looked for at every blank of a long run
     found = _WORD.findall(bare)
     words = [w.lower() for w in found]
     return Unit(text, bare, words, sum(w[0].isupper() for w in found), len([w for w in words if w in FUNCTION_WORDS]), links)
