@@ -26,7 +26,8 @@ def tokenize(text: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """White space of any kind removed at both ends."""
-    return F.regexp_replace(col(text), f"^{_BLANK}+|{_BLANK}+$", "")
+    # The look-behind keeps a long run inside the text from being tried at each of its places.
+    return F.regexp_replace(col(text), f"^{_BLANK}+|(?<!{_BLANK}){_BLANK}+$", "")
 
 
 def path_tokens(path: Column | str) -> Column:

@@ -117,3 +117,9 @@ def test_config():
     assert [config.coerce(x) for x in ("yes", "0", "7", "1.5", "x")] == [True, False, 7, 1.5, "x"]
     assert config.nested_set({"a": {"b": 1}}, "a.c", 2) == {"a": {"b": 1, "c": 2}}
     assert config.redacted({"api_token": "x", "n": {"password": "y", "k": 1}}) == {"api_token": "***", "n": {"password": "***", "k": 1}}
+
+
+def test_strip_of_long_runs(spark):
+    run = " \t\n" * 30_000
+    assert one(spark, text.strip(F.lit(run + "a" + run + "b" + run))) == "a" + run + "b"
+    assert one(spark, text.strip(F.lit(run))) == "" and one(spark, text.strip(F.lit(None).cast("string"))) is None
