@@ -10,6 +10,7 @@ from leafmill.operators import amendments as am
 from leafmill.operators import documents as dm
 from leafmill.operators import objects as ob
 from leafmill.session import table
+from leafmill.streaming import incremental
 
 SPLIT = "2023-01-01 00:00:00"
 OWNER = "thomas.noristetal@kontor.example"
@@ -204,6 +205,18 @@ def index_health(spark: SparkSession, sf: str) -> DataFrame:
     return dm.index_health(d.where("rel_path IS NOT NULL"), indexed, table(spark, sf, "chunk_vectors"))
 
 
+def session_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns per role of the recorded sessions."""
+    d = table(spark, sf, "documents").where(F.col("source").startswith("session:"))
+    turns = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\*\*(human|assistant)\*\*:"), F.lit(1))).alias("role"))
+    return turns.groupBy("doc_id", "role").agg(F.count("*").alias("n"))
+
+
+def stream_day_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events per UTC day and type, counted by a streaming query over the table's files."""
+    return incremental.counted_by_day(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+
+
 def default_tags(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "store_docs").select("row_id", F.array_join(text.add_tags("tags", ["imported", "todo"]), "|").alias("tags"))
 
@@ -218,7 +231,7 @@ def queries() -> dict:
         canonical_values, entity_amounts, canon_emails, canon_references, content_hashes, thread_ids, resolve_amendments, pending_amendments, apply_amendments, producer_claims, retractable, queue_rollup,
         producers_refcount, plan_gc, plan_remove, link_names, cache_misses, snapshot_diff, newest_versions, embed_missing, managed_outdated, invalid_entities_by_type, concurrent_keys, thread_summary,
         directions, shared_references, chat_lines, validate_findings, participant_strings, day_buckets, index_health,
-        default_tags, extracted_entities,
+        default_tags, extracted_entities, session_turns, stream_day_counts,
     )
     return {f.__name__: f for f in names}
 
@@ -327,6 +340,9 @@ WITH p AS (SELECT row_id, i, trim(concat_ws(' ', p."name", '<' || p.address || '
 f AS (SELECT row_id, s, min(i) AS i FROM p GROUP BY 1, 2)
 SELECT row_id, coalesce(string_agg(s, '; ' ORDER BY i), '') AS people FROM store_docs LEFT JOIN f USING (row_id) WHERE participants IS NOT NULL GROUP BY 1""",
         "day_buckets": "SELECT CAST(CAST(timezone('Europe/Zurich', timezone('UTC', ts)) AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+        "session_turns": r"""
+SELECT doc_id, role, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^\*\*(human|assistant)\*\*:', 1)) AS role FROM documents WHERE starts_with(source, 'session:')) GROUP BY 1, 2""",
+        "stream_day_counts": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
         "default_tags": "SELECT row_id, array_to_string(list_concat(coalesce(tags, []), list_filter(['imported', 'todo'], lambda t: NOT list_contains(coalesce(tags, []), t))), '|') AS tags FROM store_docs",
         "extracted_entities": " UNION ALL ".join(
             f"SELECT DISTINCT row_id, '{kind}' AS type, value, {shown} AS canonical FROM (SELECT row_id, unnest(regexp_extract_all(body, {literal(entities.PATTERNS[kind])})) AS value FROM store_docs WHERE length(body) > 0)"

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions import temporal, text
+from leafmill.functions import stem, temporal, text
 from leafmill.operators import bm25, dense, documents, fusion, locate
 from leafmill.session import table, written
 
@@ -60,6 +60,17 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.search(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "saved_queries"), "query_id", "text", 20)
 
 
+def bm25_stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents of each saved query when words match by their English or German stems too."""
+    docs = table(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("tokens")).where(F.size("tokens") > 0)
+    tokenized = written(stem.stemmed(docs.withColumnRenamed("doc_id", "doc")), "stems")
+    post, stats = bm25.postings_grouped(tokenized), bm25.corpus_stats(tokenized)
+    asked = table(spark, sf, "saved_queries").select(F.col("query_id").alias("doc"), text.tokenize("text").alias("tokens"))
+    terms = stem.stemmed(asked).select(F.col("doc").alias("query"), F.explode("tokens").alias("term"))
+    scored = bm25.score(post, terms, stats, bm25.term_stats(post, stats)).withColumn("score", F.round("score", 6))
+    return bm25.top_k(scored, 20).select("query", "rank", "doc", "score")
+
+
 def _temporal(spark: SparkSession, sf: str, query: str, as_of: date) -> DataFrame:
     docs = table(spark, sf, "store_docs")
     one = spark.createDataFrame([(1, query)], "query bigint, text string")
@@ -244,7 +255,7 @@ def scanned_only(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     names = (
-        tokenize_doc, token_df, doc_len_stats, field_term_tf, bm25_idf, bm25_topk, bm25_temporal, bm25_temporal_fallback, snippets, cosine_topk, query_vec_pool, dense_file_max,
+        tokenize_doc, token_df, doc_len_stats, field_term_tf, bm25_idf, bm25_topk, bm25_stemmed, bm25_temporal, bm25_temporal_fallback, snippets, cosine_topk, query_vec_pool, dense_file_max,
         dense_temporal, hybrid_topk, rrf_runs, rrf_two_stage, chunk_windows, chunk_prefix, doc_date_parse, path_tokenize, path_scores, locate_topk, skip_prefix, slugs, scanned_only,
     )
     return {f.__name__: f for f in names}

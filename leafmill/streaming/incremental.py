@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from leafmill.functions import text
 from leafmill.operators import amendments as am
 from leafmill.operators import bm25
+from leafmill.session import fresh_path
 
 
 class Versioned:
@@ -93,3 +95,20 @@ def day_windows(events: DataFrame, delay: str = "1 day") -> DataFrame:
 def deduplicated(events: DataFrame, key: str, delay: str = "1 day") -> DataFrame:
     """Events of a stream, repeats of a key within the delay left out."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+
+
+def counted_by_day(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """``day, event_type, n`` of a table's files, read as a stream until none is left.
+
+    Each batch writes the windows that it changed; the latest count of a window
+    is its largest.
+    """
+    target, checkpoint = fresh_path(spark, "day-counts"), fresh_path(spark, "day-counts-checkpoint")
+    stream = spark.readStream.schema(schema).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stream.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    rows = counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    save = lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+    rows.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    shape = "day string, event_type string, n long"
+    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{target}/batch=-1")  # a table without files has no batch
+    return spark.read.schema(shape).parquet(target).groupBy("day", "event_type").agg(F.max("n").alias("n"))
