@@ -30,21 +30,16 @@ LISTED = 5
 #: A content word is repeated if it makes up this share of the page's content words, and occurs as often as REPEATS.
 REPEATED, REPEATS = 0.02, 3
 
-# Frequent function words of English, German, French and Spanish.
-FUNCTION_WORDS = frozenset(
-    """a about after all an and any are as at be been before but by can could did do for from had has have he her his
-    how i if in into is it its just me more my no not of on once one or our out she so some such than that the their
-    them then there these they this those to under until up was we were what when which while who whose will with would
-    yet you your
-    aber als am an auf aus bei bin bis das dass dem den der des die dies diese doch du durch ein eine einem einen einer
-    er es etwa für gibt hat haben hatte ich ihr im in ist ja kann kein man mein meine mich mir mit muss nach nicht noch
-    nur ob oder sein seine sich sie sind so über um und uns unser unsere unter vom von vor war waren warum was weil wenn
-    wer wie wir wird wo wurde wurden zu zum zur zwischen
-    au aux avec ce ces cette dans de des donc du elle en est et être il ils la le les leur lui mais ne nous on ou par
-    pas plus puis pour qu que qui sa sans se ses son sont sous sur un une vous
-    al como con cuando de del desde dos el ella en entre es esta este ha han hasta la las lo los más me muy no nos o
-    para pero por que se sin sobre son su sus también un una unos y ya""".split()
-)
+# Frequent function words by language.
+FUNCTION_WORDS_OF = {
+    "en": """a about after all an any are as at be been before but by can could did do for from had has have he her his how i if in into is it its just me more my no not of on once one or our out she so some such
+        than that the their them then there these they this those to under until up was we were what when which while who whose will with would yet you your""",
+    "de": """aber als am an auf aus bei bin bis das dass dem den der des die dies diese doch du durch ein eine einem einen einer er es etwa für gibt hat haben hatte ich ihr im in ist ja kann kein man mein meine
+        mich mir mit muss nach nicht noch nur ob oder sein seine sich sie sind so über um und uns unser unsere unter vom von vor war waren warum was weil wenn wer wie wir wird wo wurde wurden zu zum zur zwischen""",
+    "fr": """au aux avec ce ces cette dans de des donc du elle en est et être il ils la le les leur lui mais ne nous on ou par pas plus puis pour qu que qui sa sans se ses son sont sous sur un une vous""",
+    "es": """al como con cuando de del desde dos el ella en entre es esta este ha han hasta la las lo los luego más me muy no nos o para pero por que se sin sobre son su sus también un una unos y ya""",
+}
+FUNCTION_WORDS = frozenset(w for words in FUNCTION_WORDS_OF.values() for w in words.split())
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|\b[\w-]{1,80}(?:\.[\w-]{1,80}){1,8}/\S*", re.I)
 _TAG = re.compile(r"<[^<>]{1,300}>")
