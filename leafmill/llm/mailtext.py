@@ -6,8 +6,8 @@ Every span is scored as a whole: by its lines' cues, by how it begins (a closing
 formula, a delimiter, an introduction of a quotation), by its length, and by
 what it holds in all, such as the share that the mail it answers contains.  The
 best sequence of spans is found by dynamic programming over all span ends and
-lengths.  The answered mail is joined by its message id; much-answered mails are
-salted.
+lengths.  The answered mail is joined by its message id, which the reply id or
+else the references name; much-answered mails are salted.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.session import cut
+
 AUTHORED, QUOTED, SIGNATURE, DISCLAIMER = range(4)
 #: Longest span of each kind, in units; authored and quoted ones may follow their like.
 LONGEST = (1, 30, 12, 8)
@@ -392,22 +394,41 @@ def authored_lines(body: str, sender: list[str], parent: str | None = None) -> l
     return [i for i, kind in enumerate(decode(told)) if told[i] is not None and kind == AUTHORED]
 
 
-def with_parents(mails: DataFrame, key: str, body: str, message_id: str, reply_to: str, sender: DataFrame | None = None) -> DataFrame:
-    """``mails`` (key, body, sender) with the body of the mail that each answers, or null."""
-    rows = mails.select(F.col(key).alias("k"), F.col(body).alias("body"), F.col("sender"), F.col(message_id).alias("mid"), F.col(reply_to).alias("rid"))
-    answers = rows.where(F.col("rid").isNotNull()).drop("mid")
-    alone = rows.where(F.col("rid").isNull()).select("k", "body", "sender", F.lit(None).cast("string").alias("parent"))
-    counts = answers.groupBy("rid").agg(F.count("*").alias("n"))
+def _hot(ids: DataFrame) -> DataFrame:
+    """``rid, hot`` of the ids that hold at least 1/HOT_PARTS of all rows, to be broadcast; at most HOT_PARTS whatever the input."""
+    counts = ids.groupBy("rid").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    # At most HOT_PARTS message ids, so the list is small whatever the input.
-    hot = F.broadcast(counts.where(F.col("n") * HOT_PARTS >= max(total, 1)).select("rid", F.lit(True).alias("hot")))
-    needed = rows.where(F.col("mid").isNotNull() & (F.length("body") > 0)).select(F.col("mid").alias("rid"), "k", F.col("body").alias("text"))
-    parents = needed.join(counts.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.min_by("text", "k").alias("parent"))
+    return F.broadcast(counts.where(F.col("n") * HOT_PARTS >= max(total, 1)).select("rid", F.lit(True).alias("hot")))
+
+
+def _salted(rows: DataFrame, found: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    """``rows`` (k, rid) joined with ``found`` (one row per rid); rows of hot ids and of none are spread."""
     salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    parents = parents.join(hot, "rid", "left").withColumn("salt", salts).drop("hot")
-    salted = answers.join(hot, "rid", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot")
-    joined = salted.join(parents, ["rid", "salt"], "left").select("k", "body", "sender", "parent")
-    return alone.union(joined)
+    found = found.join(hot, "rid", "left").withColumn("salt", salts).drop("hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(SALTS))).when(F.col("rid").isNull(), F.pmod(F.xxhash64("k"), F.lit(1 << 30))).otherwise(F.lit(0)).cast("int")
+    return rows.join(hot, "rid", "left").withColumn("salt", salt).drop("hot").join(found, ["rid", "salt"], how)
+
+
+def with_parents(mails: DataFrame, key: str, body: str, message_id: str, reply_to: str, references: str | None = None) -> DataFrame:
+    """``mails`` (key, body, sender) with the body of the mail that each answers, or null.
+
+    That is the mail that ``reply_to`` names or, where it is null or not in the
+    table, the last of the ``references`` that is; an id of the mail itself
+    names none, and a mail without text does not count as in the table.
+    """
+    refs = F.reverse(F.col(references)) if references else F.array().cast("array<string>")
+    named = F.concat(F.array(F.col(reply_to)), F.coalesce(refs, F.array().cast("array<string>")))
+    rows = mails.select(F.col(key).alias("k"), F.col(body).alias("body"), F.col("sender"), F.col(message_id).alias("mid"), F.filter(named, lambda x: x.isNotNull() & ~x.eqNullSafe(F.col(message_id))).alias("ids"))
+    alone = rows.where(F.size("ids") == 0).select("k", "body", "sender", F.lit(None).cast("string").alias("parent"))
+    answers = rows.where(F.size("ids") > 0)
+    needed = rows.where(F.col("mid").isNotNull() & (F.length("body") > 0))
+    # Which of its ids a mail answers is found on the ids alone, without the texts.
+    tried = answers.select("k", F.posexplode("ids").alias("at", "rid"))
+    present = _salted(tried, needed.select(F.col("mid").alias("rid")).distinct(), _hot(tried), "inner")
+    chosen = cut(present.groupBy("k").agg(F.min_by("rid", "at").alias("rid")))
+    parents = needed.select(F.col("mid").alias("rid"), "k", F.col("body").alias("text")).join(chosen.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.min_by("text", "k").alias("parent"))
+    joined = _salted(answers.select("k", "body", "sender").join(chosen, "k", "left"), parents, _hot(chosen), "left")
+    return alone.union(joined.select("k", "body", "sender", "parent"))
 
 
 def newly_written(store_docs: DataFrame) -> DataFrame:
@@ -416,11 +437,12 @@ def newly_written(store_docs: DataFrame) -> DataFrame:
     Rows without a message id and null or empty bodies give no row; a row
     delivered twice counts twice; a reply whose original is missing is decoded
     without it, one whose original was delivered several times with the copy of
-    the smallest row_id.  Extra columns are not read.
+    the smallest row_id.  Extra columns are not read; ``refs`` may be missing.
     """
     names = F.flatten(F.transform(F.filter("participants", lambda p: p.role == "from"), lambda p: F.array(p["name"], p.address)))
     sender = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.isNotNull())
-    mails = store_docs.where(F.col("message_id").isNotNull() & (F.length("body") > 0)).select("row_id", "body", "message_id", "in_reply_to", sender.alias("sender"))
+    refs = F.col("refs") if "refs" in store_docs.columns else F.array().cast("array<string>").alias("refs")
+    mails = store_docs.where(F.col("message_id").isNotNull() & (F.length("body") > 0)).select("row_id", "body", "message_id", "in_reply_to", refs, sender.alias("sender"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,7 +453,7 @@ def newly_written(store_docs: DataFrame) -> DataFrame:
                 numbers += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int64())], names=["row_id", "line_no"])
 
-    return with_parents(mails, "row_id", "body", "message_id", "in_reply_to").mapInArrow(run, "row_id bigint, line_no bigint")
+    return with_parents(mails, "row_id", "body", "message_id", "in_reply_to", "refs").mapInArrow(run, "row_id bigint, line_no bigint")
 
 
 def authored_tokens(store_docs: DataFrame) -> DataFrame:

@@ -74,3 +74,25 @@ def test_much_answered_mail_is_salted(spark):
     rows = [(0, "<root>", None, "Wann ist die Sitzung im neuen Haus?", None)] + [(i, f"<r{i}>", "<root>", f"Antwort Nummer {i} kommt hier.\nWann ist die Sitzung im neuen Haus?", None) for i in range(1, 200)]
     got = mt.newly_written(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == 200 and all(r.line_no == 0 for r in got)
+
+
+def test_references_name_the_answered_mail(spark):
+    person = "array<struct<address:string,name:string,role:string>>"
+    schema = f"row_id long, message_id string, in_reply_to string, refs array<string>, body string, participants {person}"
+    asked = "Kannst du mir das Formular schicken?\nIch brauche es für die Fähre am Montag."
+    older = "Die Sitzung im neuen Haus beginnt heute schon um neun."
+    forward = "Zur Kenntnis, das liegt noch bei uns im Büro.\n\n" + asked
+    rows = [
+        (0, "<old>", None, None, older, None),
+        (1, "<a>", "<old>", ["<old>"], asked, None),
+        (2, "<b>", None, ["<old>", "<a>"], forward, None),
+        (3, "<c>", "<gone>", ["<old>", "<a>", None, "<gone>"], forward, None),
+        (4, "<d>", None, ["<gone>", "<d>"], forward, None),
+        (5, "<e>", "<old>", ["<a>"], forward, None),
+        (6, "<f>", "<f>", ["<a>", "<f>"], forward, None),
+    ]
+    got = {}
+    for r in mt.newly_written(spark.createDataFrame(rows, schema)).collect():
+        got.setdefault(r.row_id, []).append(r.line_no)
+    # Without the answered mail, or with another one, nothing tells the forwarded lines.
+    assert {k: sorted(v) for k, v in got.items()} == {0: [0], 1: [0, 1], 2: [0], 3: [0], 4: [0, 2, 3], 5: [0, 2, 3], 6: [0]}
