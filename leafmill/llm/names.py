@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +24,6 @@ from leafmill.session import cut, written
 
 #: A spelling counts as a typing error of another if it is in so few names, or in so much fewer.
 FEW, FEWER = 2, 8
-#: An address under which more names than this occur is no one's own, and says nothing.
-ADDRESS_NAMES = 40
 
 # Titles and forms of address that are no part of a name.
 TITLES = frozenset("herr frau hr fr dr prof mr mrs ms miss sir madame monsieur mme mlle señor señora sr sra dipl ing med lic iur mag jun sen jr fa firma".split())
@@ -144,6 +142,21 @@ def pair_keys(tokens: list[str]) -> set[str]:
     return keys
 
 
+def close_keys(tokens: list[str]) -> set[str]:
+    """Keys of one word (or what it stands for) with near forms and parts of three letters of another.
+
+    Whatever ``same_name`` takes for one name under a common address shares one:
+    at most one word differs, and it has a near form or a part in common.
+    """
+    keys = set()
+    for i, t in enumerate(tokens):
+        for exact in meanings(t):
+            for u in tokens[:i] + tokens[i + 1 :]:
+                keys.update(f"{exact}|{form}" for v in meanings(u) for form in near_forms(v))
+                keys.update(f"{exact}~{u[k : k + 3]}" for k in range(len(u) - 2))
+    return keys
+
+
 def one_edit(a: str, b: str) -> bool:
     """Whether the words are at most one insertion, deletion, change or swap apart."""
     if a == b:
@@ -218,14 +231,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, keys = [], []
-        for i, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = pair_keys(tokens)
-            ids += [i] * len(own)
-            keys += own
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.string())], names=["id", "key"])
+def _keyed(members: DataFrame, make: Callable[[list[str]], set[str]]) -> DataFrame:
+    """``id, key`` of every key that ``make`` gives for the tokens of a profile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            for i, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = make(tokens)
+                ids += [i] * len(own)
+                keys += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.string())], names=["id", "key"])
+
+    return members.where(F.size("tokens") > 1).select("id", "tokens").mapInArrow(run, "id string, key string")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,11 +258,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocked(members: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of profiles (id, tokens) that share a pair key."""
-    keyed = members.where(F.size("tokens") > 1).select("id", "tokens").mapInArrow(_keys, "id string, key string")
+    keyed = _keyed(members, pair_keys)
     right = keyed.select("key", F.col("id").alias("b"))
     return keyed.withColumnRenamed("id", "a").join(right, "key").where("a < b").select("a", "b").distinct()
 
 
+def _together(members: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of profiles (id, tokens) that share a close key and an address (places: sig, address), however many stand there."""
+    keyed = _keyed(members, close_keys).join(places.withColumnRenamed("sig", "id"), "id")
+    right = keyed.select("address", "key", F.col("id").alias("b"))
+    return keyed.withColumnRenamed("id", "a").join(right, ["address", "key"]).where("a < b").select("a", "b").distinct()
+
+
 def _matched(candidates: DataFrame, members: DataFrame) -> DataFrame:
     """The candidate pairs (a, b, close) that are spellings of one name."""
     own = members.select("id", "tokens", "freq")
@@ -276,7 +301,7 @@ def _attachable(sigs: DataFrame, clusters: DataFrame, known: DataFrame, places:
     fitting = by_word.union(joined).distinct()
     # The profiles under whose addresses the record stands too.
     homes = places.join(known, "sig").select("address", F.col("label").alias("id")).distinct()
-    shared = places.join(homes, "address").select("sig", "id").distinct().withColumn("near", F.lit(True))
+    shared = fitting.join(places, "sig").join(homes, ["address", "id"]).select("sig", "id").distinct().withColumn("near", F.lit(True))
     judged = fitting.join(shared, ["sig", "id"], "left").groupBy("sig").agg(
         F.count("*").alias("n"), F.count("near").alias("m"), F.min("id").alias("any"), F.min(F.when(F.col("near"), F.col("id"))).alias("home")
     )
@@ -317,12 +342,10 @@ def link_names(spellings: DataFrame) -> DataFrame:
     members = written(sigs.join(freq, "sig").where(F.size("tokens") > 1).select(F.col("sig").alias("id"), "tokens", "freq"), "names-members")
 
     places = seen.where(F.col("address") != "").join(parsed.select("name", "sig"), "name").select("sig", "address").distinct()
-    personal = places.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") <= ADDRESS_NAMES).select("address")
-    places = written(places.join(personal, "address", "left_semi"), "names-places")
+    places = written(places, "names-places")
 
     blocked = _blocked(members).withColumn("close", F.lit(False))
-    full = places.join(members.select(F.col("id").alias("sig")), "sig")
-    together = full.toDF("a", "address").join(full.toDF("b", "address"), "address").where("a < b").select("a", "b").distinct().withColumn("close", F.lit(True))
+    together = _together(members, places).withColumn("close", F.lit(True))
     edges = written(_matched(blocked.union(together), members), "names-edges")
     while True:
         labels = components(edges)

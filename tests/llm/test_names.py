@@ -80,3 +80,19 @@ def test_near_forms_meet():
 def test_components(spark):
     edges = spark.createDataFrame([("b", "c"), ("c", "d"), ("d", "e"), ("e", "a"), ("x", "y")], "a string, b string")
     assert {r.node: r.label for r in nm.components(edges).collect()} == {**dict.fromkeys("abcde", "a"), "x": "x", "y": "x"}
+
+
+def test_crowded_address_decides_like_any_other(spark):
+    consonants = "bdfgklmnprst"
+    crowd = [(f"{x}o{y}ara {y}u{x}elin", "desk@x.example", False) for x in consonants for y in consonants if x != y]
+    rows = [("Eleonore Kelber", "desk@x.example", False), ("Nore Kelber", "desk@x.example", False), ("Alfred Ibrun", "desk@x.example", False), ("Anna Ibrun", "anna@x.example", False), ("Ibrun, A.", "desk@x.example", False)]
+    got = linked(spark, crowd + rows)
+    assert ["Eleonore Kelber", "Nore Kelber"] in got and ["Alfred Ibrun", "Ibrun, A."] in got and ["Anna Ibrun"] in got
+
+
+def test_close_keys_meet_wherever_names_match():
+    names = [["anna", "kelber"], ["johanna", "kelber"], ["ann", "kelber"], ["bo", "li"], ["bo", "li", "karlsson"], ["nora", "kelber"], ["eleonora", "kelbre"], ["mueller", "tom"], ["muller", "thomas"], ["kelber", "max", "anna"]]
+    for a in names:
+        for b in names:
+            if nm.same_name(a, b, {}, close=True):
+                assert nm.close_keys(a) & nm.close_keys(b)
