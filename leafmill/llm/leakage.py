@@ -190,15 +190,27 @@ def covered(item: Item, doc: list[str], vocabulary: set[str] | frozenset[str] =
             memo[w] = k
         b.append(k)
     chains: list[list[tuple[int, int, int]]] = []
+    ends: dict[int, list[int]] = defaultdict(list)  # chains by the place in the item behind their last tile, oldest first
     for i, j, n in sorted(tile(a, b), key=lambda t: t[1]):
-        for chain in reversed(chains[-3:]):
-            pi, pj, pn = chain[-1]
-            ahead, apart = i - pi - pn, j - pj - pn
-            if 0 <= ahead <= GAP and 0 <= apart <= GAP or 0 <= ahead <= 1 and 0 <= apart <= INTERRUPTION and n >= SEED_WORDS:
-                chain.append((i, j, n))
+        # The latest chain that ends shortly before the tile, whatever stands between.
+        joined = -1
+        for ahead in range(min(GAP, i) + 1):
+            reach = max(GAP, INTERRUPTION) if ahead <= 1 and n >= SEED_WORDS else GAP
+            for k in reversed(ends[i - ahead]):
+                _, pj, pn = chains[k][-1]
+                if j - pj - pn > reach:
+                    break
+                if k > joined:
+                    joined = k
                 break
+        if joined < 0:
+            joined = len(chains)
+            chains.append([])
         else:
-            chains.append([(i, j, n)])
+            pi, _, pn = chains[joined][-1]
+            ends[pi + pn].remove(joined)
+        chains[joined].append((i, j, n))
+        ends[i + n].append(joined)
     places: set[int] = set()
     for chain in chains:
         if any(item.words[p] in item.rare for i, _, n in chain for p in range(i, i + n)):

@@ -82,3 +82,12 @@ def test_tiling_marks_the_longest_first_and_nothing_twice():
         ra = [x if p not in set(used_a) else -2 for p, x in enumerate(a)]
         rb = [x if p not in set(used_b) else -3 for p, x in enumerate(b)]
         assert not any(ra[i] >= 0 and ra[i : i + 2] == rb[j : j + 2] for i in range(len(ra) - 1) for j in range(len(rb) - 1) if ra[i + 1] >= 0)
+
+
+def test_stray_tiles_do_not_break_a_chain():
+    # Only the first part has the rare word; four stray pairs of the item's words stand between the parts.
+    first, second = "zumthal opened one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    item = lk.Item(1, f"{first} {second} p q alpha beta r s gamma delta t u epsilon theta v w kappa omega")
+    item.rare = {lk.fold("zumthal")}
+    doc = lk.words(f"{first} x kappa omega x epsilon theta x gamma delta x alpha beta x {second}")
+    assert lk.covered(item, doc) == 16
