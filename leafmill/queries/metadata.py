@@ -95,11 +95,16 @@ def producer_claims(spark: SparkSession, sf: str) -> DataFrame:
     return am.claims(_resolved(spark, sf)).groupBy("producer", "field").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("n_docs"))
 
 
-def retractable(spark: SparkSession, sf: str) -> DataFrame:
+def retractable_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Retractable values of every field, tags and entities."""
     resolved = _resolved(spark, sf).where("mode <> 'retract'")
     now = am.latest_sets(resolved.withColumn("hash_order", F.col("amend_id")).withColumn("emitted_at", F.concat("emitted_at", F.lpad(F.col("amend_id").cast("string"), 20, "0"))))
     found = am.retractable(am.claims(resolved), am.claims(now))
-    return found.where("field = 'tags'").select(F.col("doc").alias("row_id"), "producer", "value")
+    return found.select(F.col("doc").alias("row_id"), "producer", "field", "value")
+
+
+def retractable(spark: SparkSession, sf: str) -> DataFrame:
+    return retractable_claims(spark, sf).where("field = 'tags'").select("row_id", "producer", "value")
 
 
 def queue_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,9 +226,13 @@ def default_tags(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "store_docs").select("row_id", F.array_join(text.add_tags("tags", ["imported", "todo"]), "|").alias("tags"))
 
 
+def extracted_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of every type, with their validity."""
+    return entities.extract(table(spark, sf, "store_docs"), "row_id", "body")
+
+
 def extracted_entities(spark: SparkSession, sf: str) -> DataFrame:
-    found = entities.extract(table(spark, sf, "store_docs"), "row_id", "body")
-    return found.where("type IN ('email', 'url', 'phone')").select("row_id", "type", "value", "canonical")
+    return extracted_values(spark, sf).where("type IN ('email', 'url', 'phone')").select("row_id", "type", "value", "canonical")
 
 
 def queries() -> dict:
@@ -231,7 +240,7 @@ def queries() -> dict:
         canonical_values, entity_amounts, canon_emails, canon_references, content_hashes, thread_ids, resolve_amendments, pending_amendments, apply_amendments, producer_claims, retractable, queue_rollup,
         producers_refcount, plan_gc, plan_remove, link_names, cache_misses, snapshot_diff, newest_versions, embed_missing, managed_outdated, invalid_entities_by_type, concurrent_keys, thread_summary,
         directions, shared_references, chat_lines, validate_findings, participant_strings, day_buckets, index_health,
-        default_tags, extracted_entities, session_turns, stream_day_counts,
+        default_tags, extracted_entities, extracted_values, session_turns, stream_day_counts, retractable_claims,
     )
     return {f.__name__: f for f in names}
 
