@@ -1,47 +1,66 @@
 """Evaluation passages inside corpus texts (greedy string tiling).
 
 Words are folded (case, accents, look-alike characters, hyphenated line ends).
-Seeds, rare words of an item with a neighbour or runs of three of its words, pair
-documents with items; the pair is then tiled: the longest matches of unmarked words are found
-with running Karp-Rabin hashes and marked, again and again with shorter windows.
-Neighbouring tiles in order form a chain; chains without any rare word of the
-item are common phrasing and do not count.  What the chains cover of the item,
-in whatever order, decides.
+Seeds are pairs of neighbouring words.  One pass over the corpus tests its pairs
+against a bitmap of the items' pairs, keeps the documents that hold enough of
+them, and counts in how many documents each word of the items occurs.  Seeds of
+documents and items are joined by hash; pairs of document and item whose seeds
+hold enough of a stretch of the item are tiled: the longest matches of unmarked
+words are found with running Karp-Rabin hashes and marked, again and again with
+shorter windows.  Neighbouring tiles in order form a chain.
+
+A text that only resembles an item has the item's common words and not its rare
+ones, a reproduction has both.  So words weigh by how few documents and items
+hold them, and a chain counts if it has most of the weight of the stretch of the
+item around it.  This compares words of one stretch with each other: how many
+items there are, or share a passage, does not matter.  What the chains cover of
+the item, in whatever order, decides.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
+
+from leafmill.session import written
 
 #: Words of an item that a document must reproduce (or all of a shorter item), and the share of them that may be lost to alterations at the edges.
 LEAST_WORDS, LEAST_SHARE = 20, 0.8
-#: A word in at most so many items is rare (in one only, of fewer than MANY_ITEMS); a chain must hold one.
-RARE_ITEMS, MANY_ITEMS = 2, 100
+#: Share of the weight of a chain and of EDGE words of the item on both sides of it that its tiles must hold.
+MAJORITY, EDGE = 0.58, 5
+#: A word in a share q of documents and items weighs (-log q) ** STEEP.
+STEEP = 1.5
 #: Longest and shortest window of the tiling.
 LONGEST, SHORTEST = 16, 2
-#: Words that may lie between neighbouring tiles of a chain, on either side.
-GAP = 4
-#: Words of something else that may stand between two tiles that adjoin in the item.
-INTERRUPTION = 80
-SEED_WORDS, SEEDS = 3, 6
-#: Characters of items that are held by a worker at once; more items are matched block by block.
-BLOCK_CHARS = 8_000_000
-
-_WORD = re.compile(r"\w+(?:[-­‐]\s*\w+)*")
-_MARKUP = re.compile(r"<[^<>]{1,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
+#: Words that may lie between neighbouring tiles of a chain, on either side; if tiles of ADJOINING words adjoin in the item, any number may stand between them in the document.
+GAP, ADJOINING = 4, 3
+#: Different seeds of an item that a document must hold: one in four of the least words' seeds.
+SEEDS = 4
+#: Share of the weight of some stretch of LEAST_WORDS words that seeds must hold for a pair to be tiled. A chain that counts has MAJORITY, so a fifth of the weight may be in words that are damaged or alone.
+SEEDED = 0.45
+#: Bits of the largest bitmap (32 MB), whatever the number of items; a fuller one only lets more pass to the exact join.
+MOST_BITS = 28
+SLOT_BITS = 28
+
+_WORD = re.compile(r"[^\W_]+(?:[-­‐]\s*[^\W_]+)*")
+_MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->|&(?:[a-zA-Z]\w{1,31}|#\w{1,8});", re.S)
 _INNER = re.compile(r"[\s­‐-]+")
 # Characters that scanning mixes up, each with the one that stands for both.
 LOOK_ALIKE = {"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "ß": "ss", "8": "b"}
 _FOLD = str.maketrans(LOOK_ALIKE)
 _MARKS = dict.fromkeys([*range(0x300, 0x370), 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fold(word: str) -> str:
@@ -50,26 +69,53 @@ def fold(word: str) -> str:
     return word if word.isdigit() else word.translate(_FOLD).replace("rn", "m")
 
 
-class _Folded(dict):
-    """Folded forms by word; forgets all when it grows too large."""
+def number(word: str) -> int:
+    """64 bits that stand for a folded word on every machine."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+class _Memo(dict):
+    """Values by written word; forgets all when it grows too large."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str):
         if len(self) > 300_000:
             self.clear()
-        self[word] = out = fold(word)
+        self[word] = out = self.make(word)
         return out
 
 
-_FOLDED = _Folded()
+_FOLDED = _Memo(fold)
+_NUMBERED = _Memo(lambda word: number(fold(word)))
 
 
-def words(text: str) -> list[str]:
-    """Folded words of a text, in order, without markup."""
+def _found(text: str) -> list[str]:
+    """Written words of a text, lower case, in order, without markup."""
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_MARKS)
-    return list(map(_FOLDED.__getitem__, _WORD.findall(text.lower())))
+    return _WORD.findall(text.lower())
+
+
+def words(text: str) -> list[str]:
+    """Folded words of a text, in order, without markup."""
+    return list(map(_FOLDED.__getitem__, _found(text)))
+
+
+def seeds_of(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of neighbours among the words' numbers."""
+    x = codes.view(np.uint64)
+    mixed = (x[:-1] * np.uint64(31) + x[1:]) * _STEP
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
+def slots(hashes: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
+    """Places of hashes in a bitmap of ``2 ** bits`` bits."""
+    return ((hashes.view(np.uint64) * _STEP) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _shorter(word: str) -> set[str]:
@@ -97,23 +143,23 @@ def _near(a: str, b: str) -> bool:
 class Item:
     """One evaluation passage, prepared for matching."""
 
-    def __init__(self, key: object, text: str) -> None:
-        self.key = key
-        self.words = words(text)
-        self.rare: dict[str, list[int]] = defaultdict(list)
-        self._forms: dict[str, list[str]] | None = None
+    def __init__(self, own: list[str], weights: list[float], others: frozenset[str] | set[str] = frozenset()) -> None:
+        """``others``: words of other items, which are no damaged forms of this one's."""
+        self.words, self.weights, self.others = own, weights, others
+        self.numbers = {w: k for k, w in enumerate(dict.fromkeys(own))}
+        self.sums = np.concatenate([[0.0], np.cumsum(weights)])
         self._short: dict[str, list[str]] | None = None
 
     def same_word(self, word: str) -> str | None:
         """The item's word that ``word`` is a damaged form of."""
+        if len(word) < 4 or word.isdigit() or word in self.others:
+            return None
         if self._short is None:
             self._short = defaultdict(list)
-            for own in set(self.words):
+            for own in self.numbers:
                 if len(own) >= 4 and not own.isdigit():
                     for form in _shorter(own):
                         self._short[form].append(own)
-        if len(word) < 4 or word.isdigit():
-            return None
         for form in _shorter(word):
             for own in self._short.get(form, ()):
                 if _near(own, word):
@@ -172,170 +218,265 @@ def tile(a: list[int], b: list[int], longest: int = LONGEST, shortest: int = SHO
     return tiles
 
 
-def covered(item: Item, doc: list[str], vocabulary: set[str] | frozenset[str] = frozenset()) -> int:
-    """Words of the item that the document reproduces in chains with a rare word.
-
-    Words of the ``vocabulary`` are words of other items, not damaged ones.
-    """
-    number = {w: k for k, w in enumerate(dict.fromkeys(item.words))}
-    a = [number[w] for w in item.words]
-    memo: dict[str, int] = {}
-    b = []
-    for w in doc:
-        k = memo.get(w)
-        if k is None:
-            k = number.get(w, -1)
-            if k < 0 and w not in vocabulary and (own := item.same_word(w)) is not None:
-                k = number[own]
-            memo[w] = k
-        b.append(k)
-    chains: list[list[tuple[int, int, int]]] = []
+def chains(tiles: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Tiles joined with the latest chain that ends shortly before them in the item and in the document."""
+    out: list[list[tuple[int, int, int]]] = []
     ends: dict[int, list[int]] = defaultdict(list)  # chains by the place in the item behind their last tile, oldest first
-    for i, j, n in sorted(tile(a, b), key=lambda t: t[1]):
-        # The latest chain that ends shortly before the tile, whatever stands between.
+    for i, j, n in sorted(tiles, key=lambda t: t[1]):
         joined = -1
         for ahead in range(min(GAP, i) + 1):
-            reach = max(GAP, INTERRUPTION) if ahead <= 1 and n >= SEED_WORDS else GAP
             for k in reversed(ends[i - ahead]):
-                _, pj, pn = chains[k][-1]
-                if j - pj - pn > reach:
+                _, pj, pn = out[k][-1]
+                if not (ahead <= 1 and n >= ADJOINING) and j - pj - pn > GAP:
                     break
-                if k > joined:
-                    joined = k
+                joined = max(joined, k)
                 break
         if joined < 0:
-            joined = len(chains)
-            chains.append([])
+            joined = len(out)
+            out.append([])
         else:
-            pi, _, pn = chains[joined][-1]
+            pi, _, pn = out[joined][-1]
             ends[pi + pn].remove(joined)
-        chains[joined].append((i, j, n))
+        out[joined].append((i, j, n))
         ends[i + n].append(joined)
+    return out
+
+
+def covered(item: Item, doc: list[str]) -> int:
+    """Words of the item that the document reproduces in chains that hold most of the weight around them."""
+    memo: dict[str, int] = {}
+    b = []
+    for w in doc:
+        k = memo.get(w)
+        if k is None:
+            k = item.numbers.get(w, -1)
+            if k < 0 and (own := item.same_word(w)) is not None:
+                k = item.numbers[own]
+            memo[w] = k
+        b.append(k)
+    sums, last = item.sums, len(item.words)
     places: set[int] = set()
-    for chain in chains:
-        if any(item.words[p] in item.rare for i, _, n in chain for p in range(i, i + n)):
-            places.update(range(chain[0][0], chain[-1][0] + chain[-1][2]))
+    for chain in chains(tile([item.numbers[w] for w in item.words], b)):
+        start, stop = chain[0][0], chain[-1][0] + chain[-1][2]
+        held = sum(sums[i + n] - sums[i] for i, _, n in chain)
+        if held >= MAJORITY * (sums[min(last, stop + EDGE)] - sums[max(0, start - EDGE)]):
+            places.update(range(start, stop))
+    if last == 1 and b.count(0):
+        return 1
     return len(places)
 
 
-class Index:
-    """Seeds of a block of items."""
-
-    def __init__(self, items: list[tuple[object, str]], rare: list[list[str]] | None = None) -> None:
-        """``rare``: the rare words of each item, if they were counted over more items than these."""
-        self.items = [Item(key, text) for key, text in items]
-        frequency = Counter(w for it in self.items for w in set(it.words))
-        self.rare: dict[str, list[int]] = defaultdict(list)
-        self._forms: dict[str, list[str]] | None = None
-        self.pairs: dict[tuple[str, str], list[int]] = defaultdict(list)
-        self.runs: dict[tuple, list[int]] = defaultdict(list)
-        most = RARE_ITEMS if len(self.items) >= MANY_ITEMS else 1
-        for k, it in enumerate(self.items):
-            own = rare[k] if rare is not None else [w for w in it.words if frequency[w] <= most]
-            it.rare = {w for w in own if len(w) >= 4 and not w.isdigit()}
-            if not it.rare:
-                it.rare = set(it.words)
-            for w in it.rare:
-                self.rare[w].append(k)
-            padded = [*it.words, ""] if len(it.words) == 1 else it.words
-            for pair in {(a, b) for a, b in zip(padded, padded[1:]) if a in it.rare or b in it.rare}:
-                self.pairs[pair].append(k)
-            for run in {tuple(it.words[i : i + SEED_WORDS]) for i in range(len(it.words) - SEED_WORDS + 1)}:
-                self.runs[run].append(k)
-        self.first = {run[0] for run in self.runs}
-        self.vocabulary = set(frequency)
-
-    def seeded(self, doc: list[str]) -> list[int]:
-        """Items that share a rare word with a neighbour of it, or several runs of words, with the document."""
-        hits: Counter = Counter()
-        pairs: Counter = Counter()
-        last = len(doc) - 1
-        for i, w in enumerate(doc):
-            if w in self.rare:
-                near = [(w, doc[i + 1] if i < last else ""), (w, "")]
-                if i:
-                    near.append((doc[i - 1], w))
-                for pair in near:
-                    for k in self.pairs.get(pair, ()):
-                        pairs[k] += 1
-        for i in range(len(doc) - SEED_WORDS + 1):
-            if doc[i] in self.first:
-                for k in self.runs.get(tuple(doc[i : i + SEED_WORDS]), ()):
-                    hits[k] += 1
-        sure = {k for k, n in pairs.items() if n}
-        maybe = [k for k, n in hits.items() if n >= SEEDS and k not in sure]
-        if maybe:
-            hurt = self._with_damaged(set(doc))
-            sure.update(k for k in maybe if k in hurt)
-        return list(sure)
-
-    def _with_damaged(self, words: set[str]) -> set[int]:
-        """Items of which a rare word, whole or damaged, is among the words."""
-        if self._forms is None:
-            self._forms = defaultdict(list)
-            for own in self.rare:
-                for form in _shorter(own):
-                    self._forms[form].append(own)
-        out: set[int] = set()
-        for w in words:
-            if w in self.rare:
-                out.update(self.rare[w])
-            elif len(w) >= 4 and w not in self.vocabulary and not w.isdigit():
-                for own in {own for form in _shorter(w) for own in self._forms.get(form, ())}:
-                    if _near(own, w):
-                        out.update(self.rare[own])
-        return out
+def seeded_share(item_seeds: np.ndarray, weights: np.ndarray, seeds: np.ndarray) -> float:
+    """The largest share of the weight of a stretch of LEAST_WORDS words that the seeds hold."""
+    held = np.zeros(len(weights))
+    at = np.flatnonzero(np.isin(item_seeds, seeds))
+    held[at] = held[np.minimum(at + 1, len(held) - 1)] = 1.0
+    size = min(LEAST_WORDS, len(weights))
+    a, b = (np.concatenate([[0.0], np.cumsum(x)]) for x in (held * weights, weights))
+    return float(np.max((a[size:] - a[:-size]) / (b[size:] - b[:-size])))
+
+
+def needed_seeds(n_words: Column, n_seeds: Column) -> Column:
+    """Different seeds that a document must share with an item of so many words and different seeds."""
+    return F.greatest(F.lit(1), F.least(F.lit(SEEDS), ((F.least(n_words, F.lit(LEAST_WORDS)) - 1) / 4).cast("int"), n_seeds))
+
+
+def _bitmap(rows: DataFrame, number_: int) -> tuple[int, bytes]:
+    """(bits, bitmap) of the column ``slot``; its size follows ``number_`` up to MOST_BITS and not beyond."""
+    bits = min(MOST_BITS, max(15, (64 * number_).bit_length()))
+    place = F.shiftright("slot", SLOT_BITS - bits)
+    parts = rows.select((place + 1).alias("n")).groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("part")).collect()  # 4 KB each, 32 MB at most
+    size = max(1, (1 << bits) >> 15)
+    whole = bytearray(4096 * size)
+    for bucket, part in parts:
+        whole[(bucket - 1) * 4096 : bucket * 4096] = part
+    return bits, bytes(whole)
+
+
+def _read_items(items: DataFrame, key: str, text: str) -> DataFrame:
+    """``p, i, words, codes, seeds, slots, word_slots`` of every item with words; ``p`` numbers the rows."""
+    kind, arrow = items.schema[key].dataType.simpleString(), to_arrow_type(items.schema[key].dataType)
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("i", arrow), ("words", pa.list_(pa.string())), ("codes", longs), ("seeds", longs), ("seed_slots", longs), ("word_slots", longs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = words(value)
+                if own:
+                    codes = np.array([number(w) for w in own], np.int64)
+                    seeds = seeds_of(codes) if len(own) > 1 else codes
+                    rows.append({"i": k, "words": own, "codes": codes, "seeds": seeds, "seed_slots": slots(seeds), "word_slots": slots(codes)})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    whole = items.select(F.col(key).alias("i"), F.col(text).alias("t")).where(F.length("t") > 0)
+    longs_ = "array<bigint>"
+    read = whole.mapInArrow(run, f"i {kind}, words array<string>, codes {longs_}, seeds {longs_}, seed_slots {longs_}, word_slots {longs_}")
+    return written(read.withColumn("p", F.monotonically_increasing_id()), "eval-items")
 
-    def leaks(self, text: str) -> list[tuple[object, int, int]]:
-        """(item, covered words, words of the item) for each seeded item."""
-        doc = words(text)
-        return [(self.items[k].key, covered(self.items[k], doc, self.vocabulary), len(self.items[k].words)) for k in sorted(self.seeded(doc))]
+
+def _near_words(vocabulary: DataFrame) -> DataFrame:
+    """``word, others``: the words of the vocabulary that are near a word and yet words of their own."""
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, f) for w in batch.column(0).to_pylist() if len(w) >= 4 and not w.isdigit() for f in _shorter(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["word", "form"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [k for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) if _near(a, b)]
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    spread = vocabulary.select("word").mapInArrow(forms, "word string, form string")
+    pairs = spread.join(spread.withColumnRenamed("word", "other"), "form").where("word <> other").select("word", "other").distinct()
+    return pairs.mapInArrow(near, "word string, other string").groupBy("word").agg(F.collect_set("other").alias("others"))
 
 
 def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = LEAST_WORDS) -> DataFrame:
     """``key, item_key, n_covered INT`` of every document that reproduces an item, or ``least`` words of it.
 
-    Null and empty texts on either side give no row; repeated documents and
-    items count each by themselves; other columns are not read; with an empty
-    table the result is empty.  The items are shipped to the workers in blocks
-    of at most ``BLOCK_CHARS`` characters, so any number of items is matched.
+    Null and empty texts on either side, and texts without words, give no row;
+    repeated documents and items count each by themselves; other columns are not
+    read; with an empty table the result is empty.  The corpus is read once,
+    however many items there are; what a worker holds of them is bounded by the
+    bitmaps' size.
     """
     spark = docs.sparkSession
-    passages = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where(F.length("t") > 0)
-    size, number = passages.agg(F.sum(F.length("t")), F.count("*")).first()
-    blocks = 1 + (size or 0) // BLOCK_CHARS
-    most = RARE_ITEMS if number >= MANY_ITEMS else 1
-
-    def each_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, w) for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(words(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["p", "w"])
-
-    # Rarity is counted over all items, so it does not depend on the blocks.
-    passages = passages.withColumn("p", F.xxhash64("i", "t"))
-    spread = passages.select("p", "t").mapInArrow(each_word, "p bigint, w string")
-    rare = spread.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") <= most).join(spread, "w").groupBy("p").agg(F.collect_set("w").alias("rare"))
-    passages = passages.join(rare, "p", "left")
+    read = _read_items(items, item_key, item_text)
+    n_words = F.size("words")
+    per_item = read.select("p", "i", "words", "codes", "seeds", "seed_slots", "word_slots", needed_seeds(n_words, F.size(F.array_distinct("seeds"))).alias("need"))
+    sizes = per_item.agg(F.count("*"), F.coalesce(F.sum(F.size("seeds")), F.lit(0)), F.coalesce(F.max(F.when(n_words == 1, 1)), F.lit(0))).first()
     kinds = [docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]
+    if not sizes[0]:
+        return spark.createDataFrame([], f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, n_covered int")
+    seed_slot = per_item.select("need", F.explode("seed_slots").alias("slot"))
+    shared = spark.sparkContext.broadcast({
+        "seeds": _bitmap(seed_slot, sizes[1]),
+        "short": _bitmap(seed_slot.where(F.col("need") < SEEDS), sizes[1]),
+        "words": _bitmap(per_item.select(F.explode("word_slots").alias("slot")), sizes[1] + sizes[0]),
+        "single": bool(sizes[2]),
+    })  # fmt: skip  # three bitmaps of 32 MB at most
+
+    key_type = to_arrow_type(docs.schema[key].dataType)
+    schema = pa.schema([("k", key_type), ("uid", pa.int64()), ("t", pa.string()), ("seeds", pa.list_(pa.int64())), ("code", pa.int64()), ("n", pa.int64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of documents with seeds, and rows that count: documents by word, and all documents under no word."""
+        maps = {}
+        for name in ("seeds", "short", "words"):
+            bits, raw = shared.value[name]
+            maps[name] = bits, np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little").view(bool) if bits <= 22 else np.frombuffer(raw, np.uint8)
+
+        def inside(name: str, hashes: np.ndarray) -> np.ndarray:
+            bits, flags = maps[name]
+            at = slots(hashes, bits)
+            return flags[at] if bits <= 22 else (flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+        counts: Counter = Counter()
+        total = uid = 0
+        base = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            total += len(texts)
+            numbered = [np.array(list(map(_NUMBERED.__getitem__, _found(value))), np.int64) for value in texts]
+            lengths = np.array([len(x) for x in numbered])
+            if not lengths.sum():
+                continue
+            codes = np.concatenate(numbered)
+            row = np.repeat(np.arange(len(texts)), lengths)
+            # Documents by word of the items.
+            known = np.flatnonzero(inside("words", codes))
+            distinct, place = np.unique(codes[known], return_inverse=True)
+            if len(distinct):
+                each = np.unique(row[known] * len(distinct) + place) % len(distinct)
+                for code, n in zip(distinct.tolist(), np.bincount(each, minlength=len(distinct)).tolist()):
+                    counts[code] += n
+            # Different seeds by document.
+            pairs = seeds_of(codes) if len(codes) > 1 else codes[:0]
+            at = np.flatnonzero((row[:-1] == row[1:]) & inside("seeds", pairs))
+            hashes, rows = pairs[at], row[at]
+            if shared.value["single"]:
+                alone = known[inside("seeds", codes[known])]
+                hashes, rows = np.concatenate([hashes, codes[alone]]), np.concatenate([rows, row[alone]])
+            order = np.lexsort((hashes, rows))
+            hashes, rows = hashes[order], rows[order]
+            new = np.r_[True, (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])] if len(rows) else np.zeros(0, bool)
+            hashes, rows = hashes[new], rows[new]
+            enough = np.bincount(rows, minlength=len(texts)) >= SEEDS
+            enough |= np.bincount(rows[inside("short", hashes)], minlength=len(texts)) > 0
+            chosen = np.flatnonzero(enough)
+            begin, end = np.searchsorted(rows, chosen), np.searchsorted(rows, chosen, "right")
+            none = [None] * len(chosen)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(chosen)), pa.array(range(base + uid, base + uid + len(chosen)), pa.int64()), batch.column(1).take(pa.array(chosen)).cast(pa.string()),
+                    pa.array([hashes[a:b] for a, b in zip(begin, end)], pa.list_(pa.int64())), pa.array(none, pa.int64()), pa.array(none, pa.int64()),
+                ],
+                schema=schema,
+            )
+            uid += len(chosen)
+            if len(counts) > 500_000:
+                yield counted(counts)
+                counts.clear()
+        counts[None] = total
+        yield counted(counts)
+
+    def counted(counts: Counter) -> pa.RecordBatch:
+        none = [None] * len(counts)
+        return pa.RecordBatch.from_arrays([pa.array(none, key_type), pa.array(none, pa.int64()), pa.array(none, pa.string()), pa.array(none, pa.list_(pa.int64())), pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+
+    whole = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
+    scanned = written(whole.mapInArrow(scan, f"k {kinds[0]}, uid bigint, t string, seeds array<bigint>, code bigint, n bigint"), "leak-candidates")
+
+    # Weights of the items' words: documents and items that hold them.
+    number_docs = scanned.where("uid IS NULL AND code IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    in_docs = scanned.where("code IS NOT NULL").select("code", "n")
+    spread = per_item.select("p", F.posexplode(F.arrays_zip("words", "codes")).alias("at", "w")).select("p", "at", F.col("w.words").alias("word"), F.col("w.codes").alias("code"))
+    spread = spread.withColumn("first", F.row_number().over(Window.partitionBy("p", "code").orderBy("at")) == 1)
+    vocabulary = spread.groupBy("code").agg(F.min("word").alias("word"), F.count(F.when(F.col("first"), 1)).alias("own"))
+    df = vocabulary.join(in_docs.groupBy("code").agg(F.sum("n").alias("n")), "code", "left").select("code", "word", (F.col("own") + F.coalesce("n", F.lit(0))).alias("df"))
+    df = written(df, "eval-words")
+    weight = F.pow(F.log((F.lit(number_docs + sizes[0]) + 1) / F.col("df")), F.lit(STEEP))
+    weighted = spread.join(df.select("code", weight.alias("weight")).join(_near_words(df).join(df.select("word", "code"), "word").drop("word"), "code", "left"), "code")
+    per_word = weighted.groupBy("p").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "weight"))), lambda s: s.weight).alias("weights"),
+        F.array_distinct(F.flatten(F.collect_list(F.coalesce("others", F.array().cast("array<string>"))))).alias("others"),
+    )
+    prepared = written(per_item.select("p", "i", "words", "seeds", "need").join(per_word, "p"), "eval-weighted")
+
+    # Pairs that share enough seeds.
+    item_seeds = per_item.select("p", "need", F.explode(F.array_distinct("seeds")).alias("seed"))
+    hits = scanned.where("uid IS NOT NULL").select("uid", F.explode("seeds").alias("seed")).join(item_seeds, "seed")
+    pairs = hits.groupBy("uid", "p").agg(F.collect_list("seed").alias("hit"), F.first("need").alias("need")).where(F.size("hit") >= F.col("need"))
+
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit, own, weights = (batch.column(k) for k in (2, 3, 4))
+            keep = [r for r in range(batch.num_rows) if seeded_share(own[r].values.to_numpy(), weights[r].values.to_numpy(), hit[r].values.to_numpy()) >= SEEDED]
+            yield batch.take(pa.array(keep, pa.int64())).select(["uid", "p"])
+
+    chosen = pairs.select("uid", "p", "hit").join(prepared.select("p", "seeds", "weights"), "p").select("uid", "p", "hit", "seeds", "weights").mapInArrow(promising, "uid bigint, p bigint")
+
     item_type = to_arrow_type(items.schema[item_key].dataType)
-    result = None
-    for block in range(blocks):
-        part = passages.where(F.pmod("p", F.lit(blocks)) == block).select("i", "t", "rare")
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # about BLOCK_CHARS characters
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index([r[:2] for r in shared.value], [r[2] or [] for r in shared.value])
-            for batch in batches:
-                out = [
-                    (k, item, n)
-                    for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for item, n, whole in index.leaks(value)
-                    if n >= LEAST_SHARE * min(least, whole)
-                ]
-                rows = [{"k": k, "i": i, "n_covered": n} for k, i, n in out]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("k", batch.schema.field(0).type), ("i", item_type), ("n_covered", pa.int32())]))
-
-        whole = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
-        found = whole.mapInArrow(run, f"k {kinds[0]}, i {kinds[1]}, n_covered int")
-        result = found if result is None else result.unionByName(found)
-    return result.select(F.col("k").alias(key), F.col("i").alias(item_key), "n_covered")
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[int, Item] = {}
+        for batch in batches:
+            rows = []
+            for k, value, p, i, own, weights, others in zip(*(c.to_pylist() for c in batch.columns)):
+                item = ready.get(p)
+                if item is None:
+                    if len(ready) > 2_000:
+                        ready.clear()
+                    item = ready[p] = Item(own, weights, set(others))
+                n = covered(item, words(value))
+                if n >= LEAST_SHARE * min(least, len(own)):
+                    rows.append({"k": k, "i": i, "n_covered": n})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("k", key_type), ("i", item_type), ("n_covered", pa.int32())]))
+
+    texts = scanned.where("uid IS NOT NULL").select("uid", "k", "t")
+    full = chosen.join(texts, "uid").join(prepared.select("p", "i", "words", "weights", "others"), "p").select("k", "t", "p", "i", "words", "weights", "others")
+    found = full.mapInArrow(tiled, f"k {kinds[0]}, i {kinds[1]}, n_covered int")
+    return found.select(F.col("k").alias(key), F.col("i").alias(item_key), "n_covered")

@@ -58,11 +58,45 @@ def test_empty_tables(spark):
     assert lk.leaked(some, "doc_id", "text", items, "item_id", "text").count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    docs = [(1, ITEM), (2, OTHER)]
+def test_small_bitmaps_give_the_same(spark, monkeypatch):
+    docs = [(1, ITEM), (2, OTHER), (3, "Five words stand here alone."), (4, "nothing of the kind")]
     whole = found(spark, docs)
-    monkeypatch.setattr(lk, "BLOCK_CHARS", 100)
-    assert found(spark, docs) == whole == {(1, 1), (2, 2)}
+    monkeypatch.setattr(lk, "MOST_BITS", 15)
+    assert found(spark, docs) == whole == {(1, 1), (2, 2), (3, 5)}
+
+
+def invented(rng, n):
+    return " ".join("".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeou") for _ in range(rng.randint(2, 4))) for _ in range(n))
+
+
+def test_leak_is_found_however_many_items_share_it(spark):
+    rng = random.Random(3)
+    passage = invented(rng, 60)
+    doc = invented(rng, 40) + " " + " ".join(passage.split()[2:57]) + " " + invented(rng, 40)
+    unrelated = [invented(rng, 60) for _ in range(998)]
+    docs = spark.createDataFrame([(1, doc), *((i + 2, t) for i, t in enumerate(invented(rng, 80) for _ in range(20)))], "doc_id long, text string")
+    for shared, others in ((1, 998), (2, 50), (2, 98), (3, 10), (4, 50), (6, 10), (6, 998)):
+        items = spark.createDataFrame([(i, passage + " " + invented(rng, 5)) for i in range(shared)] + [(100 + i, t) for i, t in enumerate(unrelated[:others])], "item_id long, text string")
+        assert {(r.doc_id, r.item_id) for r in lk.leaked(docs, "doc_id", "text", items, "item_id", "text").collect()} == {(1, i) for i in range(shared)}
+
+
+def test_a_leak_in_most_documents_is_found_in_all(spark):
+    docs = spark.createDataFrame([(i, f"Seite {i} sagt: " + ITEM) for i in range(30)] + [(100, "Seite")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, OTHER)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in lk.leaked(docs, "doc_id", "text", items, "item_id", "text").collect()} == {(i, 1) for i in range(30)}
+
+
+def test_damaged_words(spark):
+    # Every third word of a copied stretch of 30 lost a letter.
+    rng = random.Random(8)
+    items, docs = [], []
+    for i in range(40):
+        own = invented(rng, 70).split()
+        items.append((i, " ".join(own)))
+        part = [w[:2] + w[3:] if k % 3 == 0 and len(w) > 4 else w for k, w in enumerate(own[10:40])]
+        docs.append((i, invented(rng, 50) + " " + " ".join(part) + " " + invented(rng, 50)))
+    got = lk.leaked(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i) for i in range(40)}
 
 
 def test_tiling_marks_the_longest_first_and_nothing_twice():
@@ -85,9 +119,22 @@ def test_tiling_marks_the_longest_first_and_nothing_twice():
 
 
 def test_stray_tiles_do_not_break_a_chain():
-    # Only the first part has the rare word; four stray pairs of the item's words stand between the parts.
     first, second = "zumthal opened one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
-    item = lk.Item(1, f"{first} {second} p q alpha beta r s gamma delta t u epsilon theta v w kappa omega")
-    item.rare = {lk.fold("zumthal")}
+    own = [lk.fold(w) for w in f"{first} {second} p q alpha beta r s gamma delta t u epsilon theta v w kappa omega".split()]
+    # Only the first part has the rare word; four stray pairs of the item's words stand between the parts.
+    item = lk.Item(own, [9.0 if w == lk.fold("zumthal") else 1.0 for w in own])
     doc = lk.words(f"{first} x kappa omega x epsilon theta x gamma delta x alpha beta x {second}")
     assert lk.covered(item, doc) == 16
+
+
+def test_common_words_without_the_rare_ones_do_not_count():
+    own = "some crates of amber reached zumthal at dusk before the old toll keeper of rimvold slept".split()
+    rare = {"amber", "zumthal", "rimvold"}
+    item = lk.Item([lk.fold(w) for w in own], [9.0 if w in rare else 1.0 for w in own])
+    assert lk.covered(item, lk.words(" ".join("other" if w in rare else w for w in own))) == 0
+    assert lk.covered(item, lk.words(" ".join(own))) == len(own)
+
+
+def test_words_ignore_markup_and_underscores():
+    assert lk.words('_Eine_ <a href="x">Ka&nbsp;rte</a> a<b') == [lk.fold(w) for w in ("eine", "ka", "rte", "a", "b")]
+    assert len(lk.words("<" * 300_000 + " wort " + "&" * 300_000)) == 1
