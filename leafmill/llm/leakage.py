@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,13 +48,16 @@ LONGEST, SHORTEST = 16, 2
 GAP, ADJOINING = 4, 3
 #: Different seeds of an item that a document must hold: one in four of the least words' seeds.
 SEEDS = 4
-#: Share of the weight of some stretch of LEAST_WORDS words that seeds must hold for a pair to be tiled. A chain that counts has MAJORITY, so a fifth of the weight may be in words that are damaged or alone.
-SEEDED = 0.45
+#: Share of the weight of some stretch of LEAST_WORDS words that seeds must hold for a pair to be tiled. A chain that counts has MAJORITY, so some of its weight may be in words that are damaged or alone.
+SEEDED = 0.5
 #: Bits of the largest bitmap (32 MB), whatever the number of items; a fuller one only lets more pass to the exact join.
 MOST_BITS = 28
 SLOT_BITS = 28
 
-_WORD = re.compile(r"[^\W_]+(?:[-­‐]\s*[^\W_]+)*")
+# Characters that only mark others or take no room, as they stand in decomposed text.
+_SILENT = "\u0300-\u036f\u200b-\u200d\u2060\ufeff"
+_PART = rf"[^\W_]+(?:[{_SILENT}]+[^\W_]*)*"
+_WORD = re.compile(rf"{_PART}(?:[-\u00ad\u2010]\s*{_PART})*")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->|&(?:[a-zA-Z]\w{1,31}|#\w{1,8});", re.S)
 _INNER = re.compile(r"[\s­‐-]+")
 # Characters that scanning mixes up, each with the one that stands for both.
@@ -65,7 +69,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 def fold(word: str) -> str:
     """The form under which a word is compared."""
-    word = _INNER.sub("", word)
+    if not word.isalnum():
+        word = _INNER.sub("", word).translate(_MARKS)
     return word if word.isdigit() else word.translate(_FOLD).replace("rn", "m")
 
 
@@ -97,7 +102,7 @@ def _found(text: str) -> list[str]:
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_MARKS)
+        text = unicodedata.normalize("NFKD", text)
     return _WORD.findall(text.lower())
 
 
@@ -245,7 +250,7 @@ def chains(tiles: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
 def covered(item: Item, doc: list[str]) -> int:
     """Words of the item that the document reproduces in chains that hold most of the weight around them."""
     memo: dict[str, int] = {}
-    b = []
+    numbered = []
     for w in doc:
         k = memo.get(w)
         if k is None:
@@ -253,27 +258,49 @@ def covered(item: Item, doc: list[str]) -> int:
             if k < 0 and (own := item.same_word(w)) is not None:
                 k = item.numbers[own]
             memo[w] = k
-        b.append(k)
+        numbered.append(k)
+    # Words that are not the item's, and words of it between two such, are in no tile; one place stands for all of a stretch.
+    b, at = [], []
+    for j, k in enumerate(numbered):
+        if k >= 0 and ((j and numbered[j - 1] >= 0) or (j + 1 < len(numbered) and numbered[j + 1] >= 0)):
+            b.append(k)
+            at.append(j)
+        elif b and b[-1] >= 0:
+            b.append(-1)
+            at.append(j)
     sums, last = item.sums, len(item.words)
     places: set[int] = set()
-    for chain in chains(tile([item.numbers[w] for w in item.words], b)):
+    tiles = [(i, at[j], n) for i, j, n in tile([item.numbers[w] for w in item.words], b)]
+    for chain in chains(tiles):
         start, stop = chain[0][0], chain[-1][0] + chain[-1][2]
         held = sum(sums[i + n] - sums[i] for i, _, n in chain)
         if held >= MAJORITY * (sums[min(last, stop + EDGE)] - sums[max(0, start - EDGE)]):
             places.update(range(start, stop))
-    if last == 1 and b.count(0):
+    if last == 1 and 0 in numbered:
         return 1
     return len(places)
 
 
-def seeded_share(item_seeds: np.ndarray, weights: np.ndarray, seeds: np.ndarray) -> float:
-    """The largest share of the weight of a stretch of LEAST_WORDS words that the seeds hold."""
+def seeded_shares(seeds: np.ndarray, n_seeds: np.ndarray, weights: np.ndarray, n_weights: np.ndarray, hits: np.ndarray, n_hits: np.ndarray) -> np.ndarray:
+    """For each pair the largest share of the weight of a stretch of LEAST_WORDS words of the item that the hits among its seeds hold.
+
+    All arrays lie back to back, with their lengths by pair.
+    """
+    pairs = len(n_seeds)
+    mixed = lambda values, lengths: (values.view(np.uint64) ^ (np.repeat(np.arange(pairs, dtype=np.uint64), lengths) * _STEP)).view(np.int64)
+    at = np.flatnonzero(np.isin(mixed(seeds, n_seeds), mixed(hits, n_hits)))
+    ends = np.cumsum(n_weights)
+    starts = ends - n_weights
+    pair = np.searchsorted(np.cumsum(n_seeds), at, "right")
+    place = at - (np.cumsum(n_seeds) - n_seeds)[pair] + starts[pair]
     held = np.zeros(len(weights))
-    at = np.flatnonzero(np.isin(item_seeds, seeds))
-    held[at] = held[np.minimum(at + 1, len(held) - 1)] = 1.0
-    size = min(LEAST_WORDS, len(weights))
+    held[place] = held[np.minimum(place + 1, ends[pair] - 1)] = 1.0
     a, b = (np.concatenate([[0.0], np.cumsum(x)]) for x in (held * weights, weights))
-    return float(np.max((a[size:] - a[:-size]) / (b[size:] - b[:-size])))
+    size = np.repeat(np.minimum(LEAST_WORDS, n_weights), n_weights)
+    begin = np.arange(len(weights))
+    stop = np.minimum(begin + size, np.repeat(ends, n_weights))
+    share = np.where(stop - begin == size, (a[stop] - a[begin]) / np.maximum(b[stop] - b[begin], 1e-300), 0.0)
+    return np.maximum.reduceat(share, starts) if pairs else np.zeros(0)
 
 
 def needed_seeds(n_words: Column, n_seeds: Column) -> Column:
@@ -453,8 +480,10 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit, own, weights = (batch.column(k) for k in (2, 3, 4))
-            keep = [r for r in range(batch.num_rows) if seeded_share(own[r].values.to_numpy(), weights[r].values.to_numpy(), hit[r].values.to_numpy()) >= SEEDED]
+            parts = []
+            for column in (batch.column(3), batch.column(4), batch.column(2)):
+                parts += [column.flatten().to_numpy(), pc.list_value_length(column).to_numpy().astype(np.int64)]
+            keep = np.flatnonzero(seeded_shares(*parts) >= SEEDED)
             yield batch.take(pa.array(keep, pa.int64())).select(["uid", "p"])
 
     chosen = pairs.select("uid", "p", "hit").join(prepared.select("p", "seeds", "weights"), "p").select("uid", "p", "hit", "seeds", "weights").mapInArrow(promising, "uid bigint, p bigint")

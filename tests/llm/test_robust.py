@@ -10,13 +10,14 @@ from leafmill.llm import chunking, leakage, mailtext, names, shapes
 N = 60_000
 LONG = ["a", "a.", "a-", "- ", "<", "> ", "|", "\t", ";", " ", "a@", "x ", "a/", "&", "(", "1.", "\n", "\r\n", ". ", "é́", "[x] ", "**a**:", "a,", "schrieb ", "am 1.1.2020 ", "www.", "-\n"]
 ODD = ["> ", "|", "\n", "\r\n", "Am 1.1.2020 schrieb A:", "Von: a@b", "--", "LG", "a", "Ä", "<b>", "http://x.y/z", " ", "\t", ";", ":", ",", ".", "(", "]", "🎈", "​", "\x00", "'", "PS: "]
-INDEX = leakage.Index([(1, "In 1360 the twice-mended bell of Perutis cracked, yet the annals of Rilutgaro mention only goat leather.")])
+OWN = leakage.words("In 1360 the twice-mended bell of Perutis cracked, yet the annals of Rilutgaro mention only goat leather.")
+ITEM = leakage.Item(OWN, [1.0] * len(OWN))
 
 
 def everything(text):
     mailtext.authored_lines(text, ["x y", "a@b"], text[:1000])
     shapes.spam_share(text)
-    INDEX.leaks(text)
+    leakage.covered(ITEM, leakage.words(text))
     names.profile(text[:20_000])
     chunking._pieces([1], [text + "x" * 3000], 2000, 500, 200)
 
