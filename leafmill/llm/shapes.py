@@ -29,6 +29,8 @@ FEW_SHAPES, DOMINANT = 6, 0.7
 LISTED = 5
 #: A content word is repeated if it makes up this share of the page's content words, and occurs as often as REPEATS.
 REPEATED, REPEATS = 0.02, 3
+#: Where fewer than this share of a page's different content words occur less often than REPEATS, every other word is repeated, however many there are: in running text of any length most words are rare.
+RARE = 0.2
 
 # Frequent function words by language.
 FUNCTION_WORDS_OF = {
@@ -42,7 +44,7 @@ FUNCTION_WORDS_OF = {
 FUNCTION_WORDS = frozenset(w for words in FUNCTION_WORDS_OF.values() for w in words.split())
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|\b[\w-]{1,80}(?:\.[\w-]{1,80}){1,8}/\S*", re.I)
-_TAG = re.compile(r"<[^<>]{1,300}>")
+_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _NUMBER = re.compile(r"\d[\d.,'’:]*")
 _SPLIT = re.compile(r"\r\n|[\n\r\f\v\x85\u2028\u2029]|<br\s*/?>|(?<=</a>)\s*|(?<=</li>)\s*|(?<=[.!?…])\s+(?=[^\W\d_]|[¿¡\"'«„])")
@@ -54,7 +56,7 @@ _CHECK = re.compile(r"^\s*(?:[-*+]|\d+[.)])?\s*(?:\[[ xX✓]?\]|[☐☑☒✓✔
 _TABLE = re.compile(r"^\s*\|.*\|\s*$|^\s*[-|+:=\s]{5,}$|(?:\t[^\t]*){2,}|(?:;[^;]*){3,}")
 _ASSIGNED = re.compile(r"^\s*[\w.\[\]]+\s*[:+\-]?=\s*\S|^```|\w\([^()]*\)\s*[;{]?\s*$")
 _CODE = re.compile(r"[{}]\s*$|;\s*$|^\s*[\w.\[\]]+\s*[:+\-]?=\s*\S|^\s*(?:def|class|import|return|if|for|while|var|let|const|function|public|private)\b.*[({:;]|\w\(.*\)\s*$|^```")
-_RUN = re.compile(r"(\s)\s+")
+_RUN = re.compile(r"\s\s+")
 _BROKEN = re.compile(r"[,:;\d]")
 _CLOSING = re.compile(r"[.!?…:]['\"»“)]*\s*$")
 
@@ -90,14 +92,14 @@ def read_unit(text: str) -> Unit:
     links = len(_URL.findall(text)) + text.count("href=") if "://" in text or "www." in text or "/" in text or "href=" in text else 0
     bare = _TAG.sub(" ", text) if "<" in text else text
     bare = _URL.sub(" ", bare) if links else bare
-    bare = _RUN.sub(r"\1", bare) if len(bare) > 400 else bare  # else separators are looked for at every blank of a long run
+    bare = _RUN.sub(lambda m: "\t" if "\t" in m[0] else " ", bare)  # else separators are looked for at every blank of a long run
     found = _WORD.findall(bare)
     words = [w.lower() for w in found]
     return Unit(text, bare, words, sum(w[0].isupper() for w in found), len([w for w in words if w in FUNCTION_WORDS]), links)
 
 
-def reduce_unit(unit: Unit | str, repeated: frozenset[str] | set[str]) -> Shape:
-    """The shape of one line or sentence; ``repeated`` holds the page's repeated words."""
+def reduce_unit(unit: Unit | str, repeated: frozenset[str] | set[str], alone: bool = False) -> Shape:
+    """The shape of one line or sentence; ``repeated`` holds the page's repeated words, which count as keywords ``alone`` in a line too."""
     unit = read_unit(unit) if isinstance(unit, str) else unit
     text, bare, words, upper, function, links = unit
     size = len(words)
@@ -128,7 +130,7 @@ def reduce_unit(unit: Unit | str, repeated: frozenset[str] | set[str]) -> Shape:
         kind = "code"
     elif not words:
         kind = "other"
-    elif content and again >= (0.85 if _CLOSING.search(text) and _BROKEN.search(text) else 0.6) * content and size >= 2 and not (fluent and again < 0.9 * content and function >= 0.3 * size):
+    elif content and again >= (0.85 if _CLOSING.search(text) and _BROKEN.search(text) else 0.6) * content and size >= 2 - alone and not (fluent and again < 0.9 * content and function >= 0.3 * size):
         kind = "keywords"
     elif len(parts) >= 4 and longest <= 6 and not fluent and function < 0.25 * size:
         kind = "phrases"
@@ -162,11 +164,13 @@ def page_shapes(text: str) -> dict[Shape, int]:
             # A sentence that a page repeats as a whole is no repetition of its words.
             counts.update(own)
     total = sum(counts.values())
-    repeated = {w for w, n in counts.items() if n >= REPEATS and n >= REPEATED * total}
+    often = {w for w, n in counts.items() if n >= REPEATS}
+    stuffed = len(counts) - len(often) < RARE * len(counts)
+    repeated = often if stuffed else {w for w in often if counts[w] >= REPEATED * total}
     mass: dict[Shape, int] = defaultdict(int)
     seen: Counter = Counter()
     for unit, times in read:
-        shape = reduce_unit(unit, repeated)
+        shape = reduce_unit(unit, repeated, stuffed)
         mass[shape] += len(unit.text.strip()) * times
         seen[shape] += times
     for shape in [s for s in mass if s.kind == "names" and seen[s] < LISTED]:

@@ -57,3 +57,21 @@ def test_table_and_edges(spark):
     df = spark.createDataFrame(rows, "k long, t string, share string")
     assert sorted(r.k for r in sh.spam_pages(df, "k", "t").collect()) == [1, 1, 6]
     assert sh.spam_pages(df.limit(0), "k", "t").count() == 0
+
+
+@pytest.mark.parametrize("n", [4, 12, 60, 900])
+def test_separators_count_at_any_length(n):
+    line = " \t".join(f"{a} {b}" for a, b in zip(["led lamps", "yoga mats", "cheap flights", "phone cases"] * n, ["neu", "top", "pro", "red"] * n))
+    assert sh.reduce_unit(line, set()).kind == "phrases"
+
+
+def test_many_keywords_that_are_all_repeated():
+    words = [f"{a}{b}{c}" for a in ("lam", "mat", "flug", "kred", "haus") for b in ("pen", "ten", "gut", "ito", "rat") for c in ("neu", "top", "pro", "fix", "max")]
+    assert sh.spam_share("\n".join(words * 4))[0] > sh.MOST
+    # Running text has rare words at any length.
+    assert sh.spam_share(GOOD["prose"] + "\n".join(words))[0] < sh.MOST
+
+
+def test_long_tags_are_no_words():
+    tag = '<a data-x="' + "yoga " * 200 + '" href="https://x.example/a">'
+    assert sh.read_unit(tag + "Matten</a>").words == ["matten"]
