@@ -15,15 +15,21 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leafmill.session import cut, written
 
-#: A spelling counts as a typing error of another if it is in so few names, or in so much fewer.
-FEW, FEWER = 2, 8
+#: A word counts as a typing error of another if only one name has it, or so many times fewer names; how many names there are in all does not matter.
+FEWER = 4
+#: Or if it is in so many times fewer names, and at least this share of its names stand there with the other word too.
+FEWER_BESIDE, BESIDE = 2, 0.5
+#: Initials of a record that its profile is looked up by; a name has seldom more.
+MOST_INITIALS = 3
 
 # Titles and forms of address that are no part of a name.
 TITLES = frozenset("herr frau hr fr dr prof mr mrs ms miss sir madame monsieur mme mlle señor señora sr sra dipl ing med lic iur mag jun sen jr fa firma".split())
@@ -47,7 +53,7 @@ NICKNAMES = {
 }
 
 # Given names of two parts that some write apart.
-DOUBLE_NAMES = frozenset("klauspeter karlheinz hanspeter hansjürgen hansjörg karlfriedrich jeanluc jeanpierre jeanclaude jeanmarc marielouise marieclaire annalena annamaria annasophie evamaria josémaría".split())
+DOUBLE_NAMES = frozenset("klaus-peter karl-heinz hans-peter hans-jürgen hans-jörg karl-friedrich jean-luc jean-pierre jean-claude jean-marc marie-louise marie-claire anna-lena anna-maria anna-sophie eva-maria josé-maría".split())
 
 _BRACKETS = re.compile(r"\([^)]*\)|\[[^\]]*\]|<[^>]*>")
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.?-?){1,3}$")
@@ -63,12 +69,15 @@ def _fold(word: str) -> str:
 _NICKNAMES = {_fold(k): [_fold(x) for x in v.split()] for k, v in NICKNAMES.items()}
 _GIVEN = {w for v in _NICKNAMES.values() for w in v}
 _LEGAL = {_fold(w) for w in LEGAL}
-_DOUBLE = {_fold(w) for w in DOUBLE_NAMES}
+_DOUBLE = {_fold(w): "".join(_fold(x)[0] for x in w.split("-")) for w in DOUBLE_NAMES}
 _TITLES = {_fold(w) for w in TITLES}
 
 
 def profile(name: str) -> dict:
-    """Words, initials, abbreviated words, legal form and signature of one spelling."""
+    """Words, initials, abbreviated words, legal form and signature of one spelling.
+
+    The initials of a full name are those that stand beside its words, and those of the parts of its hyphenated words.
+    """
     text = unicodedata.normalize("NFKC", _BRACKETS.sub(" ", name))
     text = re.sub(r"\b([A-Za-z])\. ?([A-Za-z])\.(?!\w|-)", lambda m: m[1] + m[2] if (m[1] + m[2]).lower() in ("sa", "ev", "eg", "ek", "bv", "nv") else m[0], text)
     pieces = [p for p in re.split(r"[\s,;&+/\"'’`´]+", text) if p.strip(".-")]
@@ -82,16 +91,18 @@ def profile(name: str) -> dict:
         elif plain in _TITLES:
             continue
         elif len(plain) == 1 or (_INITIALS.match(piece) and "." in piece) or (len(plain) == 2 and piece.isupper() and plain not in _NICKNAMES):
-            initials.add(plain[0])
+            initials.update(plain)
         elif piece.endswith(".") and len(plain) >= 3:
             short.add(plain)
         else:
             words.append((piece, plain))
-    core = []
+    core, second = [], set()
     for piece, plain in words:
         half = [_fold(x) for x in piece.split("-")]
         # A hyphen joins two given names to one word, but a firm's name and trade are two.
         core += half if legal and len(words) == 1 and len(half) == 2 and min(map(len, half)) > 3 else [plain]
+        if not legal and len(half) > 1:
+            second.update(x[0] for x in half if x)
     if not legal and len(core) == 3:
         if core[0] + core[1] in _DOUBLE:
             core = [core[0] + core[1], core[2]]
@@ -106,7 +117,7 @@ def profile(name: str) -> dict:
     signature = " ".join(tokens)
     if not full:
         signature += "#" + "".join(sorted(initials)) + "#" + " ".join(sorted(short)) + "#" + form
-    return {"sig": signature, "tokens": tokens, "initials": [] if full else sorted(initials), "short": sorted(short) if len(tokens) == 1 else [], "legal": form, "joined": "".join(core)}
+    return {"sig": signature, "tokens": tokens, "initials": sorted(initials | second) if full else sorted(initials), "short": sorted(short) if len(tokens) == 1 else [], "legal": form, "joined": "".join(core)}
 
 
 _PROFILE = "name string, sig string, tokens array<string>, initials array<string>, short array<string>, legal string, joined string"
@@ -174,9 +185,13 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def typing_error(a: str, b: str, names: dict[str, int]) -> bool:
-    """Whether one of the two near words is so rare that it is the other mistyped."""
+    """Whether the two words, or what they stand for, are near and one is so rare that it is the other mistyped.
+
+    What a word stands for is as common as the word: umlauts that are written
+    out, or a nickname, make no established name rare.
+    """
     low, high = sorted((names.get(a, 1), names.get(b, 1)))
-    return one_edit(a, b) and (low <= FEW or low * FEWER <= high)
+    return (low == 1 or low * FEWER <= high) and any(one_edit(v, w) for v in meanings(a) for w in meanings(b))
 
 
 def same_name(a: list[str], b: list[str], names: dict[str, int], close: bool = False) -> bool:
@@ -197,7 +212,7 @@ def same_name(a: list[str], b: list[str], names: dict[str, int], close: bool = F
             continue
         alike = next((y for y in rest if set(meanings(x)) & set(meanings(y))), None)
         if alike is None:
-            alike = next((y for y in rest if any(typing_error(v, w, names) for v in meanings(x) for w in meanings(y))), None)
+            alike = next((y for y in rest if typing_error(x, y, names)), None)
             if alike is None and close:
                 alike = next((y for y in rest if min(len(x), len(y)) >= 3 and (x in y or y in x)), None)
             wrong += 1
@@ -246,21 +261,36 @@ def _keyed(members: DataFrame, make: Callable[[list[str]], set[str]]) -> DataFra
     return members.where(F.size("tokens") > 1).select("id", "tokens").mapInArrow(run, "id string, key string")
 
 
+def undecided(a: list[str], b: list[str], names: dict[str, int], close: bool = False) -> tuple[str, str] | None:
+    """(rarer, commoner) word of two names that are the same if the one word is the other mistyped, which other names decide."""
+    for x in a:
+        for y in b:
+            low, high = sorted((x, y), key=lambda w: names.get(w, 1))
+            n = names.get(low, 1)
+            if x not in b and y not in a and n > 1 and n * FEWER_BESIDE <= names.get(high, 1) and same_name(a, b, names | {low: 1}, close):
+                return low, high
+    return None
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b`` of names that are the same; with ``low, high, n, holder`` of those that other names decide."""
     for batch in batches:
-        keep = []
-        columns = [c.to_pylist() for c in batch.columns]
-        for k, (ta, fa, tb, fb, close) in enumerate(zip(*columns[2:])):
-            if same_name(ta, tb, dict(zip(ta, fa)) | dict(zip(tb, fb)), close):
-                keep.append(k)
-        yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
+        rows = []
+        for i, j, ta, fa, tb, fb, close in zip(*(c.to_pylist() for c in batch.columns)):
+            names = dict(zip(ta, fa)) | dict(zip(tb, fb))
+            if same_name(ta, tb, names, close):
+                rows.append((i, j, None, None, None, None))
+            elif min(len(ta), len(tb)) > 1 and (words := undecided(ta, tb, names, close)):
+                rows.append((i, j, *words, names[words[0]], i if words[0] in ta else j))
+        columns = list(zip(*rows)) if rows else [()] * 6
+        kinds = [pa.string()] * 4 + [pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "low", "high", "n", "holder"])
 
 
-def _blocked(members: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of profiles (id, tokens) that share a pair key."""
-    keyed = _keyed(members, pair_keys)
-    right = keyed.select("key", F.col("id").alias("b"))
-    return keyed.withColumnRenamed("id", "a").join(right, "key").where("a < b").select("a", "b").distinct()
+def _blocked(keyed: DataFrame, all_keyed: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of profiles of which one is in ``keyed``, the other in ``all_keyed`` (id, key), that share a key."""
+    both = keyed.withColumnRenamed("id", "x").join(all_keyed.withColumnRenamed("id", "y"), "key").where("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _together(members: DataFrame, places: DataFrame) -> DataFrame:
@@ -274,38 +304,58 @@ def _matched(candidates: DataFrame, members: DataFrame) -> DataFrame:
     """The candidate pairs (a, b, close) that are spellings of one name."""
     own = members.select("id", "tokens", "freq")
     full = candidates.join(own.toDF("a", "ta", "fa"), "a").join(own.toDF("b", "tb", "fb"), "b")
-    return full.select("a", "b", "ta", "fa", "tb", "fb", "close").mapInArrow(_verify, "a string, b string")
+    told = written(full.select("a", "b", "ta", "fa", "tb", "fb", "close").mapInArrow(_verify, "a string, b string, low string, high string, n int, holder string"), "names-told")
+    beside = told.where("low IS NOT NULL").groupBy("low", "high").agg(F.countDistinct("holder").alias("held"), F.max("n").alias("n")).where(F.col("held") >= F.lit(BESIDE) * F.col("n"))
+    return told.where("low IS NULL").select("a", "b").union(told.join(beside.select("low", "high"), ["low", "high"]).select("a", "b"))
+
+
+def fitting_keys(tokens: list[str], initials: list[str], joins: list[str], legals: list[str], org: bool) -> set[str]:
+    """Keys of all records of one word that fit a merged profile."""
+    keys = {f"j|{w}" for w in joins} | {f"n|{w}" for w in tokens}
+    for w in tokens:
+        others = [t for t in tokens if t != w]
+        if org:
+            keys.add(f"o|{w}")
+            keys.update(f"s|{w}|{t[:n]}" for t in others for n in range(3, len(t) + 1))
+            keys.update(f"l|{w}|{x}" for x in legals)
+        else:
+            letters = sorted({c for t in others for c in _DOUBLE.get(t, t[0])} | set(initials))
+            keys.update(f"i|{w}|{''.join(c)}" for n in range(1, MOST_INITIALS + 1) for c in combinations(letters, n))
+    return keys
+
 
+def record_keys(word: str, initials: list[str], short: list[str], legal: str, org: bool) -> list[tuple[int, str]]:
+    """(level, key) of the merged profiles that a record of one word fits; a later level counts where the earlier ones fit none."""
+    if short:
+        return [(0, f"s|{word}|{x}") for x in short]
+    if initials:
+        # All initials must fit, else, as a profile may know too few, one of them.
+        return [(0, f"i|{word}|{''.join(initials[:MOST_INITIALS])}"), *((1, f"i|{word}|{c}") for c in (initials if len(initials) > 1 else []))]
+    return [(0, f"j|{word}"), (0, f"l|{word}|{legal}" if legal else f"o|{word}" if org else f"n|{word}")]
 
-def _attachable(sigs: DataFrame, clusters: DataFrame, known: DataFrame, places: DataFrame) -> DataFrame:
-    """Edges from records of one word (initials, abbreviation, bare or joined name) to the one merged profile that they fit.
 
-    ``clusters``: id, tokens, joined, legal, org of merged profiles of two words
-    or more.  ``places``: sig, address.  What fits several profiles is decided
-    by a common address, else left.
+def _attachable(records: DataFrame, keyed: DataFrame, known: DataFrame, places: DataFrame) -> DataFrame:
+    """``sig, label``: records of one word (initials, abbreviation, bare or joined name) and the one merged profile that they fit.
+
+    ``records``: sig, level, key.  ``keyed``: id, key of the merged profiles.
+    ``places``: sig, address.  What fits several profiles is decided by a common
+    address, else left.  Whether one profile fits or several is told by the
+    smallest and largest id under a key, so no pair of a record with all profiles
+    of a common word is ever made.
     """
-    single = sigs.where(F.size("tokens") == 1).select("sig", F.col("tokens")[0].alias("word"), "initials", "short", "legal", "org")
-    words = clusters.select("id", "org", "legals", F.col("tokens").alias("all"), F.explode("tokens").alias("word"))
-    both = single.join(words.withColumnRenamed("org", "is_org"), "word")
-    starts = F.exists("all", lambda t: (t != F.col("word")) & F.exists("initials", lambda i: t.startswith(i)))
-    begins = F.exists("all", lambda t: (t != F.col("word")) & F.exists("short", lambda i: t.startswith(i)))
-    fits = (
-        F.when(F.size("short") > 0, begins & F.col("is_org"))
-        .when(F.size("initials") > 0, starts & ~F.col("is_org"))
-        .when(F.col("legal") != "", F.col("is_org") & F.array_contains("legals", F.col("legal")))
-        .otherwise(F.col("is_org") | ~F.col("org"))
-    )
-    by_word = both.where(fits).select("sig", "id")
-    plain = (F.size("initials") == 0) & (F.size("short") == 0)
-    joined = single.where(plain).join(clusters.select("id", F.explode("joins").alias("word")), "word").select("sig", "id")
-    fitting = by_word.union(joined).distinct()
+    spread = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    ends = [F.min("low").alias("low"), F.max("high").alias("high")]
+    fits = records.join(spread, "key").groupBy("sig", "level").agg(*ends)
+    first = Window.partitionBy("sig").orderBy("level")
+    fits = fits.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
     # The profiles under whose addresses the record stands too.
     homes = places.join(known, "sig").select("address", F.col("label").alias("id")).distinct()
-    shared = fitting.join(places, "sig").join(homes, ["address", "id"]).select("sig", "id").distinct().withColumn("near", F.lit(True))
-    judged = fitting.join(shared, ["sig", "id"], "left").groupBy("sig").agg(
-        F.count("*").alias("n"), F.count("near").alias("m"), F.min("id").alias("any"), F.min(F.when(F.col("near"), F.col("id"))).alias("home")
-    )
-    return judged.where("m = 1 or (m = 0 and n = 1)").select(F.col("sig").alias("a"), F.when(F.col("m") == 1, F.col("home")).otherwise(F.col("any")).alias("b"))
+    near = keyed.join(homes, "id").groupBy("key", "address").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    beside = records.join(places, "sig").join(near, ["key", "address"]).groupBy("sig", "level").agg(F.min("low").alias("near_low"), F.max("high").alias("near_high"))
+    judged = fits.join(beside, ["sig", "level"], "left")
+    home = F.col("near_low") == F.col("near_high")
+    alone = F.col("near_low").isNull() & (F.col("low") == F.col("high"))
+    return judged.where(home | alone).select("sig", F.coalesce("near_low", "low").alias("label"))
 
 
 def link_names(spellings: DataFrame) -> DataFrame:
@@ -327,7 +377,7 @@ def link_names(spellings: DataFrame) -> DataFrame:
         .groupBy("sig")
         .agg(
             F.first("tokens").alias("tokens"),
-            F.first("initials").alias("initials"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("initials")))).alias("initials"),
             F.first("short").alias("short"),
             F.max("legal").alias("legal"),
             F.collect_set(F.when(F.col("legal") != "", F.col("legal"))).alias("legals"),
@@ -344,33 +394,77 @@ def link_names(spellings: DataFrame) -> DataFrame:
     places = seen.where(F.col("address") != "").join(parsed.select("name", "sig"), "name").select("sig", "address").distinct()
     places = written(places, "names-places")
 
-    blocked = _blocked(members).withColumn("close", F.lit(False))
+    profiles = _keyed(members, pair_keys)
+    blocked = _blocked(profiles, profiles).withColumn("close", F.lit(False))
     together = _together(members, places).withColumn("close", F.lit(True))
     edges = written(_matched(blocked.union(together), members), "names-edges")
+    labels = components(edges)
+    known = members.select(F.col("id").alias("sig")).join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"))
+    known = written(known, "names-known")
+    merged = written(_merged(known, sigs, freq), "names-merged")
+    keyed = written(_profile_keys(merged), "names-keys")
+    records = written(_record_keys(sigs), "names-records")
+    # Profiles of one spelling have met each other already.
+    changed = merged.where("n_sigs > 1").select("id")
     while True:
-        labels = components(edges)
-        known = members.select(F.col("id").alias("sig")).union(edges.select("a")).union(edges.select("b")).distinct()
-        known = known.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"))
-        known = written(known, "names-known")
-        merged = known.join(sigs, "sig").join(freq, "sig", "left").groupBy("label").agg(
-            F.collect_set("sig").alias("sigs"),
-            F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("tokens", "freq")))).alias("words"),
-            F.max("org").alias("org"),
-            F.array_distinct(F.flatten(F.collect_list("legals"))).alias("legals"),
-            F.array_distinct(F.flatten(F.collect_list("joins"))).alias("joins"),
-        )
-        merged = merged.select(F.col("label").alias("id"), F.col("words.tokens").alias("tokens"), F.col("words.freq").alias("freq"), "org", "legals", "joins")
-        merged = written(merged, "names-merged")
-        # Richer profiles are blocked again, by the union of their words.
-        again = _matched(_blocked(merged).withColumn("close", F.lit(False)), merged)
-        loose = sigs.join(known.select("sig"), "sig", "left_anti")
-        new = written(again.union(_attachable(loose, merged, known, places)), "names-new")
-        if not new.limit(1).count():
+        # Richer profiles are blocked again, by the union of their words; those that nothing was merged into are only met.
+        pairs = keyed.where("kind = 'pair'").select("id", "key")
+        again = _matched(_blocked(pairs.join(changed, "id", "left_semi"), pairs).withColumn("close", F.lit(False)), merged)
+        again = written(again, "names-again")
+        loose = records.join(known.select("sig"), "sig", "left_anti")
+        attached = written(_attachable(loose, keyed.where("kind = 'fit'").select("id", "key"), known, places), "names-attached")
+        if not again.limit(1).count() and not attached.limit(1).count():
             break
-        edges = written(edges.union(new), "names-edges")
+        moves = written(components(again).select(F.col("node").alias("label"), F.col("label").alias("to")), "names-moves")
+        known = known.union(attached.select("sig", "label")).join(moves, "label", "left").select("sig", F.coalesce("to", "label").alias("label"))
+        known = written(known, "names-known")
+        touched = moves.select(F.col("label").alias("id")).union(attached.select(F.col("label").alias("id"))).distinct()
+        changed = written(touched.join(moves.withColumnRenamed("label", "id"), "id", "left").select(F.coalesce("to", "id").alias("id")).distinct(), "names-changed")
+        renewed = written(_merged(known.join(changed.withColumnRenamed("id", "label"), "label", "left_semi"), sigs, freq), "names-renewed")
+        gone = touched.union(changed).distinct()
+        merged = written(merged.join(gone, "id", "left_anti").unionByName(renewed), "names-merged")
+        keyed = written(keyed.join(gone, "id", "left_anti").unionByName(_profile_keys(renewed)), "names-keys")
     return parsed.select("name", "sig").join(known, "sig", "left").select("name", F.coalesce("label", "sig").alias("entity"))
 
 
+def _merged(known: DataFrame, sigs: DataFrame, freq: DataFrame) -> DataFrame:
+    """Merged profiles of ``known`` (sig, label): the union of the words, initials, legal forms and joined spellings of their signatures."""
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    merged = known.join(sigs, "sig").join(freq, "sig", "left").groupBy("label").agg(
+        F.count("*").alias("n_sigs"), union(F.arrays_zip("tokens", "freq")).alias("words"), union("initials").alias("initials"), F.max("org").alias("org"), union("legals").alias("legals"), union("joins").alias("joins")
+    )
+    # A word that stands alone in an attached record has no count of its own there.
+    words = F.filter("words", lambda w: w.tokens.isNotNull() & w.freq.isNotNull())
+    return merged.withColumn("words", words).select(F.col("label").alias("id"), F.col("words.tokens").alias("tokens"), F.col("words.freq").alias("freq"), "initials", "org", "legals", "joins", "n_sigs")
+
+
+def _profile_keys(merged: DataFrame) -> DataFrame:
+    """``id, kind, key`` of merged profiles: kind ``pair`` to be blocked by, ``fit`` for the records that fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, kinds, keys = [], [], []
+            for i, tokens, initials, joins, legals, org in zip(*(c.to_pylist() for c in batch.columns)):
+                for kind, own in (("pair", pair_keys(tokens) if len(tokens) > 1 else ()), ("fit", fitting_keys(tokens, initials, joins, legals, org))):
+                    ids += [i] * len(own)
+                    kinds += [kind] * len(own)
+                    keys += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(kinds, pa.string()), pa.array(keys, pa.string())], names=["id", "kind", "key"])
+
+    return merged.select("id", "tokens", "initials", "joins", "legals", "org").mapInArrow(run, "id string, kind string, key string")
+
+
+def _record_keys(sigs: DataFrame) -> DataFrame:
+    """``sig, level, key`` of all records of one word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(s, level, key) for s, *record in zip(*(c.to_pylist() for c in batch.columns)) for level, key in record_keys(*record)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["sig", "level", "key"])
+
+    return sigs.where(F.size("tokens") == 1).select("sig", F.col("tokens")[0], "initials", "short", "legal", "org").mapInArrow(run, "sig string, level int, key string")
+
+
 def variant_pairs(spellings: DataFrame) -> DataFrame:
     """``name_a, name_b`` (``name_a < name_b`` by code points) of spellings of one entity."""
     linked = written(link_names(spellings), "names-linked")

@@ -96,3 +96,37 @@ def test_close_keys_meet_wherever_names_match():
         for b in names:
             if nm.same_name(a, b, {}, close=True):
                 assert nm.close_keys(a) & nm.close_keys(b)
+
+
+GIVEN = ["Anna", "Alfred", "Birgit", "Carsten", "Doris", "Emil", "Frieda", "Gustav", "Hedwig", "Ingo", "Jutta"]
+
+
+@pytest.mark.parametrize("a,b", [("Mueller", "Moeller"), ("Martens", "Mertens")])
+def test_established_surnames_with_the_same_given_names_stay_apart(spark, a, b):
+    rows = [(f"{g} {s}", f"{g}.{s}@x.example".lower(), False) for g in GIVEN for s in (a, b)]
+    assert all(len(x) == 1 for x in linked(spark, rows))
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_decisions_do_not_depend_on_the_number_of_names(spark, times):
+    surnames = ["Kelbering", "Orlingart", "Zumthalen", "Wepfarther", "Ibrunderos", "Hagenrieder", "Tabolskin", "Ulmwasser", "Pfistenau", "Gribolden", "Dorfnamer", "Laskovand"][: 4 * times]
+    # For each surname so many people, a third of which is mistyped once; and two names that are both established.
+    rows = [(f"{g} {s}", None, False) for s in surnames for g in GIVEN] + [(f"{g} {s[:4]}{s[5:]}", None, False) for s in surnames for g in GIVEN[:3]]
+    rows += [(f"{g} {s}", None, False) for s in ("Martens", "Mertens") for g in GIVEN[: 3 * times]]
+    got = linked(spark, rows)
+    assert ["Anna Kelbering", "Anna Kelbring"] in got and ["Anna Martens"] in got and ["Anna Mertens"] in got
+
+
+def test_all_initials_must_fit_and_merged_profiles_unite_them(spark):
+    rows = [("Anna B. Muster", None, False), ("Anna Muster", None, False), ("Anton C. Muster", None, False), ("Muster, A. B.", None, False), ("Muster, A. C.", None, False), ("Muster, A.", None, False)]
+    got = linked(spark, rows)
+    assert ["Anna B. Muster", "Anna Muster", "Muster, A. B."] in got and ["Anton C. Muster", "Muster, A. C."] in got and ["Muster, A."] in got
+    got = linked(spark, [("Klaus-Peter Ibrun", None, False), ("Kurt Ibrun", None, False), ("K.-P. Ibrun", None, False), ("Anna-Lena Orling", None, False), ("Anton Orling", None, False), ("A.-L. Orling", None, False)])
+    assert ["K.-P. Ibrun", "Klaus-Peter Ibrun"] in got and ["A.-L. Orling", "Anna-Lena Orling"] in got
+
+
+def test_a_common_word_makes_no_pairs(spark):
+    # Two hundred profiles hold the word; the bare name fits all and so stays alone, with an address it finds its own.
+    crowd = [(f"Thomas {a}{b}{c}eling", f"{a}{b}{c}@x.example", False) for a in ("Bor", "Dul", "Fam", "Gep", "Hil", "Jon", "Kum", "Len", "Mar", "Nib") for b in ("ta", "ko", "ri", "su", "pe") for c in ("dr", "st", "lm", "rk")]
+    assert ["Thomas"] in linked(spark, crowd + [("Thomas", None, False)])
+    assert ["Thomas", "Thomas Bortadreling"] in linked(spark, crowd + [("Thomas", "BORtadr@x.example", False)])
