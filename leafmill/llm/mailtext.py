@@ -14,18 +14,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.session import cut
+from leafmill.functions.text import tokenize
+from leafmill.session import written
 
 AUTHORED, QUOTED, SIGNATURE, DISCLAIMER = range(4)
-#: Longest span of each kind, in units; authored and quoted ones may follow their like.
-LONGEST = (1, 30, 12, 8)
+#: Length in units up to which a span of each kind is scored as a whole; a longer one goes on unit by unit (a geometric tail), so none has a longest length.
+WHOLE = (30, 30, 12, 8)
 #: A mail is much-answered from 1/HOT_PARTS of all answers on; its rows are spread over SALTS partitions.
 HOT_PARTS, SALTS = 64, 32
 
@@ -44,15 +45,19 @@ _QUOTE = re.compile(r"^\s*(?:>|&gt;|\|(?!.*\|\s*$)|['\"(]?[A-Za-zÄÖÜäöüÉ
 _DEPTH = re.compile(r"^(?:\s*(?:>|&gt;|\||['\"(]?[A-Za-zÄÖÜäöüÉé.]{1,3}>))+\s*")
 _DATE = r"(?:\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\d{1,2}\.? \w{3,10}\.? \d{4}|\w{3,10}\.? \d{1,2},? \d{4})"
 _SAID = r"(?:schrieb|wrote|a écrit|escribió|ha scritto|skrev|said)"
-_INTRO = re.compile(rf"^(?=.*(?:{_DATE}|\S+@\S+)).{{0,240}}\b{_SAID}\b.{{0,160}}:\s*$|^(?:Zitat von|Quoting|Citation de|Citando a)\b.{{1,200}}:\s*$", re.I)
-_OPENING = re.compile(rf"^(?:Am|On|At|Le|El|Il|Zitat von|Quoting|Citation de|Citando a)\b.{{3,}}|^.{{3,}}\b{_SAID}\b.*{_DATE}|^(?:[A-ZÄÖÜ][\w'.-]*,? ?){{1,4}}(?:<\S+@\S+>)?\s*$|^.{{3,}}<\S*@\S*$|^.{{3,80}}\b{_SAID}\s*(?:am|on|le|el)?\s*$", re.I)
+_SAYS = re.compile(rf"\b{_SAID}\b", re.I)
+_SAYS_LAST = re.compile(rf"\b{_SAID}\s*(?:am|on|le|el)?$", re.I)
+_SAYS_WHO = re.compile(r"(?:Zitat von|Quoting|Citation de|Citando a)\b.", re.I)
+_WHEN = re.compile(_DATE)
+_OPENS = re.compile(r"(?:Am|On|At|Le|El|Il|Zitat von|Quoting|Citation de|Citando a)\b...", re.I)
+_WHO = re.compile(r"(?:[A-ZÄÖÜ][\w'.-]*,? ?){1,4}(?:<\S+@\S+>)?\s*$", re.I)
 _MARKER = re.compile(
     r"^\W*(?:Original message|Original-?nachricht|Ursprüngliche Nachricht|Weitergeleitete Nachricht|Forwarded message|Begin forwarded message|Anfang der weitergeleiteten Nachricht|Message d['’]origine|Message original|Message transféré|"
     r"Début du message (?:transféré|réexpédié)|Mensaje original|Mensaje reenviado|Inicio del mensaje reenviado|Messaggio originale)\W*$",
     re.I,
 )
 _HEADER = re.compile(r"^\s*[*_]{0,2}(?:Von|From|De|Gesendet|Sent|Envoyé|Enviado|An|To|À|A|Para|Kopie|Cc|Bcc|Betreff|Subject|Objet|Asunto|Datum|Date|Fecha|Antwort an|Reply-To)\s?:[*_]{0,2}\s*\S", re.I)
-_FROM = re.compile(r"^\s*[*_]{0,2}(?:Von|From|De)\s?:[*_]{0,2}\s.*\S+@\S+", re.I)
+_FROM = re.compile(r"^\s*[*_]{0,2}(?:Von|From|De)\s?:[*_]{0,2}\s.*\S@\S", re.I)
 _RULE = re.compile(r"^\s*(?:_{10,}|-{10,})\s*$")
 _CLOSING = re.compile(rf"^\W*(?:{_FORMULAS})\s*[,.!;–-]*\s*(?P<rest>.{{0,60}})$", re.I)
 _DELIMITER = re.compile(r"^\s*(?:--|—|–|_{2,}|={3,}|-{3,}|\*( ?\*){2,}|~{3,}|#{3,}|\+{3,})\s*$")
@@ -86,6 +91,10 @@ _STEMS = tuple(
 )
 
 
+#: What a single unit of text that is no sentence costs between other spans.
+LONE = 0.5
+
+
 class Line(NamedTuple):
     """What decoding needs to know of a line."""
 
@@ -116,6 +125,25 @@ def _name(text: str) -> str:
     return _WRITTEN_OUT.sub("", _plain(text))
 
 
+def _introduces(text: str) -> bool:
+    """Whether a line, however long, introduces a quotation: it names who said what follows, and when or from which address."""
+    text = text.rstrip()
+    if not text.endswith(":"):
+        return False
+    return bool(_SAYS_WHO.match(text)) or (bool(_SAYS.search(text)) and ("@" in text or bool(_WHEN.search(text))))
+
+
+def _opens(text: str) -> bool:
+    """Whether a line can be the first of an introduction that was broken into several."""
+    if _OPENS.match(text) or (len(text) < 120 and _WHO.match(text)):
+        return True
+    said = _SAYS.search(text, 3)
+    if said and (_WHEN.search(text, said.end()) or _SAYS_LAST.search(text[-60:])):
+        return True
+    address = text.rfind("<")
+    return address >= 3 and "@" in text[address:] and not re.search(r"\s", text[address:])
+
+
 def _grams(text: str) -> set[tuple[str, ...]]:
     found = _WORDS.findall(text.lower())
     return {tuple(found[i : i + 3]) for i in range(len(found) - 2)}
@@ -138,14 +166,14 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
         if quoted[i]:
             continue
         ends = text[i].endswith(":")
-        if (len(text[i]) < 60 and _MARKER.match(text[i])) or (ends and len(text[i]) < 500 and _INTRO.match(text[i])):
+        if (len(text[i]) < 60 and _MARKER.match(text[i])) or (ends and _introduces(text[i])):
             intro[i] = True
             continue
         # An introduction that was broken into several lines.
         for more in (1, 2, 3):
             if at + more < len(live) and live[at + more] == i + more and not any(quoted[i : i + more + 1]):
                 joined = " ".join(text[i : i + more + 1])
-                if len(joined) < 260 and joined.endswith(":") and _OPENING.match(text[i]) and _INTRO.match(joined) and not (_SENTENCE.search(text[i]) and len(text[i].split()) > 12):
+                if joined.endswith(":") and _introduces(joined) and _opens(text[i]) and not (_SENTENCE.search(text[i]) and len(text[i].split()) > 12):
                     intro[i : i + more + 1] = [True] * (more + 1)
     header = [not quoted[i] and not blank[i] and ":" in text[i][:20] and bool(_HEADER.match(text[i])) for i in range(n)]
     i = 0
@@ -154,7 +182,7 @@ def describe(lines: list[str], sender: list[str], parent: str | None) -> list[Li
             j = i
             while j < n and (header[j] or (j > i and not blank[j] and not quoted[j] and j + 1 < n and header[j + 1] and len(text[j]) < 80)):
                 j += 1
-            if sum(header[i:j]) >= 2 or (len(text[i]) < 500 and _FROM.match(text[i])):
+            if sum(header[i:j]) >= 2 or _FROM.match(text[i]):
                 intro[i:j] = [True] * (j - i)
             i = j
         else:
@@ -297,7 +325,7 @@ def _emit(line: Line) -> tuple[float, float, float, float]:
     if line.legal:
         legal += 11.0
     elif not line.first:
-        legal += 3.5
+        legal += 4.7
     if line.postscript and line.match < 4:
         authored += 9.0
     return authored, quote, signature, legal
@@ -319,14 +347,10 @@ def decode(lines: list[Line | None]) -> list[int]:
         before = line
     n = len(units)
     heads = [lines[u[0]] for u in units]
-    scores = []
-    for u, line in zip(units, heads):
-        e = _emit(line)
-        scores.append(tuple(x * min(len(u), 6) for x in e))
     sums = [[0.0] * (n + 1) for _ in range(4)]
-    for k in range(4):
-        for i in range(n):
-            sums[k][i + 1] = sums[k][i] + scores[i][k]
+    for i, (u, line) in enumerate(zip(units, heads)):
+        for k, x in enumerate(_emit(line)):
+            sums[k][i + 1] = sums[k][i] + x * len(u)
     marked = [0] * (n + 1)  # units that hold a cue of a quotation
     strong = [0] * (n + 1)  # the same, without what only the answered mail tells
     told = [0] * (n + 1)  # lines that the answered mail has
@@ -340,13 +364,19 @@ def decode(lines: list[Line | None]) -> list[int]:
         warned[i + 1] = warned[i] + h.legal
     best = [[0.0] * 4] + [[-1e9] * 4 for _ in range(n)]
     back: list[list[tuple[int, int]]] = [[(0, 0)] * 4 for _ in range(n + 1)]
+    # The same for spans of the whole length or longer, which may go on.
+    grown = [[-1e9] * 4 for _ in range(n + 1)]
+    grown_back: list[list[int]] = [[0] * 4 for _ in range(n + 1)]
     for j in range(1, n + 1):
         for k in range(4):
-            for size in range(1, min(LONGEST[k], j) + 1):
+            for size in range(1, min(WHOLE[k], j) + 1):
                 i = j - size
                 h = heads[i]
                 score = sums[k][j] - sums[k][i]
-                if k == QUOTED:
+                if k == AUTHORED:
+                    # Text seldom is a single unit between other spans.
+                    score -= 0.0 if size > 1 or i == 0 or j == n or h.sentence or h.match == 1 or h.postscript else LONE
+                elif k == QUOTED:
                     score += 0.0 if h.quoted or h.intro or h.tail else -1.5
                     if marked[j] == marked[i]:
                         score -= 2.0
@@ -366,20 +396,34 @@ def decode(lines: list[Line | None]) -> list[int]:
                 # Text goes on after a signature only behind a cue of its own.
                 start = best[i]
                 for p in range(4):
-                    if p == k and k in (SIGNATURE, DISCLAIMER) and i:
+                    if i == 0 and p or p == k and i and k != QUOTED:
                         continue
                     total = start[p] + score
                     if k == AUTHORED and p in (SIGNATURE, DISCLAIMER) and i and not h.postscript:
                         total -= 3.0
-                    if i == 0 and p:
-                        continue
                     if total > best[j][k]:
                         best[j][k] = total
                         back[j][k] = (i, p)
+                    if size == WHOLE[k] and total > grown[j][k]:
+                        grown[j][k] = total
+                        grown_back[j][k] = p
+            # A span of the whole length or more goes on by one unit.
+            further = grown[j - 1][k] + sums[k][j] - sums[k][j - 1]
+            if further > grown[j][k]:
+                grown[j][k] = further
+                grown_back[j][k] = -1
+            if grown[j][k] > best[j][k]:
+                best[j][k] = grown[j][k]
+                back[j][k] = (-1, k)
     kinds = [AUTHORED] * len(lines)
     j, k = n, max(range(4), key=lambda x: best[n][x]) if n else 0
     while j > 0:
         i, p = back[j][k]
+        if i < 0:
+            end = j
+            while grown_back[j][k] < 0:
+                j -= 1
+            i, p, j = j - WHOLE[k], grown_back[j][k], end
         for u in units[i:j]:
             for x in u:
                 kinds[x] = k
@@ -418,27 +462,25 @@ def with_parents(mails: DataFrame, key: str, body: str, message_id: str, reply_t
     """
     refs = F.reverse(F.col(references)) if references else F.array().cast("array<string>")
     named = F.concat(F.array(F.col(reply_to)), F.coalesce(refs, F.array().cast("array<string>")))
-    rows = mails.select(F.col(key).alias("k"), F.col(body).alias("body"), F.col("sender"), F.col(message_id).alias("mid"), F.filter(named, lambda x: x.isNotNull() & ~x.eqNullSafe(F.col(message_id))).alias("ids"))
-    alone = rows.where(F.size("ids") == 0).select("k", "body", "sender", F.lit(None).cast("string").alias("parent"))
-    answers = rows.where(F.size("ids") > 0)
-    needed = rows.where(F.col("mid").isNotNull() & (F.length("body") > 0))
-    # Which of its ids a mail answers is found on the ids alone, without the texts.
-    tried = answers.select("k", F.posexplode("ids").alias("at", "rid"))
-    present = _salted(tried, needed.select(F.col("mid").alias("rid")).distinct(), _hot(tried), "inner")
-    chosen = cut(present.groupBy("k").agg(F.min_by("rid", "at").alias("rid")))
+    texts = mails.select(F.col(key).alias("k"), F.col(body).alias("body"), "sender", F.col(message_id).alias("mid"))
+    # Which of its ids a mail answers is found on the ids alone; the texts are read for the mails and for those answered.
+    ids = written(mails.select(F.col(key).alias("k"), F.col(message_id).alias("mid"), F.filter(named, lambda x: x.isNotNull() & ~x.eqNullSafe(F.col(message_id))).alias("ids"), (F.length(body) > 0).alias("full")), "mail-ids")
+    tried = ids.select("k", F.posexplode("ids").alias("at", "rid"))
+    present = _salted(tried, ids.where("mid IS NOT NULL AND full").select(F.col("mid").alias("rid")).distinct(), _hot(tried), "inner")
+    chosen = written(present.groupBy("k").agg(F.min_by("rid", "at").alias("rid")), "mail-answers")
+    needed = texts.where(F.col("mid").isNotNull() & (F.length("body") > 0))
     parents = needed.select(F.col("mid").alias("rid"), "k", F.col("body").alias("text")).join(chosen.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.min_by("text", "k").alias("parent"))
-    joined = _salted(answers.select("k", "body", "sender").join(chosen, "k", "left"), parents, _hot(chosen), "left")
-    return alone.union(joined.select("k", "body", "sender", "parent"))
+    joined = _salted(texts.select("k", "body", "sender").join(chosen, "k", "left"), parents, _hot(chosen), "left")
+    return joined.select("k", "body", "sender", "parent")
 
 
-def newly_written(store_docs: DataFrame) -> DataFrame:
-    """``row_id, line_no INT`` of every line that a mail's sender newly wrote.
+def _lines(body: str, numbers: list[int]) -> list[str]:
+    lines = body.split("\n")
+    return [lines[i] for i in numbers]
 
-    Rows without a message id and null or empty bodies give no row; a row
-    delivered twice counts twice; a reply whose original is missing is decoded
-    without it, one whose original was delivered several times with the copy of
-    the smallest row_id.  Extra columns are not read; ``refs`` may be missing.
-    """
+
+def _decoded(store_docs: DataFrame, emit: Callable[[list, list[str], list[list[int]]], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``emit`` makes of row ids, bodies and the numbers of their newly written lines, batch by batch."""
     names = F.flatten(F.transform(F.filter("participants", lambda p: p.role == "from"), lambda p: F.array(p["name"], p.address)))
     sender = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.isNotNull())
     refs = F.col("refs") if "refs" in store_docs.columns else F.array().cast("array<string>").alias("refs")
@@ -446,20 +488,33 @@ def newly_written(store_docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, numbers = [], []
-            for k, body, names_, parent in zip(*(c.to_pylist() for c in batch.columns)):
-                own = authored_lines(body, names_ or [], parent)
-                keys += [k] * len(own)
-                numbers += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int64())], names=["row_id", "line_no"])
+            keys, bodies, senders, parents = (c.to_pylist() for c in batch.columns)
+            yield emit(keys, bodies, [authored_lines(body, own or [], parent) for body, own, parent in zip(bodies, senders, parents)])
+
+    return with_parents(mails, "row_id", "body", "message_id", "in_reply_to", "refs").mapInArrow(run, schema)
+
+
+def newly_written(store_docs: DataFrame) -> DataFrame:
+    """``row_id, line_no`` of every line that a mail's sender newly wrote.
+
+    Rows without a message id and null or empty bodies give no row; a row
+    delivered twice counts twice; a reply whose original is missing is decoded
+    without it, one whose original was delivered several times with the copy of
+    the smallest row_id.  Extra columns are not read; ``refs`` may be missing.
+    """
 
-    return with_parents(mails, "row_id", "body", "message_id", "in_reply_to", "refs").mapInArrow(run, "row_id bigint, line_no bigint")
+    def emit(keys: list, bodies: list[str], own: list[list[int]]) -> pa.RecordBatch:
+        rows = [k for k, numbers in zip(keys, own) for _ in numbers]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([i for numbers in own for i in numbers], pa.int64())], names=["row_id", "line_no"])
+
+    return _decoded(store_docs, emit, "row_id bigint, line_no bigint")
 
 
 def authored_tokens(store_docs: DataFrame) -> DataFrame:
-    """``row_id, tokens``: distinct lower-case words of a mail's newly written lines, in order."""
-    lines = newly_written(store_docs)
-    bodies = store_docs.select("row_id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
-    kept = bodies.join(lines, ["row_id", "line_no"]).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).getField("line").alias("lines"))
-    words = F.regexp_extract_all(F.lower(F.array_join("lines", "\n")), F.lit(r"(?U)\w[\w'-]+"), F.lit(0))
-    return kept.select("row_id", F.array_distinct(words).alias("tokens"))
+    """``row_id, tokens``: distinct lower-case words of a mail's newly written lines, in order; mails without such lines give no row."""
+
+    def emit(keys: list, bodies: list[str], own: list[list[int]]) -> pa.RecordBatch:
+        kept = [(k, _lines(body, numbers)) for k, body, numbers in zip(keys, bodies, own) if numbers]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array(["\n".join(lines) for _, lines in kept], pa.string())], names=["row_id", "text"])
+
+    return _decoded(store_docs, emit, "row_id bigint, text string").select("row_id", tokenize("text").alias("tokens"))

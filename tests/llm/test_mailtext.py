@@ -96,3 +96,19 @@ def test_references_name_the_answered_mail(spark):
         got.setdefault(r.row_id, []).append(r.line_no)
     # Without the answered mail, or with another one, nothing tells the forwarded lines.
     assert {k: sorted(v) for k, v in got.items()} == {0: [0], 1: [0, 1], 2: [0], 3: [0], 4: [0, 2, 3], 5: [0, 2, 3], 6: [0]}
+
+
+@pytest.mark.parametrize("n", [5, 9, 13, 24, 60, 200])
+def test_no_line_of_a_long_signature_or_disclaimer_is_authored(n):
+    head = "Hallo Tom,\n\nder Bericht ist fertig.\n\n"
+    marks = ["Bank", "Recht", "Anhang", "Inhalt", "Zahlung", "Gericht", "Sprache"]
+    legal = "\n".join(f"Der Inhalt {i} von {marks[i % 7]} und {marks[i * 3 % 7]} ist vertraulich" + "." * (i % 2) for i in range(n))
+    block = "Diese Nachricht ist vertraulich und nur für die genannten Empfänger bestimmt.\n" + "\n".join(f"{marks[i % 7]} und {marks[i * 5 % 7]} gehen in der Fassung {i} vor" + "." * (i % 2) for i in range(n))
+    contacts = "-- \nAnna Kelber\nKontor GmbH\n" + "\n".join([f"Tel. +41 44 {i + 100} 22 33", f"www.seite{i}.example", f"post{i}@kontor.example", f"Lindenweg {i}"][i % 4] for i in range(n))
+    for tail in (legal, block, contacts):
+        assert own(head + tail, sender=["Anna Kelber"]) == ["Hallo Tom,", "der Bericht ist fertig."]
+
+
+def test_long_introductions(spark):
+    long = "Am 05.03.2024 10:11 schrieb Anna Kelber (" + "Abteilung Recht und Anhang, " * 40 + ") <a@x.example>:"
+    assert own("Danke.\n\n" + long + "\n\nKannst du das Formular schicken?") == ["Danke."]
