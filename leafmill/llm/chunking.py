@@ -147,16 +147,16 @@ def embed_rows(df: DataFrame, path: str, text: str, limit: int = 2000, reach: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(body) <= limit:
-                    cuts = [(0, len(body))]
-                else:
-                    _, _, begin, end = _pieces([name], [body], limit, reach, overlap)
-                    cuts = list(zip(begin.tolist(), end.tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(cuts), batch.column(0).type), pa.array(range(len(cuts)), pa.int32()), pa.array([body[a:b] for a, b in cuts], pa.string())],
-                    names=["p", "chunk_idx", "chunk"],
-                )
+            names, texts = batch.column(0), batch.column(1)
+            sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+            low = 0
+            while low < len(sizes):
+                high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), BATCH_POINTS, "right")))
+                bodies = texts[low:high].to_pylist()
+                own, number, begin, end = _pieces(list(range(low, high)), bodies, limit, reach, overlap)
+                chunks = [bodies[i - low][a:b] for i, a, b in zip(own, begin.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(own, pa.int64())), pa.array(number, pa.int32()), pa.array(chunks, pa.string())], names=["p", "chunk_idx", "chunk"])
+                low = high
 
     whole = df.select(F.col(path).alias("p"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
     return whole.mapInArrow(run, f"p {kind}, chunk_idx int, chunk string").withColumnRenamed("p", path)
