@@ -5,12 +5,14 @@ All take null to null, and text that is no such value to what is documented.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import col, strip
 
-# Written currency symbols and their codes, longest first.
+# Written currency symbols and their codes, longest first. They count at the beginning or the end of an amount.
 CURRENCIES = (("SFr.", "CHF"), ("SFr", "CHF"), ("Fr.", "CHF"), ("Fr", "CHF"), ("€", "EUR"), ("£", "GBP"), ("$", "USD"), ("¥", "JPY"))
 
 
@@ -51,9 +53,10 @@ def amount(raw: Column | str) -> Column:
     clean = strip(raw)
     negative = clean.rlike("^[-−–]") | clean.rlike("[-−–] ?[0-9]")
     code = F.regexp_extract(clean, r"(?:^|[^A-Z])([A-Z]{2,4})(?:[^A-Za-z]|$)", 1)
-    symbol = F.lit(None).cast("string")
-    for sign, name in reversed(CURRENCIES):
-        symbol = F.when(clean.contains(sign), name).otherwise(symbol)
+    shown = "|".join(re.escape(sign) + ("(?![A-Za-z])" if sign[-1].isalpha() else "") for sign, _ in CURRENCIES)
+    first, last = (F.regexp_extract(clean, shape, 1) for shape in (rf"^[-−–]?\s*({shown})", rf"(?<![A-Za-z])({shown})\s*$"))
+    sign_of = F.when(first != "", first).otherwise(last)
+    symbol = F.create_map(*[F.lit(x) for pair in CURRENCIES for x in pair])[sign_of]
     body = F.regexp_replace(clean, r"\.[-–—]+$", ".00")
     body = F.regexp_replace(body, r"^[^0-9]+|[^0-9]+$", "")
     body = F.regexp_replace(body, r"['’\s]", "")

@@ -179,12 +179,17 @@ def german(word: str) -> str:
     return word.replace("U", "u").replace("Y", "y").translate(str.maketrans("äöü", "aou"))
 
 
+def variants(word: str) -> list[str]:
+    """A word and its two stems, without repeats."""
+    return list(dict.fromkeys((word, english(word), german(word))))
+
+
 def stem_table(terms: DataFrame) -> DataFrame:
     """``term, stems`` of distinct terms: the term itself and its two stems, without repeats."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"term": part.term, "stems": [list(dict.fromkeys((t, english(t), german(t)))) for t in part.term]})
+            yield pd.DataFrame({"term": part.term, "stems": [variants(t) for t in part.term]})
 
     return terms.select("term").distinct().mapInPandas(run, "term string, stems array<string>")
 

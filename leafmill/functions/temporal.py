@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import calendar
 import re
 from datetime import date, timedelta
 
@@ -11,47 +10,72 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import col
 
-
-def _month(day: date) -> tuple[date, date]:
-    return day.replace(day=1), day.replace(day=calendar.monthrange(day.year, day.month)[1])
-
-
-def _week(day: date) -> tuple[date, date]:
-    monday = day - timedelta(days=day.weekday())
-    return monday, monday + timedelta(days=6)
-
-
-def _year(year: int) -> tuple[date, date]:
-    return date(year, 1, 1), date(year, 12, 31)
-
-
-# Phrases in order of precedence, with the closed range that each means on a given day.
-_PHRASES = [
-    (r"last month|letzte[rnms]? monat|vorige[rnms]? monat", lambda d: _month(d.replace(day=1) - timedelta(days=1))),
-    (r"this month|diese[rnms]? monat", _month),
-    (r"last week|letzte[rnms]? woche|vorige[rnms]? woche", lambda d: _week(d - timedelta(days=7))),
-    (r"this week|diese[rnms]? woche", _week),
-    (r"last year|letzte[rnms]? jahr|voriges jahr", lambda d: _year(d.year - 1)),
-    (r"this year|diese[rnms]? jahr", lambda d: _year(d.year)),
-    (r"yesterday|gestern", lambda d: (d - timedelta(days=1),) * 2),
-    (r"today|heute", lambda d: (d, d)),
-    (r"recent(?:ly)?|kürzlich|neulich", lambda d: (d - timedelta(days=30), d)),
-]
-_COMPILED = [(re.compile(rf"\b(?:{p})\b", re.IGNORECASE), f) for p, f in _PHRASES]
+# The phrases of each period, English and German, in order of precedence.
+PHRASES = {
+    "last month": "last month|previous month|vorigen monat|letzten monat|letztem monat|vergangenen monat",
+    "this month": "this month|diesen monat|diesem monat|dieses monat|laufenden monat|aktuellen monat",
+    "last week": "last week|previous week|vorige woche|letzte woche|letzten woche|letzter woche",
+    "this week": "this week|dieser woche|diese woche|diesem woche",
+    "last year": "last year|previous year|letztes jahr|letzten jahr|letztem jahr|vergangenen jahr|vergangenes jahr",
+    "this year": "this year|dieses jahr|diesen jahr|diesem jahr",
+    "yesterday": "yesterday|gestern",
+    "today": "today|heute",
+    "recently": "recent|recently|lately|zuletzt|jüngst|kürzlich|neulich|in letzter zeit",
+}
+#: Days back that "recently" means.
+RECENT = 30
+
+
+def _period(name: str, day: date) -> tuple[date, date]:
+    """The closed range of days of a period, seen from ``day``: a past one is whole, the present one ends on the day."""
+    unit = name.split(" ")[-1]
+    if unit in ("today", "yesterday", "recently"):
+        back = timedelta(days={"today": 0, "yesterday": 1, "recently": RECENT}[unit])
+        return day - back, day if unit == "recently" else day - back
+    begin = {"month": day.replace(day=1), "week": day - timedelta(days=day.weekday()), "year": day.replace(month=1, day=1)}[unit]
+    if name.startswith("this"):
+        return begin, day
+    end = begin - timedelta(days=1)
+    return {"month": end.replace(day=1), "week": end - timedelta(days=6), "year": end.replace(month=1, day=1)}[unit], end
+
+
+_COMPILED = [(re.compile("|".join(rf"\b{re.sub(' ', r'\\s+', p)}\b" for p in phrases.split("|"))), name) for name, phrases in PHRASES.items()]
 
 
 def date_window(query: str, as_of: date) -> tuple[date, date] | None:
-    """The closed range of days that the first date phrase of a query means on ``as_of``, or None."""
-    for pattern, window in _COMPILED:
-        if pattern.search(query or ""):
-            return window(as_of)
-    return None
+    """The closed range of days that the first period named in a query means on ``as_of``, or None."""
+    lower = (query or "").lower()
+    return next((_period(name, as_of) for pattern, name in _COMPILED if pattern.search(lower)), None)
 
 
 def doc_date(written: Column | str) -> Column:
-    """The local calendar day of a document's date: its first ten characters if they are a date."""
-    day = F.substring(col(written), 1, 10)
-    return F.when(day.rlike(r"^\d{4}-\d\d-\d\d$"), day.try_cast("date"))
+    """The local calendar day of a document's date, if that is written in an ISO form.
+
+    Forms are ``2024-05-06…`` and ``2024-W19-1…`` with anything behind, and
+    ``20240506``, ``2024W191``, ``2024-W19`` (its Monday), alone or before a time.
+    Others, impossible days and null give null.
+    """
+    raw = col(written)
+    part = lambda shape, i: F.regexp_extract(raw, shape, i)
+    time = r"(?:[T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?"
+    basic, plain = rf"^(\d{{4}})(\d\d)(\d\d){time}$", r"^(\d{4})-(\d\d)-(\d\d)"
+    week_day, week_basic = r"^(\d{4})-W(\d\d)-([1-7])", rf"^(\d{{4}})(?:W(\d\d)([1-7])?|-W(\d\d)){time}$"
+    join = lambda shape: F.concat_ws("-", part(shape, 1), part(shape, 2), part(shape, 3)).try_cast("date")
+
+    def of_week(year: Column, week: Column, day: Column) -> Column:
+        fourth = F.concat(year, F.lit("-01-04")).try_cast("date")
+        found = F.date_add(F.date_sub(fourth, F.weekday(fourth)), ((week - 1) * 7 + day - 1).cast("int"))
+        # Not every year has a week 53.
+        return F.when(F.weekofyear(found) == week, found)
+
+    number = lambda c: F.coalesce(c.try_cast("int"), F.lit(1))
+    either = F.when(part(week_basic, 2) != "", part(week_basic, 2)).otherwise(part(week_basic, 4))
+    return (
+        F.when(raw.rlike(plain), join(plain))
+        .when(raw.rlike(week_day), of_week(part(week_day, 1), number(part(week_day, 2)), number(part(week_day, 3))))
+        .when(raw.rlike(basic), join(basic))
+        .when(raw.rlike(week_basic), of_week(part(week_basic, 1), number(either), number(part(week_basic, 3))))
+    )
 
 
 def in_window(day: Column | str, window: tuple[date, date]) -> Column:

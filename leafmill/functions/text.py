@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.expansion import END_MARK
+
 #: Letters, numbers and the underscore, by Unicode category, so that every engine agrees.
 WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_'-]+"
 _BLANK = r"[\s\u0085  -     　]"
@@ -104,7 +106,7 @@ def window_starts(text: Column | str, window: int = 2000, overlap: int = 200) ->
 
 def strip_end_tokens(text: Column | str) -> Column:
     """Text without model end-of-sequence marks."""
-    return F.regexp_replace(col(text), r"<\|[A-Z_]+_TOKEN\|>", "")
+    return F.regexp_replace(col(text), END_MARK, "")
 
 
 def thread_id(root: Column | str) -> Column:

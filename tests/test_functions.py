@@ -70,7 +70,7 @@ def test_git_hashes(spark):
 @pytest.mark.parametrize(
     "query,low,high",
     [
-        ("mails last month", "2024-02-01", "2024-02-29"), ("letzte Woche", "2024-03-04", "2024-03-10"), ("this week", "2024-03-11", "2024-03-17"), ("dieses Jahr", "2024-01-01", "2024-12-31"),
+        ("mails last month", "2024-02-01", "2024-02-29"), ("letzte Woche", "2024-03-04", "2024-03-10"), ("this week", "2024-03-11", "2024-03-15"), ("dieses Jahr", "2024-01-01", "2024-03-15"), ("diesen Monat", "2024-03-01", "2024-03-15"), ("PREVIOUS  week", "2024-03-04", "2024-03-10"), ("vom vergangenen Jahr", "2023-01-01", "2023-12-31"), ("zuletzt", "2024-02-14", "2024-03-15"), ("in letzter Zeit", "2024-02-14", "2024-03-15"),
         ("gestern", "2024-03-14", "2024-03-14"), ("today", "2024-03-15", "2024-03-15"), ("recent notes", "2024-02-14", "2024-03-15"), ("last month or today", "2024-02-01", "2024-02-29"),
     ],
 )
@@ -104,6 +104,38 @@ def test_decoding():
     assert decode.repair("﻿é") == "é"
 
 
+def test_date_without_phrase():
+    assert temporal.date_window("todays yesterdayish thismonth", date(2024, 3, 15)) is None and temporal.date_window(None, date(2024, 3, 15)) is None
+
+
+@pytest.mark.parametrize(
+    "written,day",
+    [
+        ("2024-05-06", "2024-05-06"), ("2024-05-06 whatever", "2024-05-06"), ("2024-02-30", None), ("20240506", "2024-05-06"), ("20240506T0708+0200", "2024-05-06"), ("202405061", None), ("2024-W19-1", "2024-05-06"), ("2024W191", "2024-05-06"),
+        ("2024-W19", "2024-05-06"), ("2024-W53-1", None), ("2020-W53-5", "2021-01-01"), ("2020-W01-1", "2019-12-30"), ("6.5.2024", None), ("", None), (None, None),
+    ],
+)
+def test_doc_date_forms(spark, written, day):
+    found = one(spark, temporal.doc_date(F.lit(written).cast("string")))
+    assert (str(found) if found else None) == day
+
+
+def test_decoded_column_equals_repair(spark):
+    texts = ["\ufeffkopf", "Ã¼ber", "gru\u0308n", "plain", "", "Ωmega Ω", "â€žzitatâ€œ", "日本語", "é\u0301", "Привет", None]
+    rows = spark.createDataFrame([(i, None if t is None else t.encode(), None) for i, t in enumerate(texts)] + [(90, b"Gr\xfc\xdfe", "latin-1"), (91, b"Gr\xfc\xdfe", "no-such"), (92, b"\xff\xfe\x00", None)], "id long, data binary, hint string")
+    got = {r.id: r.clean for r in decode.decoded(rows, "data", "clean", "hint").collect()}
+    assert {i: got[i] for i in range(len(texts))} == {i: None if t is None else decode.repair(t) for i, t in enumerate(texts)}
+    assert got[90] == "Grüße" and got[0] == "kopf" and got[1] == "über" and got[2] == "grün" and len(got) == len(texts) + 3
+    assert {r.id: r.clean for r in decode.decoded(rows.drop("hint"), "data", "clean").where("id < 90").collect()} == {i: got[i] for i in range(len(texts))}
+    assert decode.decoded(rows.limit(0), "data", "clean").count() == 0
+
+
+def test_keyword_forms():
+    raw = "## Section 1\n**English:**\nSection 1 — Keywords: \"late bill\" \"tax form\" “dunning letter” \"a, b\"\n\n- gas! (2024)\n\n## Section 2 — Answer: x"
+    assert expansion.parse_keywords(raw) == ["late bill", "tax form", "dunning letter", "a b", "gas 2024"]
+    assert expansion.parse_keywords("") == [] and expansion.words("_under score's x") == ["_under", "score's"]
+
+
 def test_keywords():
     assert expansion.parse_keywords("Keywords: invoice, bill\n2. Rechnung\n- \"Quittung\"\n\nSection 2\nText") == ["invoice", "bill", "Rechnung", "Quittung"]
     assert len(expansion.parse_keywords(", ".join(f"word{i}" for i in range(30)))) == 12
