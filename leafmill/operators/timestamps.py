@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.session import fresh_path
+from leafmill.session import exists, fresh_path
 
 DEFAULT_ZONE = "Europe/Zurich"
 #: A written date is hot from 1/HOT_PARTS of all rows on, so at most HOT_PARTS are broadcast.
@@ -136,8 +136,7 @@ class TimestampDictionary:
     def read(self) -> DataFrame:
         """``src, zone, raw, utc`` of all earlier runs; empty before the first."""
         schema = "src string, zone string, raw string, utc string, n bigint"
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path)
 

@@ -90,3 +90,18 @@ def test_dictionary_grows_and_parses_only_new(spark, tmp_path):
     again = ts.normalise(make("2024-05-06", "2024-05-08", "2024-05-08"), book)
     assert sorted(r.utc[:10] for r in again.collect()) == ["2024-05-06", "2024-05-08", "2024-05-08"]
     assert book.read().count() == 3
+
+
+def test_kept_dictionary_serves_the_query(spark, data, tmp_path):
+    from leafmill.queries import general
+
+    first = sorted(map(tuple, general.p3_found(spark, data).collect()))
+    kept = f"file://{tmp_path}/dictionary"
+    spark.conf.set(general.KEPT_DICTIONARY, kept)
+    try:
+        assert sorted(map(tuple, general.p3_found(spark, data).collect())) == first
+        size = spark.read.parquet(kept).count()
+        # The second run finds all texts there and adds none.
+        assert sorted(map(tuple, general.p3_found(spark, data).collect())) == first and spark.read.parquet(kept).count() == size > 0
+    finally:
+        spark.conf.unset(general.KEPT_DICTIONARY)
