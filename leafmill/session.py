@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,26 +39,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a local
-    folder is made and remembered for the session.
+    Only where ``spark.checkpoint.dir`` is unset and all tasks run in the
+    driver's process (tests, one machine) a local folder is made and remembered
+    for the session; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.conf.get("leafmill.shared.dir", None)
     if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="leafmill-")
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        folder = tempfile.mkdtemp(prefix="leafmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = "file://" + folder
         spark.conf.set("leafmill.shared.dir", own)
     return own
 
 
 def fresh_path(spark: SparkSession, stem: str) -> str:
-    """A path below the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used, with the application's id in its name."""
+    return f"{shared_dir(spark)}/{stem}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that the application wrote on its way. Tables that were read from it must not be used any more."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/*-{spark.sparkContext.applicationId}-*")
+    system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.globStatus(pattern) or []:
+        system.delete(status.getPath(), True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists; an error in asking is an error, not an answer."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def put_file(spark: SparkSession, name: str, content: bytes) -> tuple[str, bool]:
-    """Write a small file to the shared folder: (path or URI, whether it is an ordinary path that all machines see)."""
+    """Write a small file to the shared folder: (path or URI, whether it is an ordinary path).
+
+    ``shared_dir`` is one that all machines see, so an ordinary path of it is too.
+    """
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if system.getUri().getScheme() == "file":
@@ -84,7 +110,7 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     archive.write(full, os.path.join("leafmill", os.path.relpath(full, root)))
     # Executors that join later get it too.
-    context.addPyFile(put_file(spark, f"leafmill-{uuid.uuid4().hex}.zip", packed.getvalue())[0])
+    context.addPyFile(put_file(spark, f"leafmill-{context.applicationId}-{uuid.uuid4().hex}.zip", packed.getvalue())[0])
     context._leafmill_shipped = True
 
 
