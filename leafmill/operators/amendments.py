@@ -32,6 +32,33 @@ def assertion_hash() -> Column:
     return F.sha1(F.to_json(F.struct("doc_key", "fields", "emitted_by", mode.alias("mode"))))
 
 
+#: Fields that a producer asserts as sets.
+SET_FIELDS = ("tags", "entities")
+# Modes of a record that states all that its producer asserts, and of one that takes back what it names.
+SET_MODES, TAKE_BACK = ("set", "replace"), "retract"
+
+
+def emit(queue: DataFrame, new: DataFrame, declarative: bool = False) -> DataFrame:
+    """The queue with new records (amend_id, doc_key, fields, emitted_by, emitted_at), each kind of record once.
+
+    A record equal to one in the queue, whenever it was made, is not added
+    again; of equal new ones the one with the smallest id is.  A declarative
+    record states all that its producer asserts and may assert nothing, an
+    additive one must.  Records without a key, without fields or without a
+    producer raise.
+    """
+    present = lambda c: F.coalesce(c != "", F.lit(False))
+    keyed = present(F.col("doc_key.message_id")) | present(F.col("doc_key.sha256")) | present(F.col("doc_key.path"))
+    asserting = F.col("fields").isNotNull() if declarative else F.coalesce(F.size("fields.tags"), F.lit(0)) + F.coalesce(F.size("fields.entities"), F.lit(0)) > 0
+    refused = new.where(~(keyed & F.coalesce(asserting, F.lit(False)) & present(F.col("emitted_by")))).limit(1).collect()  # one row at most
+    if refused:
+        raise ValueError(f"a record needs a key, fields and a producer: {refused[0]}")
+    hashed = new.withColumn("mode", F.lit("set" if declarative else "add")).withColumn("hash", assertion_hash())
+    one = hashed.withColumn("__rn", F.row_number().over(Window.partitionBy("hash").orderBy("amend_id"))).where("__rn = 1").drop("__rn")
+    known = queue.select(assertion_hash().alias("hash")).distinct()
+    return queue.unionByName(one.join(known, "hash", "left_anti").select(*queue.columns))
+
+
 def document_key(key: Column | str) -> Column:
     """``struct<kind, value>``: the first of message id, SHA-256 and path that is present; null if none is.
 
@@ -133,6 +160,68 @@ def apply(docs: DataFrame, resolved: DataFrame, doc: str = "row_id", tags: str =
     )
 
 
+def _field_claims(resolved: DataFrame) -> DataFrame:
+    """``doc, producer, field, value, mode, at`` of every value that a record names; ``at`` orders a producer's records."""
+    rows = resolved.where(F.col("doc").isNotNull()).withColumn("at", F.struct(F.coalesce("emitted_at", F.lit("")).alias("time"), assertion_hash().alias("hash")))
+    base = ["doc", F.col("emitted_by").alias("producer"), "mode", "at"]
+    tags = rows.select(*base, F.lit("tags").alias("field"), F.explode("fields.tags").alias("value"))
+    ents = rows.select(*base, F.lit("entities").alias("field"), F.explode("fields.entities").alias("e")).withColumn("value", _entity_value(F.col("e"))).drop("e")
+    return tags.unionByName(ents).where(F.col("value").isNotNull())
+
+
+def _entity_value(entity: Column) -> Column:
+    return F.concat_ws("\u001f", F.coalesce(entity.scope, F.lit("body")), entity.type, entity.value)
+
+
+def current_claims(stored: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``doc, producer, field, value`` that each producer asserts after a run; ``stored`` are the claims before it.
+
+    A declarative record (mode ``set`` or ``replace``) replaces what its
+    producer asserted in the fields that it has, additive records after it add
+    to that, and a record of mode ``retract`` takes back what it names.  Records
+    of a producer count in the order of time, then hash.
+    """
+    rows = resolved.where(F.col("doc").isNotNull()).withColumn("at", F.struct(F.coalesce("emitted_at", F.lit("")).alias("time"), assertion_hash().alias("hash")))
+    states = rows.where(F.col("mode").isin(*SET_MODES)).select("doc", F.col("emitted_by").alias("producer"), "at", F.explode(F.array(*[F.when(F.col(f"fields.{f}").isNotNull(), F.lit(f)) for f in SET_FIELDS])).alias("field"))
+    last_set = states.where(F.col("field").isNotNull()).groupBy("doc", "producer", "field").agg(F.max("at").alias("set_at"))
+    keys = ["doc", "producer", "field"]
+    named = _field_claims(resolved)
+    given = named.where(F.col("mode") != TAKE_BACK).groupBy(*keys, "value").agg(F.max("at").alias("given_at"))
+    taken = named.where(F.col("mode") == TAKE_BACK).groupBy(*keys, "value").agg(F.max("at").alias("taken_at"))
+    before = stored.select(*keys, "value").distinct().withColumn("was", F.lit(True))
+    every = before.join(given, [*keys, "value"], "full").join(taken, [*keys, "value"], "left").join(last_set, keys, "left")
+    stays = F.when(F.col("given_at").isNotNull(), F.col("set_at").isNull() | (F.col("given_at") >= F.col("set_at"))).otherwise(F.col("set_at").isNull())
+    kept = F.col("taken_at").isNull() | F.coalesce(F.col("given_at") > F.col("taken_at"), F.lit(False))
+    return every.where(stays & kept).select(*keys, "value")
+
+
+def apply_all(docs: DataFrame, resolved: DataFrame, stored: DataFrame | None = None, doc: str = "row_id", tags: str = "tags", entities: str = "entities") -> DataFrame:
+    """Documents with the tags and entities of all their records merged in, and what no producer asserts any more taken out.
+
+    A value is taken out if a producer asserted it, before the run (``stored``
+    claims) or in it, does so no longer after its declarative or retracting
+    records, and no other producer does.  Values that no record ever asserted
+    stay, as do documents without records.
+    """
+    claims_before = stored if stored is not None else docs.sparkSession.createDataFrame([], f"doc {docs.schema[doc].dataType.simpleString()}, producer string, field string, value string")
+    asserting = resolved.where(F.coalesce(F.col("mode") != TAKE_BACK, F.lit(True)))
+    merged = apply(docs, asserting, doc, tags, entities)
+    after = current_claims(claims_before, resolved).select("doc", "field", "value").distinct()
+    named = _field_claims(resolved)
+    touched = named.select("doc").union(resolved.where(F.col("doc").isNotNull()).select("doc")).distinct()
+    ever = claims_before.join(touched, "doc", "left_semi").select("doc", "field", "value").union(named.where(F.col("mode") != TAKE_BACK).select("doc", "field", "value")).distinct()
+    gone = ever.join(after, ["doc", "field", "value"], "left_anti")
+    lists = gone.groupBy("doc").agg(*[F.collect_set(F.when(F.col("field") == f, F.col("value"))).alias(f"__gone_{f}") for f in SET_FIELDS])
+    joined = merged.join(lists, merged[doc] == lists.doc, "left")
+    none = F.array().cast("array<string>")
+    without = lambda values, dropped, key: F.when(F.size(dropped) > 0, F.filter(values, lambda v: ~F.array_contains(F.coalesce(dropped, none), key(v)))).otherwise(values)
+    return (
+        joined.withColumn(tags, without(F.col(tags), F.col("__gone_tags"), lambda v: v))
+        .withColumn(entities, without(F.col(entities), F.col("__gone_entities"), _entity_value))
+        .drop("doc", "__gone_tags", "__gone_entities")
+    )
+
+
 def apply_counts(resolved: DataFrame, applied: DataFrame) -> DataFrame:
     """One row ``applied, pending``: records that can be applied now (not yet in ``applied``: doc, hash) and that wait for a document."""
     hashed = resolved.withColumn("hash", assertion_hash())

@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.functions import temporal, text
-from leafmill.session import written
+from leafmill.functions import stem, temporal, text
+from leafmill.session import exists, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-VERSION = 1
+VERSION = 2
+#: Buckets of terms that postings are stored in.
+BUCKETS = 64
+#: Query terms up to this many are pushed down to the stored postings.
+PUSHED_TERMS = 1_000
 #: Query terms up to this many are broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 100_000
 
@@ -27,31 +31,12 @@ def tokens_of(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit(""))).alias("tokens"))
 
 
-def postings(tokenized: DataFrame) -> DataFrame:
-    """``doc, term, tf, len`` of ``doc, tokens``; no shuffle, as a document's counts are made within its row."""
-    counted = tokenized.select(
-        "doc",
-        F.size("tokens").alias("len"),
-        F.explode(
-            F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
-        ).alias("p"),
-    )
-    return counted.select("doc", "p.term", "p.tf", "len")
-
-
 def postings_grouped(tokenized: DataFrame) -> DataFrame:
-    """The same by grouping, for documents of very many tokens."""
+    """``doc, term, tf, len`` of ``doc, tokens``."""
     rows = tokenized.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
     return rows.groupBy("doc", "term", "len").agg(F.count("*").cast("int").alias("tf")).select("doc", "term", "tf", "len")
 
 
-def distinct_postings(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """Postings of one field: its words are distinct, so every tf is 1."""
-    tokens = F.col("tokens")
-    rows = tokens_of(docs.select(key, text.tokenize(body).alias("tokens")), key, tokens)
-    return rows.select("doc", F.explode("tokens").alias("term"), F.lit(1).alias("tf"), F.size("tokens").alias("len"))
-
-
 def corpus_stats(tokenized: DataFrame) -> DataFrame:
     """One row: number of documents and their mean length."""
     return tokenized.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
@@ -59,13 +44,30 @@ def corpus_stats(tokenized: DataFrame) -> DataFrame:
 
 def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
     """``term, df, idf``; negative idf replaced by a quarter of the mean idf over the vocabulary."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    return term_stats_of(post.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def term_stats_of(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """The same from counts ``term, df``."""
     raw = df.crossJoin(F.broadcast(stats.select("n_docs"))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     floored = raw.crossJoin(F.broadcast(mean))  # one row
     return floored.select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
+def stemmed_tokens(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """``doc, tokens`` with each token followed by its stems; a document without tokens has one empty token."""
+    tokenized = written(docs.select(F.col(key).alias("doc"), tokens.alias("tokens")), "tokens")
+    stems = stem.stemmed(tokenized.where(F.size("tokens") > 0))
+    return stems.unionByName(tokenized.where(~(F.coalesce(F.size("tokens"), F.lit(0)) > 0)).select("doc", F.array(F.lit("")).alias("tokens")))
+
+
+def stemmed_query_terms(queries: DataFrame, key: str, query: str) -> DataFrame:
+    """``query, term`` of query texts, each word with its stems; empty queries have none."""
+    words = query_terms(queries, key, query)
+    return words.join(stem.stem_table(words), "term").select("query", F.explode("stems").alias("term")).distinct()
+
+
 def query_terms(queries: DataFrame, key: str, query: str) -> DataFrame:
     """``query, term`` of query texts; empty queries have none."""
     return queries.select(F.col(key).alias("query"), F.explode(text.tokenize(query)).alias("term"))
@@ -115,26 +117,57 @@ def temporal_rank(docs: DataFrame, scored: DataFrame, window: tuple[date, date],
 
 
 class Index:
-    """A stored index: postings sorted by term, statistics, and a version that is checked on load."""
+    """A stored index: postings in buckets of terms and sorted by term within them, statistics, and a version that is checked on load.
+
+    A search reads the buckets of its terms alone (partitions), and of those the
+    row groups that may hold them (statistics of the sorted term).
+    """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def save(self, tokenized: DataFrame, parts: int | None = None) -> None:
-        post = postings_grouped(tokenized)
-        post = post.repartitionByRange(parts, "term", "doc") if parts else post.repartitionByRange("term", "doc")
-        post.sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{self.path}/postings")
-        stats = corpus_stats(tokenized)
-        stats.write.mode("overwrite").parquet(f"{self.path}/stats")
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def save(self, tokenized: DataFrame) -> None:
+        """Write the index of ``doc, tokens``; the version comes last, so an index half written does not load."""
+        post = postings_grouped(tokenized).withColumn("bucket", self._bucket(F.col("term")))
+        # A bucket of common terms spreads over several tasks, by range of term and document.
+        post.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        corpus_stats(tokenized).write.mode("overwrite").parquet(f"{self.path}/stats")
         stored = self.spark.read.parquet(f"{self.path}/postings")
-        term_stats(stored, self.spark.read.parquet(f"{self.path}/stats")).write.mode("overwrite").parquet(f"{self.path}/terms")
-        self.spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version")
+        terms = term_stats(stored, self.spark.read.parquet(f"{self.path}/stats"))
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms")
+        self.spark.createDataFrame([(VERSION, self.buckets)], "version int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version")
 
     def load(self) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-        """(postings, corpus statistics, term statistics), or None if missing or of another version: then build anew."""
-        try:
-            if self.spark.read.parquet(f"{self.path}/version").first()[0] != VERSION:
-                return None
-            return tuple(self.spark.read.parquet(f"{self.path}/{name}") for name in ("postings", "stats", "terms"))
-        except Exception:
+        """(postings, corpus statistics, term statistics), or None if missing or of another version: then build anew.
+
+        An index that is there but cannot be read raises.
+        """
+        if not exists(self.spark, f"{self.path}/version/_SUCCESS"):
+            return None
+        version, buckets = self.spark.read.schema("version int, buckets int").parquet(f"{self.path}/version").first()
+        if version != VERSION:
             return None
+        self.buckets = buckets
+        return tuple(self.spark.read.parquet(f"{self.path}/{name}") for name in ("postings", "stats", "terms"))
+
+    def of_terms(self, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The same three tables, restricted to the terms (query, term) of queries where these are few enough to be pushed down."""
+        loaded = self.load()
+        if loaded is None:
+            raise FileNotFoundError(f"no index of version {VERSION} at {self.path}; build it first")
+        post, stats, known = loaded
+        asked = terms.select("term", self._bucket(F.col("term")).alias("bucket")).distinct().limit(PUSHED_TERMS + 1).collect()  # PUSHED_TERMS at most
+        if len(asked) <= PUSHED_TERMS:
+            words = [r.term for r in asked]
+            post = post.where(F.col("bucket").isin(sorted({r.bucket for r in asked})) & F.col("term").isin(words))
+            known = known.where(F.col("term").isin(words))
+        return post, stats, known
+
+    def search(self, terms: DataFrame, k: int) -> DataFrame:
+        """``query, rank, doc, score`` of ``query, term``; a query without known terms has no rows."""
+        post, stats, known = self.of_terms(terms)
+        scored = score(post, terms, stats, known)
+        return top_k(scored.withColumn("score", F.round("score", 6)), k).select("query", "rank", "doc", "score")

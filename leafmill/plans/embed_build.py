@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text
 from leafmill.operators import dense
+from leafmill.session import exists, written
 
 VERSION = 1
 SCHEMA = "rel_path string, mtime_ns long, chunk_idx int, vec array<float>, model string"
@@ -22,11 +23,10 @@ class EmbedStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def load(self) -> DataFrame:
-        try:
-            if self.spark.read.parquet(f"{self.path}/version").first()[0] == VERSION:
-                return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/vectors")
-        except Exception:
-            pass
+        """The stored vectors; a store that is there but cannot be read raises."""
+        stored = exists(self.spark, f"{self.path}/version/_SUCCESS") and exists(self.spark, f"{self.path}/vectors")
+        if stored and self.spark.read.schema("version int").parquet(f"{self.path}/version").first()[0] == VERSION:
+            return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/vectors")
         return self.spark.createDataFrame([], SCHEMA)
 
     def append(self, vectors: DataFrame) -> None:
@@ -45,19 +45,22 @@ def chunks(docs: DataFrame, window: int = 2000, overlap: int = 200) -> DataFrame
     return rows.select("rel_path", "mtime_ns", "chunk_idx", whole.alias("chunk")).where("chunk <> ''")
 
 
-def build(docs: DataFrame, store: EmbedStore, model: str, embed: Callable[[list[str]], np.ndarray], skipped: list[str] | None = None) -> int:
+def build(docs: DataFrame, store: EmbedStore, model: str, embed: Callable[[list[str]], np.ndarray], skipped: list[str] | None = None, parts: int = 1) -> int:
     """Embed and append the chunks that the store lacks for ``model``; returns how many were missing.
 
-    Documents in skipped folders are left out.  A run that broke off is
-    completed by the next, as what is missing is decided chunk by chunk.
+    Documents in skipped folders are left out.  The chunks are embedded in so
+    many parts, each kept when it is done; a run that broke off is completed by
+    the next, as what is missing is decided chunk by chunk.
     """
     scope = chunks(docs.where(~text.has_prefix("rel_path", skipped or [])))
-    missing = dense.missing_chunks(scope, store.load(), model)
-    keyed = missing.select(F.struct("rel_path", "mtime_ns", "chunk_idx").alias("k"), "chunk")
-    vectors = dense.embed_texts(keyed.withColumn("k", F.to_json("k")), "k", "chunk", embed)
-    parsed = vectors.select(F.from_json("k", "rel_path string, mtime_ns long, chunk_idx int").alias("k"), "vec")
+    # Written once, as it is counted, embedded part by part and compared with a store that grows meanwhile.
+    missing = written(dense.missing_chunks(scope, store.load(), model).withColumn("part", F.pmod(F.xxhash64("rel_path"), F.lit(parts)).cast("int")), "missing-chunks")
     count = missing.count()
-    if count:
+    for part in range(parts if count else 0):
+        # Each part is appended when it is done, so a run that breaks off keeps what it has.
+        keyed = missing.where(F.col("part") == part).select(F.to_json(F.struct("rel_path", "mtime_ns", "chunk_idx")).alias("k"), "chunk")
+        vectors = dense.embed_texts(keyed, "k", "chunk", embed)
+        parsed = vectors.select(F.from_json("k", "rel_path string, mtime_ns long, chunk_idx int").alias("k"), "vec")
         store.append(parsed.select("k.*", "vec", F.lit(model).alias("model")))
     return count
 

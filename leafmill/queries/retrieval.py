@@ -6,10 +6,12 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from leafmill.functions import stem, temporal, text
+from leafmill.functions import decode, expansion, temporal, text
 from leafmill.operators import bm25, dense, documents, fusion, locate
-from leafmill.session import table, written
+from leafmill.plans import answer, embed_build
+from leafmill.session import fresh_path, table, written
 
 DIMS = 64
 AS_OF = date(2024, 6, 15)
@@ -17,6 +19,8 @@ PHRASE = "heating invoice last year"
 NOWHERE = "heating invoice today"
 PHRASE_DAY = date(1999, 1, 1)
 TERM = "sal"
+SPLIT = "2023-01-01 00:00:00"
+MODEL = "hashing"
 
 _W = r"[\p{L}\p{N}_][\p{L}\p{N}_''-]+"
 
@@ -60,15 +64,93 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.search(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "saved_queries"), "query_id", "text", 20)
 
 
+def _stored_index(spark: SparkSession, docs: DataFrame, key: str, tokens) -> bm25.Index:
+    index = bm25.Index(spark, fresh_path(spark, "bm25-index"))
+    index.save(bm25.stemmed_tokens(docs, key, tokens))
+    return index
+
+
 def bm25_stemmed(spark: SparkSession, sf: str) -> DataFrame:
-    """The best documents of each saved query when words match by their English or German stems too."""
-    docs = table(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("tokens")).where(F.size("tokens") > 0)
-    tokenized = written(stem.stemmed(docs.withColumnRenamed("doc_id", "doc")), "stems")
-    post, stats = bm25.postings_grouped(tokenized), bm25.corpus_stats(tokenized)
-    asked = table(spark, sf, "saved_queries").select(F.col("query_id").alias("doc"), text.tokenize("text").alias("tokens"))
-    terms = stem.stemmed(asked).select(F.col("doc").alias("query"), F.explode("tokens").alias("term"))
-    scored = bm25.score(post, terms, stats, bm25.term_stats(post, stats)).withColumn("score", F.round("score", 6))
-    return bm25.top_k(scored, 20).select("query", "rank", "doc", "score")
+    """The best documents of each saved query, from a stored index of words with their English and German stems."""
+    index = _stored_index(spark, table(spark, sf, "documents"), "doc_id", text.tokenize("text"))
+    return index.search(bm25.stemmed_query_terms(table(spark, sf, "saved_queries"), "query_id", "text"), 20)
+
+
+def bm25_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of words as they are written, from a stored index of which only the query's terms are read."""
+    index = bm25.Index(spark, fresh_path(spark, "bm25-index"))
+    index.save(written(bm25.tokens_of(table(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("tokens")), "doc_id", F.col("tokens")), "tokens"))
+    return index.search(bm25.query_terms(table(spark, sf, "saved_queries"), "query_id", "text"), 20)
+
+
+def field_terms_stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and occurrences of each term of whole documents, body and metadata, with stems."""
+    tokens = text.field_tokens("body", "title", "tags", "entities", "participants")
+    tokenized = bm25.stemmed_tokens(table(spark, sf, "store_docs"), "row_id", tokens)
+    return bm25.postings_grouped(tokenized).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def answer_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits with snippets of a question with a date phrase: stems, expansion, vectors of the hashing embedder, all fused."""
+    docs = documents.newest_versions(table(spark, sf, "store_docs").where(F.col("rel_path").isNotNull()))
+    index = _stored_index(spark, docs, "rel_path", text.field_tokens("body", "title", "tags", "entities", "participants"))
+    embed = dense.hashing_embedder(DIMS)
+    store = embed_build.EmbedStore(spark, fresh_path(spark, "embed-store"))
+    embed_build.build(docs, store, MODEL, embed)
+    ask = expansion.dictionary_expander({"heating": ["heizung", "heizkosten"], "invoice": ["rechnung", "facture"]})
+    hits, _ = answer.hybrid(docs, index, PHRASE, 20, AS_OF, embed_build.live(store, docs, MODEL), embed, ask)
+    found = answer.with_snippets(hits, docs, PHRASE)
+    return found.select(F.col("rank").cast("bigint").alias("rank"), "path", F.round("score", 6).alias("score"), "date", "snippet")
+
+
+def hits_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The result form for other programs, of the ten best paths of all runs of saved queries."""
+    best = table(spark, sf, "hits").where("path IS NOT NULL AND score IS NOT NULL").groupBy("path").agg(F.max("score").alias("score"), F.max("date").alias("date"), F.max("snippet").alias("snippet"))
+    ten = best.orderBy(F.desc("score"), "path").limit(10)
+    ranked = ten.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))  # ten rows
+    return answer.as_json(ranked.withColumn("score", F.col("score").cast("string")))
+
+
+def date_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The days that each phrase means on a fixed day."""
+    rows = []
+    for phrases in temporal.PHRASES.values():
+        for phrase in phrases.split("|"):
+            low, high = temporal.date_window(f"Notes: {phrase.upper()}, please", AS_OF)
+            rows.append((phrase, str(low), str(high)))
+    return spark.createDataFrame(rows, "phrase string, low string, high string")
+
+
+def embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks as they are embedded: windows of the body behind the document's head."""
+    d = documents.newest_versions(table(spark, sf, "store_docs").where(F.col("rel_path").isNotNull()))
+    return embed_build.chunks(d).select("rel_path", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+def embed_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the newest versions that the vector store lacks for each of its models."""
+    d = embed_build.chunks(documents.newest_versions(table(spark, sf, "store_docs").where(F.col("rel_path").isNotNull()))).select("rel_path", "mtime_ns", "chunk_idx")
+    have = table(spark, sf, "chunk_vectors")
+    wanted = d.crossJoin(F.broadcast(have.where("model IS NOT NULL").select("model").distinct()))  # a row per model
+    keys = ["rel_path", "mtime_ns", "chunk_idx", "model"]
+    return wanted.join(have.select(*keys), keys, "left_anti").groupBy("rel_path", "model").agg(F.count("*").alias("n"), F.min("chunk_idx").cast("bigint").alias("first"))
+
+
+def embed_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors per file after two runs of the build: the documents that came first, then all; the second adds what is missing."""
+    d = table(spark, sf, "store_docs").where(F.col("rel_path").isNotNull())
+    store = embed_build.EmbedStore(spark, fresh_path(spark, "embed-store"))
+    embed = dense.hashing_embedder(DIMS)
+    embed_build.build(documents.newest_versions(d.where(F.col("ingested_at") < F.lit(SPLIT).cast("timestamp_ntz"))), store, MODEL, embed)
+    newest = documents.newest_versions(d)
+    embed_build.build(newest, store, MODEL, embed, parts=2)
+    return embed_build.live(store, newest, MODEL).groupBy("rel_path").agg(F.count("*").alias("n"), F.max("chunk_idx").cast("bigint").alias("last"))
+
+
+def decoded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's bytes decoded and repaired."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    return decode.decoded(d, "data", "clean").select("doc_id", F.length("clean").cast("bigint").alias("n_chars"), F.md5(F.col("clean").cast("binary")).alias("digest"))
 
 
 def _temporal(spark: SparkSession, sf: str, query: str, as_of: date) -> DataFrame:
@@ -102,15 +184,32 @@ q AS (SELECT query, unnest(t) AS term FROM (SELECT query, {_tok("txt")} AS t FRO
 scored AS (SELECT query, doc, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len / al))), 6) AS score FROM post JOIN q USING (term) JOIN idf USING (term), stats GROUP BY 1, 2)"""
 
 
-_DAY = r"CASE WHEN regexp_matches(substr(date, 1, 10), '^\d{4}-\d\d-\d\d$') THEN try_cast(substr(date, 1, 10) AS DATE) END"
+_TIME = r"([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?"
+_WEEK = "(make_date(CAST(regexp_extract({0}, {1}, 1) AS INT), 1, 4) - CAST(isodow(make_date(CAST(regexp_extract({0}, {1}, 1) AS INT), 1, 4)) - 1 AS INT) + (CAST({2} AS INT) - 1) * 7 + {3})"
+
+
+def _of_week(shape: str, week: str, day: str) -> str:
+    found = _WEEK.format("date", shape, week, day)
+    return f"CASE WHEN weekofyear({found}) = CAST({week} AS INT) THEN CAST({found} AS DATE) END"
+
 
+DAY_SQL = rf"""CASE WHEN regexp_matches(date, '^\d{{4}}-\d\d-\d\d') THEN try_cast(substr(date, 1, 10) AS DATE)
+ WHEN regexp_matches(date, '^\d{{4}}-W\d\d-[1-7]') THEN {_of_week("'^([0-9]{4})-W'", "substr(date, 7, 2)", "CAST(substr(date, 10, 1) AS INT) - 1")}
+ WHEN regexp_matches(date, '^\d{{8}}{_TIME}$') THEN try_cast(substr(date, 1, 4) || '-' || substr(date, 5, 2) || '-' || substr(date, 7, 2) AS DATE)
+ WHEN regexp_matches(date, '^\d{{4}}W\d\d[1-7]{_TIME}$') THEN {_of_week("'^([0-9]{4})W'", "substr(date, 6, 2)", "CAST(substr(date, 8, 1) AS INT) - 1")}
+ WHEN regexp_matches(date, '^\d{{4}}W\d\d{_TIME}$') THEN {_of_week("'^([0-9]{4})W'", "substr(date, 6, 2)", "0")}
+ WHEN regexp_matches(date, '^\d{{4}}-W\d\d{_TIME}$') THEN {_of_week("'^([0-9]{4})-W'", "substr(date, 7, 2)", "0")} END"""
 
-def _temporal_sql(query: str, as_of: date) -> str:
-    low, high = temporal.date_window(query, as_of)
+
+#: The days that the two date phrases mean, written out: last year on 2024-06-15, today on 1999-01-01.
+_LAST_YEAR, _TODAY = ("2023-01-01", "2023-12-31"), ("1999-01-01", "1999-01-01")
+
+
+def _temporal_sql(query: str, low: str, high: str) -> str:
     return (
         _bm25_sql("store_docs", "row_id", "body", f"SELECT 1 AS query, '{query}' AS txt")
         + f""",
-dated AS (SELECT row_id AS doc, {_DAY} AS day FROM store_docs),
+dated AS (SELECT row_id AS doc, {DAY_SQL} AS day FROM store_docs),
 marked AS (SELECT doc, day, coalesce(day BETWEEN DATE '{low}' AND DATE '{high}', false) AS inside FROM dated),
 kept AS (SELECT doc, day FROM marked WHERE inside OR NOT (SELECT coalesce(bool_or(inside), false) FROM marked))
 SELECT row_number() OVER (ORDER BY score IS NOT NULL DESC, day DESC NULLS LAST, coalesce(score, 0) DESC, doc) AS rank, doc, CAST(day AS VARCHAR) AS day, coalesce(score, 0.0) AS score
@@ -253,16 +352,42 @@ def scanned_only(spark: SparkSession, sf: str) -> DataFrame:
     return documents.scanned_pages(pages, 400).select(F.col("doc").alias("doc_id"), "n_pages", "total_chars")
 
 
+#: The days of every phrase on Saturday 2024-06-15, by hand.
+_WINDOWS = ", ".join(
+    f"('{phrase}', '{low}', '{high}')"
+    for phrases, low, high in (
+        ("last month|previous month|vorigen monat|letzten monat|letztem monat|vergangenen monat", "2024-05-01", "2024-05-31"),
+        ("this month|diesen monat|diesem monat|dieses monat|laufenden monat|aktuellen monat", "2024-06-01", "2024-06-15"),
+        ("last week|previous week|vorige woche|letzte woche|letzten woche|letzter woche", "2024-06-03", "2024-06-09"),
+        ("this week|dieser woche|diese woche|diesem woche", "2024-06-10", "2024-06-15"),
+        ("last year|previous year|letztes jahr|letzten jahr|letztem jahr|vergangenen jahr|vergangenes jahr", "2023-01-01", "2023-12-31"),
+        ("this year|dieses jahr|diesen jahr|diesem jahr", "2024-01-01", "2024-06-15"),
+        ("yesterday|gestern", "2024-06-14", "2024-06-14"),
+        ("today|heute", "2024-06-15", "2024-06-15"),
+        ("recent|recently|lately|zuletzt|jüngst|kürzlich|neulich|in letzter zeit", "2024-05-16", "2024-06-15"),
+    )
+    for phrase in phrases.split("|")
+)
+_LIVE = "list_filter(coalesce(entities, []), lambda e: e.valid IS DISTINCT FROM false)"
+_CHUNKS = f"""
+d AS (SELECT * FROM store_docs WHERE rel_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rel_path ORDER BY mtime_ns DESC NULLS LAST, ingested_at DESC NULLS LAST, row_id DESC) = 1),
+h AS (SELECT rel_path, mtime_ns, coalesce(body, '') AS body, substr(concat_ws(chr(10), nullif(title, ''), nullif(array_to_string(tags, ' '), ''),
+ nullif(array_to_string(flatten(list_transform({_LIVE}, lambda e: [e.value, e.canonical])), ' '), ''),
+ nullif(array_to_string(flatten(list_transform(coalesce(participants, []), lambda p: [p.address, p."name"])), ' '), '')), 1, 500) AS head FROM d),
+k AS (SELECT rel_path, mtime_ns, i AS chunk_idx, concat_ws(chr(10), nullif(head, ''), nullif(substr(body, CAST(i * 1800 + 1 AS BIGINT), 2000), '')) AS chunk
+ FROM (SELECT *, unnest(range(CAST(greatest(ceil((length(body) - 2000) / 1800.0), 0) AS BIGINT) + 1)) AS i FROM h))"""
+
+
 def queries() -> dict:
     names = (
-        tokenize_doc, token_df, doc_len_stats, field_term_tf, bm25_idf, bm25_topk, bm25_stemmed, bm25_temporal, bm25_temporal_fallback, snippets, cosine_topk, query_vec_pool, dense_file_max,
+        tokenize_doc, token_df, doc_len_stats, field_term_tf, bm25_idf, bm25_topk, bm25_stored, bm25_stemmed, field_terms_stemmed, answer_hits, hits_json, date_windows, embed_chunks, embed_missing, embed_store, decoded_texts, bm25_temporal, bm25_temporal_fallback, snippets, cosine_topk, query_vec_pool, dense_file_max,
         dense_temporal, hybrid_topk, rrf_runs, rrf_two_stage, chunk_windows, chunk_prefix, doc_date_parse, path_tokenize, path_scores, locate_topk, skip_prefix, slugs, scanned_only,
     )
     return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    low, high = temporal.date_window(PHRASE, AS_OF)
+    low, high = _LAST_YEAR
     ent = "list_filter(coalesce(entities, []), lambda e: e.valid IS DISTINCT FROM false)"
     each = lambda c: f"SELECT row_id, unnest({_tok(c)}) AS term FROM"
     fused = "round(sum(1.0 / (60 + rank)), 9) AS rrf, max(score) AS score"
@@ -281,8 +406,21 @@ SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS most FROM
         "bm25_idf": _bm25_sql("documents", "doc_id", "text", "SELECT 1 AS query, '' AS txt") + " SELECT term, df, round(idf, 6) AS idf FROM idf",
         "bm25_topk": _bm25_sql("documents", "doc_id", "text", "SELECT query_id AS query, text AS txt FROM saved_queries")
         + " SELECT query, rank, doc, score FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 20",
-        "bm25_temporal": _temporal_sql(PHRASE, AS_OF),
-        "bm25_temporal_fallback": _temporal_sql(NOWHERE, PHRASE_DAY),
+        "bm25_stored": _bm25_sql("documents", "doc_id", "text", "SELECT query_id AS query, text AS txt FROM saved_queries")
+        + " SELECT query, rank, doc, score FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 20",
+        "date_windows": f"SELECT * FROM (VALUES {_WINDOWS}) AS t(phrase, low, high)",
+        "hits_json": """
+WITH b AS (SELECT path, max(score) AS score, max(date) AS date, max(snippet) AS snippet FROM hits WHERE path IS NOT NULL AND score IS NOT NULL GROUP BY 1),
+t AS (SELECT * FROM b ORDER BY score DESC, path LIMIT 10)
+SELECT '[' || string_agg('{"path":' || to_json(path) || ',"score":' || to_json(CAST(score AS VARCHAR)) || ',"date":' || to_json(coalesce(date, '')) || ',"snippet":' || to_json(coalesce(snippet, '')) || '}', ',' ORDER BY score DESC, path) || ']' AS json FROM t""",
+        "embed_chunks": f"WITH {_CHUNKS} SELECT rel_path, chunk_idx, md5(chunk) AS digest FROM k WHERE chunk <> ''",
+        "embed_missing": f"""
+WITH {_CHUNKS}, m AS (SELECT DISTINCT model FROM chunk_vectors WHERE model IS NOT NULL)
+SELECT rel_path, model, count(*) AS n, min(chunk_idx) AS first FROM k, m
+WHERE chunk <> '' AND NOT EXISTS (SELECT 1 FROM chunk_vectors v WHERE v.rel_path = k.rel_path AND v.mtime_ns = k.mtime_ns AND v.chunk_idx = k.chunk_idx AND v.model = m.model) GROUP BY 1, 2""",
+        "embed_store": f"WITH {_CHUNKS} SELECT rel_path, count(*) AS n, max(chunk_idx) AS last FROM k WHERE chunk <> '' GROUP BY 1",
+        "bm25_temporal": _temporal_sql(PHRASE, *_LAST_YEAR),
+        "bm25_temporal_fallback": _temporal_sql(NOWHERE, *_TODAY),
         "snippets": r"""
 WITH s AS (SELECT row_id, body, coalesce(nullif(instr(lower(body), 'invoice'), 0), nullif(instr(lower(body), 'heizkostenabrechnung'), 0), nullif(instr(lower(body), 'protokoll'), 0), 0) AS pos FROM store_docs WHERE body IS NOT NULL),
 w AS (SELECT *, greatest(pos - 60, 1) AS st FROM s)
@@ -301,7 +439,7 @@ SELECT "at", round(x / sqrt((SELECT sum(x * x) FROM m)), 6) AS x FROM m""",
         "dense_temporal": f"""
 WITH c AS (SELECT rel_path, vec_id, {_COS.format("vec", _Q)} AS score FROM chunk_vectors WHERE rel_path IS NOT NULL AND {_GOOD.format("vec")}),
 f AS (SELECT rel_path, max(score) AS score FROM (SELECT * FROM c ORDER BY score DESC, vec_id, rel_path LIMIT 1200) GROUP BY 1),
-d AS (SELECT rel_path, max({_DAY}) AS day FROM store_docs GROUP BY 1)
+d AS (SELECT rel_path, max({DAY_SQL}) AS day FROM store_docs GROUP BY 1)
 SELECT rel_path, round(score, 6) AS score FROM f JOIN d USING (rel_path) WHERE day BETWEEN DATE '{low}' AND DATE '{high}' ORDER BY f.score DESC, rel_path LIMIT 20""",
         "hybrid_topk": _HYBRID,
         "rrf_runs": f"""
@@ -322,7 +460,7 @@ WITH s AS (SELECT row_id, nullif(title, '') AS a, nullif(array_to_string(tags, '
  nullif(array_to_string(flatten(list_transform({ent}, lambda e: [e.value, e.canonical])), ' '), '') AS c,
  nullif(array_to_string(flatten(list_transform(coalesce(participants, []), lambda p: [p.address, p."name"])), ' '), '') AS d FROM store_docs)
 SELECT row_id, length(substr(concat_ws(chr(10), a, b, c, d), 1, 500)) AS n_chars, md5(substr(concat_ws(chr(10), a, b, c, d), 1, 500)) AS digest FROM s""",
-        "doc_date_parse": f"SELECT row_id, CAST({_DAY} AS VARCHAR) AS day FROM store_docs",
+        "doc_date_parse": f"SELECT row_id, CAST({DAY_SQL} AS VARCHAR) AS day FROM store_docs",
         "path_tokenize": f"SELECT doc_id, array_to_string({_path_sql('rel_path')}, '|') AS parts FROM documents",
         "path_scores": f"SELECT {_SCORE} AS \"match\", count(*) AS n FROM ({_LINES}) WHERE line <> '' GROUP BY 1",
         "locate_topk": f"""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions import hashing
+from leafmill.functions import hashing, text
+from leafmill.operators.ranking import rank_rows
 
 #: Top folders that hold no documents.
 SKIPPED = ("plugins", "originals", ".git", ".index")
@@ -27,8 +29,6 @@ def split_head(content: str) -> tuple[str | None, str]:
 
 
 def _parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import json
-
     import yaml
 
     for part in parts:
@@ -41,7 +41,7 @@ def _parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not isinstance(parsed, dict):
                     raise ValueError("the head is no mapping")
                 rows.append((path, mtime, body, json.dumps(parsed, default=str, ensure_ascii=False), None, True))
-            except Exception:
+            except (UnicodeDecodeError, ValueError, yaml.YAMLError):
                 rows.append((path, mtime, None, None, None, False))
         yield pd.DataFrame(rows, columns=["rel_path", "mtime_ns", "body", "head", "sha256", "ok"])
 
@@ -57,8 +57,12 @@ def read(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED) ->
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + clean.replace(".", "\\.") + "/", "")
     listed = files.select(rel.alias("rel_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
     listed = listed.where(~F.split_part("rel_path", F.lit("/"), F.lit(1)).isin(*skipped))
-    parsed = listed.mapInPandas(_parse, SCHEMA)
-    return parsed.withColumn("sha256", hashing.sha256("body"))
+    return parse(listed)
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """``rel_path, mtime_ns, body, head (JSON), sha256, ok`` of files (rel_path, mtime_ns, content BINARY); see ``read``."""
+    return files.select("rel_path", "mtime_ns", "content").mapInPandas(_parse, SCHEMA).withColumn("sha256", hashing.sha256("body"))
 
 
 def with_fields(docs: DataFrame) -> DataFrame:
@@ -68,23 +72,36 @@ def with_fields(docs: DataFrame) -> DataFrame:
 
 
 def notes(spark: SparkSession, root: str, known: DataFrame, default_tags: list[str]) -> DataFrame:
-    """Plain notes (txt, md, markdown) that are not known by content yet, with default tags added and names without clash.
+    """Plain notes (txt, md, markdown) below ``root``; see ``new_notes``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md,markdown}").option("recursiveFileLookup", "true").load(root)
+    return new_notes(files.select(F.col("path").alias("rel_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content"), known, default_tags)
+
+
+def new_notes(files: DataFrame, known: DataFrame, default_tags: list[str]) -> DataFrame:
+    """``rel_path, body, sha256, tags, date, head`` of notes (rel_path, mtime_ns, content BINARY) that are not known by content yet.
 
-    ``known`` has ``sha256``.  Equal contents come once, the smallest path wins.
+    ``known`` has ``sha256``, of the files' bytes.  A YAML head is taken off the
+    body and keeps its fields; one that cannot be read stays in the body.  The
+    note's own tags come first, then the default ones that are missing.  A date
+    of the head stays, else it is the file's.  Equal contents come once, the
+    smallest path wins; names that clash get a number.
     """
-    from leafmill.functions import text
-
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.{txt,md,markdown}").option("recursiveFileLookup", "true").text(root)
-    listed = files.select(F.input_file_name().alias("path"), F.col("value").alias("body")).withColumn("sha256", hashing.sha256("body"))
-    fresh = listed.groupBy("sha256").agg(F.min_by("body", "path").alias("body"), F.min("path").alias("path")).join(known.select("sha256"), "sha256", "left_anti")
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
-    named = fresh.withColumn("slug", text.slugify(stem, "note"))
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy("slug").orderBy("sha256"))
-    return named.withColumn("n", place).select(
-        F.concat("slug", F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(""), F.lit(".md")).alias("rel_path"),
+    hashed = files.withColumn("sha256", F.sha2("content", 256))
+    fresh = hashed.groupBy("sha256").agg(F.min(F.struct("rel_path", "mtime_ns", "content")).alias("f")).join(known.select("sha256"), "sha256", "left_anti")
+    # The SHA-256 goes along as the path, as it is what the content is known by.
+    parsed = parse(fresh.select(F.col("sha256").alias("rel_path"), "f.mtime_ns", "f.content")).select(F.col("rel_path").alias("sha256"), "body", "head", "ok")
+    fields = F.from_json("head", "tags array<string>, date string")
+    joined = fresh.select("sha256", "f.rel_path", "f.mtime_ns", F.col("f.content").alias("raw")).join(parsed, "sha256").withColumn("fields", fields)
+    stem = F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), r"\.[^.]+$", "")
+    named = joined.withColumn("slug", text.slugify(stem, "note"))
+    written = F.date_format(F.timestamp_micros((F.col("mtime_ns") / 1000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    # A name that many notes share is numbered over many tasks.
+    ranked = rank_rows(named.select("sha256", "slug", F.coalesce("body", F.decode("raw", "UTF-8")).alias("body"), "head", F.col("fields.tags").alias("own"), F.coalesce("fields.date", written).alias("date")), ["slug"], [F.asc("sha256")])
+    return ranked.select(
+        F.concat("slug", F.when(F.col("rank") > 1, F.concat(F.lit("_"), F.col("rank").cast("string"))).otherwise(""), F.lit(".md")).alias("rel_path"),
         "body",
         "sha256",
-        F.array(*[F.lit(t) for t in default_tags]).cast("array<string>").alias("tags"),
+        text.add_tags("own", default_tags).alias("tags"),
+        "date",
+        "head",
     )

@@ -1,3 +1,4 @@
+import json
 from collections import Counter
 from datetime import date
 from math import log
@@ -71,7 +72,7 @@ def test_index_is_stored_and_checked(spark, tmp_path):
 
 def test_postings_agree(spark):
     rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [""])], "doc long, tokens array<string>")
-    assert sorted(map(tuple, bm25.postings(rows).collect())) == sorted(map(tuple, bm25.postings_grouped(rows).collect())) == [(1, "a", 2, 3), (1, "b", 1, 3), (2, "", 1, 1)]
+    assert sorted(map(tuple, bm25.postings_grouped(rows).collect())) == [(1, "a", 2, 3), (1, "b", 1, 3), (2, "", 1, 1)]
 
 
 def test_search_many_equals_brute_force(spark):
@@ -311,3 +312,67 @@ def test_rank_rows_spans_parts(spark):
     assert len(got) == 3000 and all(want[r.g][r["rank"] - 1] == r.id for r in got)
     assert rank_rows(rows, [], [F.asc("id")]).where("rank <> id + 1").count() == 0
     assert rank_rows(rows.limit(0), ["g"], [F.asc("id")]).count() == 0
+
+
+RECORD = "amend_id long, mode string, doc_key struct<message_id: string, sha256: string, path: string>, fields struct<tags: array<string>, entities: array<struct<scope: string, type: string, value: string>>>, emitted_by string, emitted_at string"
+
+
+def _run(spark, runs, tags=("kept",)):
+    """Tags of document 1 after each run of records (mode, tags, producer, time)."""
+    docs = spark.createDataFrame([(1, "a.md", "s", "<m>", list(tags), None)], "row_id long, rel_path string, sha256 string, message_id string, tags array<string>, entities array<struct<scope: string, type: string, value: string>>")
+    stored = spark.createDataFrame([], "doc long, producer string, field string, value string")
+    out = []
+    for run in runs:
+        rows = [(i, mode, ("<m>", None, None), (values, None), producer, time) for i, (mode, values, producer, time) in enumerate(run)]
+        resolved = am.resolve(spark.createDataFrame(rows, RECORD), docs)
+        docs = docs.sparkSession.createDataFrame(am.apply_all(docs, resolved, stored).collect(), docs.schema)
+        stored = spark.createDataFrame(am.current_claims(stored, resolved).collect(), stored.schema)
+        out.append(docs.first().tags)
+    return out
+
+
+def test_declarative_records_retract_by_count(spark):
+    assert _run(spark, [[("set", ["a", "b"], "p", "1")], [("set", ["a"], "p", "2")]], ()) == [["a", "b"], ["a"]]
+    assert _run(spark, [[("set", ["s"], "p", "1"), ("set", ["s"], "q", "1")], [("set", [], "p", "2")]], ()) == [["s"], ["s"]]
+    assert _run(spark, [[("set", [], "p", "1")]], ("pre",)) == [["pre"]]
+    assert _run(spark, [[("add", ["x"], "p", "1")], [("set", ["y"], "p", "2")]]) == [["kept", "x"], ["kept", "y"]]
+    assert _run(spark, [[("add", ["x"], "p", "1")], [("set", ["y"], "q", "2")]]) == [["kept", "x"], ["kept", "x", "y"]]
+    assert _run(spark, [[("set", ["a", "b"], "p", "1"), ("set", ["b"], "p", "2"), ("add", ["c"], "p", "3")]]) == [["b", "c", "kept"]]
+    assert _run(spark, [[("set", ["a"], "p", "1")], [("retract", ["a", "kept"], "p", "2")]]) == [["a", "kept"], ["kept"]]
+
+
+def test_emit_is_idempotent_and_checked(spark):
+    make = lambda *rows: spark.createDataFrame([(i, None, (k, None, None), None if t is None else (t, None), p, str(i)) for i, k, t, p in rows], RECORD)
+    queue = am.emit(spark.createDataFrame([], RECORD), make((1, "<m>", ["a"], "p"), (2, "<m>", ["a"], "p"), (3, "<m>", ["b"], "p")))
+    assert sorted(r.amend_id for r in queue.collect()) == [1, 3] and {r.mode for r in queue.collect()} == {"add"}
+    assert am.emit(queue, make((9, "<m>", ["b"], "p"))).count() == 2
+    both = am.emit(queue, make((10, "<m>", ["b"], "p"), (11, "<m>", [], "p")), declarative=True)
+    assert sorted((r.amend_id, r.mode) for r in both.collect()) == [(1, "add"), (3, "add"), (10, "set"), (11, "set")]
+    for bad in ((4, None, ["a"], "p"), (5, "<m>", [], "p"), (6, "<m>", None, "p"), (7, "<m>", ["a"], "")):
+        with pytest.raises(ValueError):
+            am.emit(queue, make(bad))
+
+
+def test_stored_index_reads_only_its_terms(spark, tmp_path, capsys):
+    docs = spark.createDataFrame([(i, f"word{i % 50} running häuser common") for i in range(400)], "id long, body string")
+    index = bm25.Index(spark, f"file://{tmp_path}/index")
+    index.save(bm25.stemmed_tokens(docs, "id", text.tokenize("body")))
+    queries = spark.createDataFrame([(1, "runs"), (2, "word7"), (3, ""), (4, "unknown")], "q long, t string")
+    terms = bm25.stemmed_query_terms(queries, "q", "t")
+    found = index.search(terms, 5)
+    assert {r["query"] for r in found.collect()} == {1, 2} and {r.doc % 50 for r in found.where("query = 2").collect()} == {7}
+    index.of_terms(terms)[0].explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters" in plan and "bucket" in plan and "In(term" in plan
+    # The same by brute force over the stemmed tokens.
+    tokenized = {r.doc: r.tokens for r in bm25.stemmed_tokens(docs, "id", text.tokenize("body")).collect()}
+    df = sum("run" in t for t in tokenized.values())
+    assert df == 400 and index.load()[2].where("term = 'run'").first().df == df
+    with pytest.raises(FileNotFoundError):
+        bm25.Index(spark, f"file://{tmp_path}/none").of_terms(terms)
+
+
+def test_hits_as_text_and_json(spark):
+    hits = spark.createDataFrame([(2, "b.md", 0.5, None, ""), (1, "ä.md", 1.25, "2024-01-01", "a \"b\"")], "rank int, path string, score double, date string, snippet string")
+    assert [r.line for r in answer.as_text(hits).collect()] == ['  1.25  ä.md  (2024-01-01)\n       a "b"', "  0.50  b.md"]
+    assert json.loads(answer.as_json(hits).first().json) == [{"path": "ä.md", "score": 1.25, "date": "2024-01-01", "snippet": 'a "b"'}, {"path": "b.md", "score": 0.5, "date": "", "snippet": ""}]
