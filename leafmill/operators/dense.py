@@ -15,6 +15,8 @@ from leafmill.functions import temporal
 
 BATCH = 32
 HALVINGS = 24
+#: Query vectors that are sent to all rows at once; bounds what is collected and broadcast (8 MB of 64 numbers each) and the scores of a task.
+SEARCH_BLOCK, ROWS_AT_ONCE = 16_384, 1_024
 OVERSAMPLE, POOL_FACTOR, POOL_LEAST = 3, 20, 200
 
 
@@ -56,7 +58,7 @@ def top_k(vectors: DataFrame, key: str, vec: str, query: list[float], k: int) ->
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, block: int = 2048) -> DataFrame:
+def search_many(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, block: int = SEARCH_BLOCK) -> DataFrame:
     """``query, rank, id, score``: the ``k`` closest vectors of each query vector, itself left out; ties by the smaller id.
 
     Queries are sent to the rows in blocks of at most ``block``; each task keeps
@@ -79,15 +81,17 @@ def search_many(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: i
             for rows in batches:
                 if not len(own) or not rows.num_rows:
                     continue
-                rid = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rid), -1)
-                s = x_q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                s[own[:, None] == rid[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(rid, s.shape), -np.round(s, 6)), axis=1)[:, :k]
-                a, c = np.repeat(np.arange(len(own)), order.shape[1]), order.ravel()
-                good = np.isfinite(s[a, c])
-                a, c = a[good], c[good]
-                yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(rid[c]), pa.array(np.round(s[a, c], 6))], names=["query", "id", "score"])
+                ids_of = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                whole = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids_of), -1)
+                whole = whole / np.linalg.norm(whole, axis=1, keepdims=True)
+                for low in range(0, len(ids_of), ROWS_AT_ONCE):
+                    rid = ids_of[low : low + ROWS_AT_ONCE]
+                    s = np.round(x_q @ whole[low : low + ROWS_AT_ONCE].T, 6)
+                    s[own[:, None] == rid[None, :]] = -np.inf
+                    # What is as good as the k-th is kept, as ties are decided over all rows.
+                    least = np.partition(s, len(rid) - k, axis=1)[:, len(rid) - k] if k < len(rid) else np.full(len(own), -np.inf)
+                    a, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(rid[c]), pa.array(s[a, c])], names=["query", "id", "score"])
 
         found = vectors.select(F.col(key).cast("bigint").alias("k"), vec).mapInArrow(run, "query bigint, id bigint, score double")
         hit = found if hit is None else hit.unionByName(found)

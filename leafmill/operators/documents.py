@@ -38,6 +38,35 @@ def findings(docs: DataFrame, key: str = "row_id") -> DataFrame:
     return docs.select(key, F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("f")).select(key, "f.level", "f.check")
 
 
+# Scalar fields of a head that every producer may write; others carry the producer's name and an underscore before theirs.
+COMMON_SCALARS = ("source", "date", "processor", "processor_version", "sha256", "url_sha256", "status", "subject", "project", "thread_id", "message_id", "key_id")
+
+
+def head_findings(docs: DataFrame, key: str = "rel_path", head: str = "head") -> DataFrame:
+    """``key, level, check`` of every rule that a document's head (JSON) breaks as it is written.
+
+    Required fields are there, but for the SHA-256 of chat days and of social
+    profiles that have one of their address; tags are a list; scalars that are
+    neither common nor named after the document's source are warned of.  A head
+    that is null or no object breaks only the rule that it be one.
+    """
+    names = F.json_object_keys(head)
+    has = lambda c: F.array_contains(names, c)
+    source = F.get_json_object(head, "$.source")
+    exempt = (has("thread_id") & ~has("message_id")) | ((source == "social") & has("url_sha256"))
+    rules = [(F.coalesce(~has(c) & (~F.coalesce(exempt, F.lit(False)) if c == "sha256" else F.lit(True)), F.lit(False)), "fail", f"missing_{c}") for c in REQUIRED]
+    rules.append((names.isNull(), "fail", "no_head"))
+    marks = F.array(*[F.when(broken, F.struct(F.lit(level).alias("level"), F.lit(name).alias("check"))) for broken, level, name in rules])
+    missing = docs.select(key, F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("f")).select(key, "f.level", "f.check")
+    # A value's kind shows in the first character of its JSON, as read with the values kept as they are written.
+    kept = F.variant_get(F.try_parse_json(head), "$", "map<string, variant>")
+    fields = docs.where(names.isNotNull()).select(key, source.alias("__source"), F.explode(kept).alias("name", "value")).withColumn("json", F.to_json("value"))
+    nested = F.col("json").rlike(r"^\s*[\[{]") | F.coalesce(F.col("json") == "null", F.lit(True))
+    foreign = ~nested & ~F.col("name").isin(*COMMON_SCALARS) & ~F.coalesce(F.col("name").startswith(F.concat("__source", F.lit("_"))), F.lit(False)) & (F.col("name") != "tags")
+    check = F.when((F.col("name") == "tags") & ~F.col("json").rlike(r"^\s*\["), F.struct(F.lit("fail").alias("level"), F.lit("tags_no_list").alias("check"))).when(foreign, F.struct(F.lit("warn").alias("level"), F.concat(F.lit("unregistered_"), "name").alias("check")))
+    return missing.unionByName(fields.withColumn("f", check).where("f IS NOT NULL").select(key, "f.level", "f.check"))
+
+
 def thread_summary(docs: DataFrame) -> DataFrame:
     """Per thread: messages, first and last day, distinct addresses. Rows without a thread are left out."""
     rows = docs.where(F.col("thread_id").isNotNull()).select("thread_id", "row_id", temporal.doc_date("date").alias("day"), F.transform("participants", lambda p: F.lower(p.address)).alias("who"))

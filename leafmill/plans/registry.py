@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text
 from leafmill.operators import documents
+from leafmill.session import written
 
 log = logging.getLogger(__name__)
 
@@ -26,6 +27,13 @@ class Plugin:
     kind: str
     run: Callable
     config: dict = field(default_factory=dict)
+    description: str = ""
+    folders: tuple[str, ...] = ()
+    options: dict[str, dict] = field(default_factory=dict)
+
+
+# What may be said of an option.
+OPTION_KEYS = frozenset({"required", "default", "description", "secret"})
 
 
 def check_manifest(plugin: Plugin) -> list[tuple[str, str]]:
@@ -37,14 +45,31 @@ def check_manifest(plugin: Plugin) -> list[tuple[str, str]]:
         out.append(("fail", "the version must be numbers with points"))
     if plugin.kind not in ("converter", "amender"):
         out.append(("fail", "the kind must be converter or amender"))
+    for folder in plugin.folders:
+        if folder.startswith("/") or ".." in folder.split("/"):
+            out.append(("fail", f"the folder {folder!r} must lie below the store"))
+    for name, said in plugin.options.items():
+        if not isinstance(said, dict):
+            out.append(("fail", f"the option {name} must be a dictionary"))
+        elif unknown := sorted(set(said) - OPTION_KEYS):
+            out.append(("warn", f"the option {name} has unknown keys: {', '.join(unknown)}"))
+    missing = [name for name, said in plugin.options.items() if isinstance(said, dict) and said.get("required") and name not in plugin.config and "default" not in said]
+    if missing:
+        out.append(("fail", f"options without a value: {', '.join(missing)}"))
+    if not plugin.description:
+        out.append(("warn", "a description is missing"))
     return out
 
 
 def check_interface(plugin: Plugin) -> list[tuple[str, str]]:
-    """What is wrong with the signature: a converter takes (spark, config), an amender (documents, config)."""
+    """What is wrong with the signature: a converter takes (spark, config), an amender (documents, config) and may take what a run created."""
     wanted = ["spark", "config"] if plugin.kind == "converter" else ["documents", "config"]
-    have = list(inspect.signature(plugin.run).parameters)
-    return [] if have[:2] == wanted else [("fail", f"the function must take {', '.join(wanted)}, not {', '.join(have) or 'nothing'}")]
+    given = inspect.signature(plugin.run).parameters
+    have = list(given)
+    out = [] if have[:2] == wanted else [("fail", f"the function must take {', '.join(wanted)}, not {', '.join(have) or 'nothing'}")]
+    if plugin.kind == "amender" and "created" not in given and not any(p.kind == p.VAR_KEYWORD for p in given.values()):
+        out.append(("warn", "without the argument created it sweeps all documents on every run"))
+    return out
 
 
 class Registry:
@@ -68,15 +93,21 @@ class Registry:
         docs = plugin.run(spark, plugin.config).withColumns({"processor": F.lit(plugin.name), "processor_version": F.lit(plugin.version)})
         return docs if known is None else docs.dropDuplicates(["sha256"]).join(known.select("sha256"), "sha256", "left_anti")
 
-    def amend(self, docs: DataFrame, skipped: list[str] | None = None) -> list[DataFrame]:
-        """Amendments of all amenders for documents outside the skipped folders; one that fails is logged and left out."""
+    def amend(self, docs: DataFrame, skipped: list[str] | None = None, created: DataFrame | None = None) -> list[DataFrame]:
+        """Amendments of all amenders for documents outside the skipped folders; one that fails is logged and left out.
+
+        Each amender's records are written when it runs, so that what fails only
+        then fails here.  ``created`` (rel_path) are the documents that a run
+        made; amenders that take them need not sweep the others.
+        """
         scope = docs.where(~text.has_prefix("rel_path", skipped or []))
         out = []
         for plugin in self.plugins.values():
             if plugin.kind == "amender":
+                extra = {"created": created} if created is not None and "created" in inspect.signature(plugin.run).parameters else {}
                 try:
-                    out.append(plugin.run(scope, plugin.config))
-                except Exception:
+                    out.append(written(plugin.run(scope, plugin.config, **extra), "amender-records"))
+                except Exception:  # whatever a given amender raises
                     log.warning("amender %s failed", plugin.name, exc_info=True)
         return out
 

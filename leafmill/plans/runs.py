@@ -8,9 +8,12 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from leafmill.session import exists
+
 #: Commands that change documents and so exclude each other.
 CHANGING = frozenset({"convert", "scrub"})
 
@@ -25,6 +28,11 @@ class Run:
     started: float = field(default_factory=time.monotonic)
     done: int = 0
     total: int | None = None
+    stop: threading.Event = field(default_factory=threading.Event)
+
+    def stopping(self) -> bool:
+        """Whether the run was asked to end after the part it is at."""
+        return self.stop.is_set()
 
     def eta(self) -> float | None:
         """Seconds that are left at the pace so far."""
@@ -64,6 +72,44 @@ class Runs:
         with self.lock:
             self.active.remove(run)
 
+    def cancel(self, spark: SparkSession, command: str, key: str = "", hard: bool = False) -> int:
+        """Ask runs to end after the part they are at or, ``hard``, at once; returns how many there were."""
+        with self.lock:
+            chosen = [r for r in self.active if (r.command, r.key) == (command, key)]
+        for run in chosen:
+            run.stop.set()
+            if hard:
+                spark.sparkContext.cancelJobGroup(run.group)
+        return len(chosen)
+
+    def status(self, spark: SparkSession) -> DataFrame:
+        """``command, key, seconds, done, total, eta, stopping`` of the active runs."""
+        with self.lock:
+            rows = [(r.command, r.key, time.monotonic() - r.started, r.done, r.total, r.eta(), r.stopping()) for r in self.active]
+        return spark.createDataFrame(rows, "command string, key string, seconds double, done long, total long, eta double, stopping boolean")
+
+
+def in_parts(spark: SparkSession, run: Run, parts: int, do: Callable[[int], object], mark: str) -> bool:
+    """Do ``parts`` parts of a run one after the other, and remember each that is done at the path ``mark``.
+
+    A run that was stopped or broke off goes on behind the last part that was
+    done; one that ends takes the mark away.  Returns whether it ended.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(mark)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    schema = "part int, parts int"
+    # Another division into parts begins anew.
+    last = spark.read.schema(schema).parquet(mark).where(F.col("parts") == parts).agg(F.max("part")).first()[0] if exists(spark, mark) else None
+    run.total, run.done = parts, 0 if last is None else last + 1
+    while run.done < parts:
+        if run.stopping():
+            return False
+        do(run.done)
+        spark.createDataFrame([(run.done, parts)], schema).coalesce(1).write.mode("append").parquet(mark)
+        run.done += 1
+    system.delete(path, True)
+    return True
+
 
 def guarded(spark: SparkSession, run: Run, action: Callable[[], object], limit: float) -> object:
     """Do an action as one job group that is cancelled when no task has ended for ``limit`` seconds."""

@@ -263,7 +263,7 @@ def extracted_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 def _as_files(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a Markdown file with its metadata as head: rel_path, mtime_ns, content."""
-    fields = F.struct("title", "subject", "source", "date", "tags", "message_id", "thread_id", "in_reply_to", "row_id")
+    fields = F.struct("title", "subject", "source", "date", "tags", "message_id", "thread_id", "in_reply_to", "row_id", "sha256", "processor", "processor_version", F.col("title").alias("web_title"))
     text_ = F.concat(F.lit("---\n"), F.to_json(fields), F.lit("\n---\n"), F.coalesce("body", F.lit("")))
     return table(spark, sf, "store_docs").select(F.concat(F.coalesce("rel_path", F.lit("none")), F.lit("#"), F.col("row_id").cast("string")).alias("rel_path"), "mtime_ns", text_.cast("binary").alias("content"))
 
@@ -274,6 +274,11 @@ def markdown_scan(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("rel_path", "title", "date", F.array_join("tags", "|").alias("tags"), "message_id", F.length("body").cast("bigint").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("digest"), "ok")
 
 
+def head_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules that the heads of all documents break, with how many break them."""
+    return dm.head_findings(markdown.parse(_as_files(spark, sf))).groupBy("level", "check").agg(F.count("*").alias("n"))
+
+
 def new_notes(spark: SparkSession, sf: str) -> DataFrame:
     """Notes made of all documents' texts: contents that are known by the earlier ones are left out, names made unique."""
     d = table(spark, sf, "documents").where("text IS NOT NULL")
@@ -338,7 +343,7 @@ def queries() -> dict:
         producers_refcount, plan_gc, plan_remove, link_names, cache_misses, snapshot_diff, newest_versions, managed_outdated, invalid_entities_by_type, concurrent_keys, thread_summary,
         directions, shared_references, chat_lines, validate_findings, participant_strings, day_buckets, index_health,
         default_tags, extracted_entities, extracted_values, session_turns, stream_day_counts, retractable_claims,
-        current_claims, emitted, markdown_scan, new_notes, session_bodies, cache_puts, manifest_merge, producer_lists, amount_forms,
+        current_claims, emitted, markdown_scan, head_findings, new_notes, session_bodies, cache_puts, manifest_merge, producer_lists, amount_forms,
     )
     return {f.__name__: f for f in names}
 
@@ -409,6 +414,14 @@ every AS (SELECT 'add' AS mode, emitted_by, amend_id FROM q UNION ALL SELECT 'ad
 SELECT mode, emitted_by, count(*) AS n, count(DISTINCT amend_id) AS n_ids FROM every GROUP BY 1, 2""",
         "markdown_scan": """
 SELECT coalesce(rel_path, 'none') || '#' || row_id AS rel_path, title, date, array_to_string(tags, '|') AS tags, message_id, length(coalesce(body, '')) AS n_chars, md5(coalesce(body, '')) AS digest, true AS ok FROM store_docs""",
+        "head_findings": " UNION ALL ".join(
+            f"SELECT * FROM (SELECT '{level}' AS level, '{name}' AS \"check\", count(*) AS n FROM store_docs WHERE {broken}) WHERE n > 0"
+            for level, name, broken in [
+                *[("fail", f"missing_{c}", f"{c} IS NULL" + (f" AND NOT {chat_day}" if c == "sha256" else "")) for c in dm.REQUIRED],
+                *[("warn", f"unregistered_{c}", f"{c} IS NOT NULL") for c in ("title", "in_reply_to", "row_id")],
+                ("warn", "unregistered_web_title", "title IS NOT NULL AND source IS DISTINCT FROM 'web'"),
+            ]
+        ),
         "new_notes": f"""
 WITH d AS (SELECT *, sha256(encode(text)) AS s FROM documents WHERE text IS NOT NULL)
 SELECT s AS sha256, 'imported' AS tags, true AS named FROM d WHERE s NOT IN (SELECT s FROM d WHERE collected_at < {split}) GROUP BY 1""",

@@ -376,3 +376,44 @@ def test_hits_as_text_and_json(spark):
     hits = spark.createDataFrame([(2, "b.md", 0.5, None, ""), (1, "ä.md", 1.25, "2024-01-01", "a \"b\"")], "rank int, path string, score double, date string, snippet string")
     assert [r.line for r in answer.as_text(hits).collect()] == ['  1.25  ä.md  (2024-01-01)\n       a "b"', "  0.50  b.md"]
     assert json.loads(answer.as_json(hits).first().json) == [{"path": "ä.md", "score": 1.25, "date": "2024-01-01", "snippet": 'a "b"'}, {"path": "b.md", "score": 0.5, "date": "", "snippet": ""}]
+
+
+def test_head_findings(spark):
+    good = {"source": "web", "date": "2024-01-01T00:00:00Z", "tags": ["a"], "sha256": "x", "processor": "web", "processor_version": "1.0", "web_rank": 3, "entities": [{"a": 1}]}
+    heads = {
+        1: good, 2: good | {"tags": "a", "rank": 1, "other_x": "[no list]"}, 3: {k: v for k, v in good.items() if k != "sha256"} | {"thread_id": "t"}, 4: {k: v for k, v in good.items() if k != "sha256"} | {"source": "social", "url_sha256": "u", "social_a": True},
+        5: {k: v for k, v in good.items() if k != "sha256"} | {"url_sha256": "u"}, 6: {},
+    }
+    rows = [(i, json.dumps(h)) for i, h in heads.items()] + [(7, None), (8, "[1]"), (9, "{broken")]
+    got = {(r.k, r.level, r.check) for r in dm.head_findings(spark.createDataFrame(rows, "k long, head string"), "k").collect()}
+    assert got == {(2, "fail", "tags_no_list"), (2, "warn", "unregistered_rank"), (2, "warn", "unregistered_other_x"), (4, "warn", "unregistered_web_rank"), (5, "fail", "missing_sha256")} | {(6, "fail", f"missing_{c}") for c in dm.REQUIRED} | {(i, "fail", "no_head") for i in (7, 8, 9)}
+
+
+def test_runs_in_parts_go_on_where_they_stopped(spark, tmp_path):
+    from leafmill.plans import runs
+
+    active, mark, done = runs.Runs(), f"file://{tmp_path}/mark", []
+    run = active.begin(runs.Run("scrub", "notes"))
+
+    def part(i):
+        done.append(i)
+        if i == 1:
+            assert active.cancel(spark, "scrub", "notes") == 1 and active.cancel(spark, "scrub", "mail") == 0
+
+    assert not runs.in_parts(spark, run, 4, part, mark) and done == [0, 1]
+    row = active.status(spark).first()
+    assert (row.command, row.key, row.done, row.total, row.stopping) == ("scrub", "notes", 2, 4, True)
+    active.end(run)
+    assert runs.in_parts(spark, runs.Run("scrub", "notes"), 4, done.append, mark) and done == [0, 1, 2, 3] and not (tmp_path / "mark").exists()
+    assert active.status(spark).count() == 0
+
+
+def test_manifest_rules(spark):
+    make = lambda **x: registry.Plugin("notes", "1.0", "converter", lambda spark, config: None, **x)
+    levels = lambda p: sorted(level for level, _ in registry.check_manifest(p))
+    assert levels(make(description="d")) == [] and levels(make()) == ["warn"] and levels(make(description="d", folders=("/a", "b/../c", "ok"))) == ["fail", "fail"]
+    assert levels(make(description="d", options={"a": {"requird": 1}, "b": 3, "c": {"required": True}})) == ["fail", "fail", "warn"]
+    failing = registry.Plugin("late", "1.0", "amender", lambda documents, config, created=None: documents.withColumn("x", F.raise_error(F.lit("no"))), description="d")
+    plugins = registry.Registry()
+    plugins.add(failing)
+    assert registry.check_interface(failing) == [] and plugins.amend(spark.createDataFrame([("a",)], "rel_path string")) == []
