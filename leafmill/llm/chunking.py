@@ -58,12 +58,23 @@ def cut_points(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit:
             open_ &= ~hit
         return out
 
-    either = np.union1d(kinds[1], kinds[3])
+    every = either = np.union1d(kinds[1], kinds[3])
+    step = limit - overlap
+
+    def along(s: np.ndarray) -> np.ndarray:
+        """The starts and all that hard cuts lead to from them before the next boundary or the text's end is in reach."""
+        stop = ends[np.searchsorted(starts, s, "right") - 1]
+        place = np.searchsorted(every, s + limit - reach, "right")
+        free = np.minimum(stop, np.where(place < len(every), every[np.minimum(place, len(every) - 1)], stop)) if len(every) else stop
+        cuts = np.maximum((free - 1 - limit - s) // step + 1, 0)
+        count = cuts + 1
+        return np.unique(np.repeat(s, count) + step * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)))
+
     first = starts[np.searchsorted(starts, either - 1, "right") - 1]
     either = either[either - first > limit - reach]
     nodes = np.union1d(starts, either - overlap)
     reach_to = farthest(nodes)
-    # Hard cuts lead to starts that no boundary has; add them until none is new.
+    # Hard cuts lead to starts that no boundary has; those of a stretch without boundaries are added at once, until none is new.
     while True:
         stop = ends[np.searchsorted(starts, nodes, "right") - 1]
         follow = reach_to[reach_to < stop] - overlap
@@ -73,6 +84,7 @@ def cut_points(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit:
             break
         chain = []
         while len(missing):
+            missing = along(missing)
             chain.append(missing)
             e = farthest(missing)
             inside = e < ends[np.searchsorted(starts, missing, "right") - 1]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from leafmill.llm import chunking
@@ -66,3 +67,12 @@ def test_embed_rows_cover_the_text(spark):
         got.setdefault(r.path, []).append(r.chunk)
     assert got["q"] == ["short"] and set(got) == {"p", "q"}
     assert got["p"] == [text[a:b] for a, b in brute(text)] if len(text) > 2000 else [text]
+
+
+def test_stretches_without_boundaries_take_few_steps(monkeypatch):
+    calls = []
+    plain = np.unique
+    monkeypatch.setattr(chunking.np, "unique", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
+    text = "x" * 3_000_000 + " " + "y" * 2_000_000 + "\n" + "z" * 1_000_000
+    _, number, begin, end = chunking._pieces([1], [text], 2000, 500, 200)
+    assert len(calls) < 40 and len(begin) > 3_000 and end[-1] == len(text) and (end - begin <= 2000).all() and (begin[1:] == end[:-1] - 200).all()
