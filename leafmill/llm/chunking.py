@@ -88,7 +88,7 @@ def cut_points(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit:
             chain.append(missing)
             e = farthest(missing)
             inside = e < ends[np.searchsorted(starts, missing, "right") - 1]
-            missing = np.unique(e[inside] - overlap)
+            missing = np.setdiff1d(e[inside] - overlap, chain[-1])
             missing = missing[nodes[np.minimum(np.searchsorted(nodes, missing), len(nodes) - 1)] != missing]
         nodes = np.union1d(nodes, np.concatenate(chain))
         reach_to = farthest(nodes)
