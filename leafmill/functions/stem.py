@@ -184,6 +184,16 @@ def variants(word: str) -> list[str]:
     return list(dict.fromkeys((word, english(word), german(word))))
 
 
+def stem_pairs(terms: DataFrame) -> DataFrame:
+    """``term, english, german`` of distinct terms."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"term": part.term, "english": [english(t) for t in part.term], "german": [german(t) for t in part.term]})
+
+    return terms.select("term").distinct().mapInPandas(run, "term string, english string, german string")
+
+
 def stem_table(terms: DataFrame) -> DataFrame:
     """``term, stems`` of distinct terms: the term itself and its two stems, without repeats."""
 

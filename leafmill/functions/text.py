@@ -130,22 +130,25 @@ def participant_names(participants: Column | str) -> Column:
     return F.array_distinct(F.transform(col(participants), lambda p: F.trim(F.concat_ws(" ", p["name"], F.concat(F.lit("<"), p.address, F.lit(">"))))))
 
 
-def field_tokens(body: Column | str, title: Column | str, tags: Column | str, entities: Column | str, participants: Column | str) -> Column:
-    """A document's tokens: each field's own, one after the other, so a word in two fields counts twice.
+def field_lists(body: Column | str, title: Column | str, tags: Column | str, entities: Column | str, participants: Column | str) -> Column:
+    """A document's tokens, a list for each field: the tags first, whole and in lower case, then body, title, entities and participants.
 
-    Tags are taken whole, in lower case.  Invalid entities are left out.
+    Invalid entities are left out; fields without tokens have an empty list.
     """
-    none = F.array().cast("array<string>")
-    each = lambda a, f: F.coalesce(F.flatten(F.transform(a, f)), none)
+    none, nothing = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    each = lambda a, f: F.coalesce(F.flatten(F.transform(a, f)), nothing)
     return F.concat(
-        tokenize(body),
-        tokenize(title),
-        F.coalesce(F.filter(F.transform(col(tags), F.lower), lambda t: t.isNotNull()), none),
-        each(live_entities(entities), lambda e: F.concat(tokenize(e.value), tokenize(e.canonical))),
-        each(col(participants), lambda p: F.concat(tokenize(p.address), tokenize(p["name"]))),
+        F.array(F.coalesce(F.filter(F.transform(col(tags), F.lower), lambda t: t.isNotNull()), none), tokenize(body), tokenize(title)),
+        each(live_entities(entities), lambda e: F.array(tokenize(e.value), tokenize(e.canonical))),
+        each(col(participants), lambda p: F.array(tokenize(p.address), tokenize(p["name"]))),
     )
 
 
+def field_tokens(body: Column | str, title: Column | str, tags: Column | str, entities: Column | str, participants: Column | str) -> Column:
+    """A document's tokens: each field's own, one after the other, so a word in two fields counts twice."""
+    return F.flatten(field_lists(body, title, tags, entities, participants))
+
+
 def chunk_prefix(title: Column | str, tags: Column | str, entities: Column | str, participants: Column | str, limit: int = 500) -> Column:
     """Title, tags, entities and participants, a line each, empty ones skipped, cut at ``limit`` characters."""
     none = F.lit(None).cast("string")

@@ -62,6 +62,20 @@ def stemmed_tokens(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return stems.unionByName(tokenized.where(~(F.coalesce(F.size("tokens"), F.lit(0)) > 0)).select("doc", F.array(F.lit("")).alias("tokens")))
 
 
+def stemmed_fields(docs: DataFrame, key: str, lists: Column) -> DataFrame:
+    """``doc, tokens`` of lists of tokens, one per field, the first of them (tags) taken whole: in each other field a token is followed by its stems, each once in the field.
+
+    A document without tokens has one empty token.
+    """
+    rows = written(docs.select(F.col(key).alias("doc"), lists.alias("lists")), "token-lists")
+    spread = rows.select("doc", F.posexplode("lists").alias("field", "list")).select("doc", "field", F.explode("list").alias("term"))
+    stems = stem.stem_table(spread.where("field > 0"))
+    varied = spread.where("field > 0").join(stems, "term").select("doc", "field", F.explode("stems").alias("term")).distinct()
+    tokens = varied.unionByName(spread.where("field = 0")).groupBy("doc").agg(F.sort_array(F.collect_list("term")).alias("tokens"))
+    empty = rows.where(F.size(F.flatten("lists")) == 0).select("doc", F.array(F.lit("")).alias("tokens"))
+    return tokens.unionByName(empty)
+
+
 def stemmed_query_terms(queries: DataFrame, key: str, query: str) -> DataFrame:
     """``query, term`` of query texts, each word with its stems; empty queries have none."""
     words = query_terms(queries, key, query)

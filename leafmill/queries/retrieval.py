@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.functions import decode, expansion, temporal, text
+from leafmill.functions import decode, expansion, stem, temporal, text
 from leafmill.operators import bm25, dense, documents, fusion, locate
 from leafmill.plans import answer, embed_build
+from leafmill.queries import stem_sql
 from leafmill.session import fresh_path, table, written
 
 DIMS = 64
@@ -64,36 +65,41 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.search(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "saved_queries"), "query_id", "text", 20)
 
 
-def _stored_index(spark: SparkSession, docs: DataFrame, key: str, tokens) -> bm25.Index:
+def _stored_index(spark: SparkSession, tokenized: DataFrame) -> bm25.Index:
     index = bm25.Index(spark, fresh_path(spark, "bm25-index"))
-    index.save(bm25.stemmed_tokens(docs, key, tokens))
+    index.save(written(tokenized, "tokens"))
     return index
 
 
+def stem_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of the documents with its English and German stem."""
+    words = table(spark, sf, "documents").select(F.explode(text.tokenize("text")).alias("term"))
+    pairs = stem.stem_pairs(words)
+    return pairs.select("term", "english", "german")
+
+
 def bm25_stemmed(spark: SparkSession, sf: str) -> DataFrame:
     """The best documents of each saved query, from a stored index of words with their English and German stems."""
-    index = _stored_index(spark, table(spark, sf, "documents"), "doc_id", text.tokenize("text"))
+    index = _stored_index(spark, bm25.stemmed_tokens(table(spark, sf, "documents"), "doc_id", text.tokenize("text")))
     return index.search(bm25.stemmed_query_terms(table(spark, sf, "saved_queries"), "query_id", "text"), 20)
 
 
 def bm25_stored(spark: SparkSession, sf: str) -> DataFrame:
     """The same of words as they are written, from a stored index of which only the query's terms are read."""
-    index = bm25.Index(spark, fresh_path(spark, "bm25-index"))
-    index.save(written(bm25.tokens_of(table(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("tokens")), "doc_id", F.col("tokens")), "tokens"))
+    index = _stored_index(spark, bm25.tokens_of(table(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("tokens")), "doc_id", F.col("tokens")))
     return index.search(bm25.query_terms(table(spark, sf, "saved_queries"), "query_id", "text"), 20)
 
 
 def field_terms_stemmed(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and occurrences of each term of whole documents, body and metadata, with stems."""
-    tokens = text.field_tokens("body", "title", "tags", "entities", "participants")
-    tokenized = bm25.stemmed_tokens(table(spark, sf, "store_docs"), "row_id", tokens)
-    return bm25.postings_grouped(tokenized).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    tokenized = bm25.stemmed_fields(table(spark, sf, "store_docs"), "row_id", text.field_lists("body", "title", "tags", "entities", "participants"))
+    return bm25.postings_grouped(tokenized).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").cast("bigint").alias("most"))
 
 
 def answer_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Hits with snippets of a question with a date phrase: stems, expansion, vectors of the hashing embedder, all fused."""
     docs = documents.newest_versions(table(spark, sf, "store_docs").where(F.col("rel_path").isNotNull()))
-    index = _stored_index(spark, docs, "rel_path", text.field_tokens("body", "title", "tags", "entities", "participants"))
+    index = _stored_index(spark, bm25.stemmed_fields(docs, "rel_path", text.field_lists("body", "title", "tags", "entities", "participants")))
     embed = dense.hashing_embedder(DIMS)
     store = embed_build.EmbedStore(spark, fresh_path(spark, "embed-store"))
     embed_build.build(docs, store, MODEL, embed)
@@ -368,6 +374,20 @@ _WINDOWS = ", ".join(
     )
     for phrase in phrases.split("|")
 )
+#: Words of documents and queries with their stems, then the same as ``_bm25_sql``.
+_STEMMED = f"""
+WITH d AS MATERIALIZED (SELECT doc_id AS doc, {_tok("text")} AS t FROM documents), q0 AS (SELECT query_id AS query, unnest({_tok("text")}) AS term FROM saved_queries),
+terms AS MATERIALIZED (SELECT DISTINCT term FROM (SELECT unnest(t) AS term FROM d UNION ALL SELECT term FROM q0)), {stem_sql.stems("terms")},
+post0 AS MATERIALIZED (SELECT DISTINCT doc, unnest([term, english, german]) AS term FROM (SELECT doc, unnest(t) AS term FROM d) JOIN stems USING (term)),
+all0 AS MATERIALIZED (SELECT doc, term FROM post0 UNION ALL SELECT doc, '' FROM d WHERE len(t) = 0),
+post AS MATERIALIZED (SELECT doc, term, count(*) OVER (PARTITION BY doc) AS len FROM all0),
+stats AS (SELECT count(DISTINCT doc) AS n, count(*) / count(DISTINCT doc) AS al FROM all0),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, stats),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+q AS (SELECT DISTINCT query, unnest([term, english, german]) AS term FROM q0 JOIN stems USING (term)),
+scored AS (SELECT query, doc, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len / al))), 6) AS score FROM post JOIN q USING (term) JOIN idf USING (term), stats GROUP BY 1, 2)
+SELECT query, rank, doc, score FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 20"""
 _LIVE = "list_filter(coalesce(entities, []), lambda e: e.valid IS DISTINCT FROM false)"
 _CHUNKS = f"""
 d AS (SELECT * FROM store_docs WHERE rel_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rel_path ORDER BY mtime_ns DESC NULLS LAST, ingested_at DESC NULLS LAST, row_id DESC) = 1),
@@ -380,7 +400,7 @@ k AS (SELECT rel_path, mtime_ns, i AS chunk_idx, concat_ws(chr(10), nullif(head,
 
 def queries() -> dict:
     names = (
-        tokenize_doc, token_df, doc_len_stats, field_term_tf, bm25_idf, bm25_topk, bm25_stored, bm25_stemmed, field_terms_stemmed, answer_hits, hits_json, date_windows, embed_chunks, embed_missing, embed_store, decoded_texts, bm25_temporal, bm25_temporal_fallback, snippets, cosine_topk, query_vec_pool, dense_file_max,
+        tokenize_doc, token_df, doc_len_stats, field_term_tf, bm25_idf, bm25_topk, bm25_stored, bm25_stemmed, stem_table, field_terms_stemmed, answer_hits, hits_json, date_windows, embed_chunks, embed_missing, embed_store, decoded_texts, bm25_temporal, bm25_temporal_fallback, snippets, cosine_topk, query_vec_pool, dense_file_max,
         dense_temporal, hybrid_topk, rrf_runs, rrf_two_stage, chunk_windows, chunk_prefix, doc_date_parse, path_tokenize, path_scores, locate_topk, skip_prefix, slugs, scanned_only,
     )
     return {f.__name__: f for f in names}
@@ -408,6 +428,19 @@ SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS most FROM
         + " SELECT query, rank, doc, score FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 20",
         "bm25_stored": _bm25_sql("documents", "doc_id", "text", "SELECT query_id AS query, text AS txt FROM saved_queries")
         + " SELECT query, rank, doc, score FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 20",
+        "stem_table": f"WITH terms AS MATERIALIZED (SELECT DISTINCT unnest({_tok('text')}) AS term FROM documents), {stem_sql.stems('terms')} SELECT * FROM stems",
+        "bm25_stemmed": _STEMMED,
+        "field_terms_stemmed": f"""
+WITH e AS (SELECT row_id, unnest({ent}) AS e FROM store_docs), p AS (SELECT row_id, unnest(participants) AS p FROM store_docs),
+t AS MATERIALIZED ({each("body").replace("row_id,", "row_id, 'b' AS f,", 1)} store_docs UNION ALL {each("title").replace("row_id,", "row_id, 't' AS f,", 1)} store_docs
+ UNION ALL SELECT row_id, 'v' || i, unnest({_tok("e.value")}) FROM (SELECT row_id, e, row_number() OVER () AS i FROM e) UNION ALL SELECT row_id, 'c' || i, unnest({_tok("e.canonical")}) FROM (SELECT row_id, e, row_number() OVER () AS i FROM e)
+ UNION ALL SELECT row_id, 'a' || i, unnest({_tok("p.address")}) FROM (SELECT row_id, p, row_number() OVER () AS i FROM p) UNION ALL SELECT row_id, 'n' || i, unnest({_tok('p."name"')}) FROM (SELECT row_id, p, row_number() OVER () AS i FROM p)),
+terms AS MATERIALIZED (SELECT DISTINCT term FROM t), {stem_sql.stems("terms")},
+x AS (SELECT DISTINCT row_id, f, unnest([term, english, german]) AS term FROM t JOIN stems USING (term)),
+a AS MATERIALIZED (SELECT row_id, term FROM x UNION ALL SELECT row_id, lower(x) FROM (SELECT row_id, unnest(tags) AS x FROM store_docs) WHERE x IS NOT NULL),
+b AS (SELECT * FROM a UNION ALL SELECT row_id, '' FROM store_docs WHERE row_id NOT IN (SELECT row_id FROM a)),
+tf AS (SELECT row_id, term, count(*) AS tf FROM b GROUP BY 1, 2)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS most FROM tf GROUP BY 1""",
         "date_windows": f"SELECT * FROM (VALUES {_WINDOWS}) AS t(phrase, low, high)",
         "hits_json": """
 WITH b AS (SELECT path, max(score) AS score, max(date) AS date, max(snippet) AS snippet FROM hits WHERE path IS NOT NULL AND score IS NOT NULL GROUP BY 1),
