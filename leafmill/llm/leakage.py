@@ -38,7 +38,7 @@ from leafmill.session import written
 
 #: Words of an item that a document must reproduce (or all of a shorter item), and the share of them that may be lost to alterations at the edges.
 LEAST_WORDS, LEAST_SHARE = 20, 0.8
-#: Share of the weight of a chain and of EDGE words of the item on both sides of it that its tiles must hold.
+#: Share of the weight of a chain and of EDGE words of the item on both sides of it that its tiles must hold, unless one tile is as long as a leak.
 MAJORITY, EDGE = 0.58, 5
 #: A word in a share q of documents and items weighs (-log q) ** STEEP.
 STEEP = 1.5
@@ -274,7 +274,8 @@ def covered(item: Item, doc: list[str]) -> int:
     for chain in chains(tiles):
         start, stop = chain[0][0], chain[-1][0] + chain[-1][2]
         held = sum(sums[i + n] - sums[i] for i, _, n in chain)
-        if held >= MAJORITY * (sums[min(last, stop + EDGE)] - sums[max(0, start - EDGE)]):
+        whole = max(n for _, _, n in chain) >= LEAST_SHARE * LEAST_WORDS
+        if whole or held >= MAJORITY * (sums[min(last, stop + EDGE)] - sums[max(0, start - EDGE)]):
             places.update(range(start, stop))
     if last == 1 and 0 in numbered:
         return 1

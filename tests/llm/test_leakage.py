@@ -138,3 +138,12 @@ def test_common_words_without_the_rare_ones_do_not_count():
 def test_words_ignore_markup_and_underscores():
     assert lk.words('_Eine_ <a href="x">Ka&nbsp;rte</a> a<b') == [lk.fold(w) for w in ("eine", "ka", "rte", "a", "b")]
     assert len(lk.words("<" * 300_000 + " wort " + "&" * 300_000)) == 1
+
+
+def test_twenty_words_in_a_row_are_a_leak_whatever_stands_beside_them():
+    rng = random.Random(9)
+    own = [lk.fold(w) for w in invented(rng, 60).split()]
+    for start in range(0, 41, 5):
+        # All the weight lies beside the copied words.
+        item = lk.Item(own, [0.01 if start <= i < start + 20 else 9.0 for i in range(60)])
+        assert lk.covered(item, own[start : start + 20]) == 20 and lk.covered(item, own[start : start + 12]) == 0
