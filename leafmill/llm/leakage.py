@@ -4,10 +4,11 @@ Words are folded (case, accents, look-alike characters, hyphenated line ends).
 Seeds are pairs of neighbouring words.  One pass over the corpus tests its pairs
 against a bitmap of the items' pairs, keeps the documents that hold enough of
 them, and counts in how many documents each word of the items occurs.  Seeds of
-documents and items are joined by hash; pairs of document and item whose seeds
-hold enough of a stretch of the item are tiled: the longest matches of unmarked
-words are found with running Karp-Rabin hashes and marked, again and again with
-shorter windows.  Neighbouring tiles in order form a chain.
+documents are joined by hash with those of the items that no pair can do without;
+pairs of document and item whose seeds hold enough of a stretch of the item are
+tiled: the longest matches of unmarked words are found with running Karp-Rabin
+hashes and marked, again and again with shorter windows.  Neighbouring tiles in
+order form a chain.
 
 A text that only resembles an item has the item's common words and not its rare
 ones, a reproduction has both.  So words weigh by how few documents and items
@@ -282,8 +283,8 @@ def covered(item: Item, doc: list[str]) -> int:
     return len(places)
 
 
-def seeded_shares(seeds: np.ndarray, n_seeds: np.ndarray, weights: np.ndarray, n_weights: np.ndarray, hits: np.ndarray, n_hits: np.ndarray) -> np.ndarray:
-    """For each pair the largest share of the weight of a stretch of LEAST_WORDS words of the item that the hits among its seeds hold.
+def seeded_shares(seeds: np.ndarray, n_seeds: np.ndarray, weights: np.ndarray, n_weights: np.ndarray, hits: np.ndarray, n_hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair the largest share of the weight of a stretch of LEAST_WORDS words of the item that the hits among its seeds hold, and their number.
 
     All arrays lie back to back, with their lengths by pair.
     """
@@ -301,7 +302,41 @@ def seeded_shares(seeds: np.ndarray, n_seeds: np.ndarray, weights: np.ndarray, n
     begin = np.arange(len(weights))
     stop = np.minimum(begin + size, np.repeat(ends, n_weights))
     share = np.where(stop - begin == size, (a[stop] - a[begin]) / np.maximum(b[stop] - b[begin], 1e-300), 0.0)
-    return np.maximum.reduceat(share, starts) if pairs else np.zeros(0)
+    return (np.maximum.reduceat(share, starts) if pairs else np.zeros(0)), np.bincount(pair, minlength=pairs)
+
+
+def telling_seeds(seeds: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The seeds of an item of which a pair that may be tiled shares at least one.
+
+    The lightest seeds are left out, as many as hold less than SEEDED of every
+    stretch of LEAST_WORDS words together: no pair is found by these alone, and
+    common phrases that many documents and items share are among them.
+    """
+    distinct, place = np.unique(seeds, return_inverse=True)
+    if len(distinct) < 2:
+        return distinct
+    following = np.minimum(np.arange(len(seeds)) + 1, len(weights) - 1)
+    worth = np.zeros(len(distinct))
+    np.maximum.at(worth, place, weights[: len(seeds)] + weights[following])
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.argsort(worth, kind="stable")] = np.arange(len(distinct))
+    size = min(LEAST_WORDS, len(weights))
+    total = np.cumsum(np.r_[0.0, weights])
+    total = total[size:] - total[:-size]
+
+    def enough(count: int) -> bool:
+        """Whether the lightest ``count`` seeds alone hold enough of some stretch."""
+        held = np.zeros(len(weights))
+        at = np.flatnonzero(rank[place] < count)
+        held[at] = held[following[at]] = 1.0
+        some = np.cumsum(np.r_[0.0, held * weights])
+        return bool(np.any(some[size:] - some[:-size] >= SEEDED * total))
+
+    low, high = 0, len(distinct)  # the lightest ``low`` are too few; ``high`` may be enough
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return distinct[rank >= low]
 
 
 def needed_seeds(n_words: Column, n_seeds: Column) -> Column:
@@ -474,20 +509,28 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     )
     prepared = written(per_item.select("p", "i", "words", "seeds", "need").join(per_word, "p"), "eval-weighted")
 
-    # Pairs that share enough seeds.
-    item_seeds = per_item.select("p", "need", F.explode(F.array_distinct("seeds")).alias("seed"))
-    hits = scanned.where("uid IS NOT NULL").select("uid", F.explode("seeds").alias("seed")).join(item_seeds, "seed")
-    pairs = hits.groupBy("uid", "p").agg(F.collect_list("seed").alias("hit"), F.first("need").alias("need")).where(F.size("hit") >= F.col("need"))
+    # Pairs that share a telling seed, and of these the ones whose seeds hold enough of a stretch.
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [telling_seeds(seeds.values.to_numpy(), weights.values.to_numpy()) for seeds, weights in zip(batch.column(1), batch.column(2))]
+            keys = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(own) if own else [], pa.int64())], names=["p", "seed"])
+
+    candidates = scanned.where("uid IS NOT NULL")
+    told = prepared.select("p", "seeds", "weights").mapInArrow(telling, "p bigint, seed bigint")
+    pairs = candidates.select("uid", F.explode("seeds").alias("seed")).join(told, "seed").select("uid", "p").distinct()
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for column in (batch.column(3), batch.column(4), batch.column(2)):
                 parts += [column.flatten().to_numpy(), pc.list_value_length(column).to_numpy().astype(np.int64)]
-            keep = np.flatnonzero(seeded_shares(*parts) >= SEEDED)
+            shares, hits = seeded_shares(*parts)
+            keep = np.flatnonzero((shares >= SEEDED) & (hits >= batch.column(5).to_numpy()))
             yield batch.take(pa.array(keep, pa.int64())).select(["uid", "p"])
 
-    chosen = pairs.select("uid", "p", "hit").join(prepared.select("p", "seeds", "weights"), "p").select("uid", "p", "hit", "seeds", "weights").mapInArrow(promising, "uid bigint, p bigint")
+    both = pairs.join(candidates.select("uid", F.col("seeds").alias("hit")), "uid").join(prepared.select("p", "seeds", "weights", "need"), "p")
+    chosen = both.select("uid", "p", "hit", "seeds", "weights", "need").mapInArrow(promising, "uid bigint, p bigint")
 
     item_type = to_arrow_type(items.schema[item_key].dataType)
 
@@ -506,7 +549,6 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
                     rows.append({"k": k, "i": i, "n_covered": n})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("k", key_type), ("i", item_type), ("n_covered", pa.int32())]))
 
-    texts = scanned.where("uid IS NOT NULL").select("uid", "k", "t")
-    full = chosen.join(texts, "uid").join(prepared.select("p", "i", "words", "weights", "others"), "p").select("k", "t", "p", "i", "words", "weights", "others")
+    full = chosen.join(candidates.select("uid", "k", "t"), "uid").join(prepared.select("p", "i", "words", "weights", "others"), "p").select("k", "t", "p", "i", "words", "weights", "others")
     found = full.mapInArrow(tiled, f"k {kinds[0]}, i {kinds[1]}, n_covered int")
     return found.select(F.col("k").alias(key), F.col("i").alias(item_key), "n_covered")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from leafmill.llm import leakage as lk
 
 ITEM = (
@@ -148,3 +150,20 @@ def test_twenty_words_in_a_row_are_a_leak_whatever_stands_beside_them():
         item = lk.Item(own, [0.01 if start <= i < start + 20 else 9.0 for i in range(60)])
         assert lk.covered(item, own[start : start + 20]) == 20
         assert start == 0 or lk.covered(item, own[start : start + 12]) == 0
+
+
+def test_no_pair_is_tiled_without_a_telling_seed():
+    rng = random.Random(12)
+    for _ in range(300):
+        n = rng.randrange(1, 70)
+        seeds = np.array([rng.randrange(40) for _ in range(max(1, n - 1))], np.int64)
+        weights = np.array([rng.random() ** rng.choice([1, 4]) + 0.001 for _ in range(n)])
+        told = set(lk.telling_seeds(seeds, weights).tolist())
+        rest = np.array(sorted(set(seeds.tolist()) - told), np.int64)
+        if len(rest):
+            shares, _ = lk.seeded_shares(seeds, np.array([len(seeds)]), weights, np.array([n]), rest, np.array([len(rest)]))
+            assert shares[0] < lk.SEEDED
+    # A common phrase tells nothing, the rare words beside it do.
+    weights = np.array([0.1] * 30 + [9.0] * 5 + [0.1] * 30)
+    told = lk.telling_seeds(np.arange(64), weights)
+    assert set(range(29, 35)) & set(told.tolist()) and len(told) < 40
