@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from datetime import date
 
@@ -150,10 +151,11 @@ def embed_one(text: str, embed: Callable[[list[str]], np.ndarray], depth: int =
         return np.mean(parts, axis=0) if parts else None
 
 
-def embed_texts(df: DataFrame, key: str, text: str, embed: Callable[[list[str]], np.ndarray], batch: int = BATCH) -> DataFrame:
+def embed_texts(df: DataFrame, key: str, text: str, embed: Callable[[list[str]], np.ndarray], batch: int = BATCH, tries: int = 1, pause: float = 1.0) -> DataFrame:
     """``key, vec``: unit vectors of texts by a given model, in batches within each task.
 
-    A batch that fails is taken apart text by text; a text that fails whole is
+    A batch that fails is tried again, up to ``tries`` times in all, after a
+    pause that doubles, then taken apart text by text; a text that fails whole is
     left out, so a later run finds it missing and tries again.  Null texts are
     left out.
     """
@@ -165,9 +167,15 @@ def embed_texts(df: DataFrame, key: str, text: str, embed: Callable[[list[str]],
             keep, vectors = [], []
             for low in range(0, len(texts), batch):
                 part = texts[low : low + batch]
-                try:
-                    got = list(embed(part))
-                except Exception:
+                got = None
+                for attempt in range(tries):
+                    try:
+                        got = list(embed(part))
+                        break
+                    except Exception:  # whatever a given model raises
+                        if attempt + 1 < tries:
+                            time.sleep(pause * 2**attempt)
+                if got is None:
                     got = [embed_one(t, embed) for t in part]
                 for i, v in enumerate(got):
                     if v is not None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +91,28 @@ class Runs:
         return spark.createDataFrame(rows, "command string, key string, seconds double, done long, total long, eta double, stopping boolean")
 
 
+@contextlib.contextmanager
+def exclusive(spark: SparkSession, folder: str, run: Run, stale: float = 6 * 3600) -> Iterator[None]:
+    """Hold the lock of a run among all applications that share ``folder``; where another holds it, raise.
+
+    The lock is a file that the file system creates only once. One older than
+    ``stale`` seconds was left by an application that died, and is taken over.
+    """
+    name = "changing" if run.command in CHANGING else f"{run.command}-{run.key}"
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{hashlib.sha256(name.encode()).hexdigest()}.lock")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path.getParent())
+    if system.exists(path) and time.time() - system.getFileStatus(path).getModificationTime() / 1000 > stale:
+        system.delete(path, False)
+    if not system.createNewFile(path):
+        raise RuntimeError(f"{run.command} {run.key} is running elsewhere")
+    try:
+        yield
+    finally:
+        system.delete(path, False)
+
+
 def in_parts(spark: SparkSession, run: Run, parts: int, do: Callable[[int], object], mark: str) -> bool:
     """Do ``parts`` parts of a run one after the other, and remember each that is done at the path ``mark``.
 

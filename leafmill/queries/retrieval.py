@@ -262,10 +262,8 @@ _COS = "list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / sqrt(
 _Q = f"(SELECT embedding FROM embeddings WHERE {_GOOD.format('embedding')} ORDER BY vec_id LIMIT 1)"
 
 
-def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+def _hybrid(spark: SparkSession, sf: str, words: DataFrame) -> DataFrame:
     docs = table(spark, sf, "store_docs").where(F.col("body").isNotNull())
-    one = spark.createDataFrame([(1, "heating invoice")], "query bigint, text string")
-    words = bm25.search(docs, "row_id", "body", one, "query", "text", 200)
     by_path = words.join(docs.select(F.col("row_id").alias("doc"), "rel_path"), "doc").groupBy("rel_path").agg(F.max("score").alias("score"))
     v = table(spark, sf, "chunk_vectors").where(dense.usable("vec", DIMS) & F.col("rel_path").isNotNull())
     near = dense.search(v, "vec_id", "rel_path", "vec", _query_vector(spark, sf), 200).withColumn("score", F.round("score", 6))
@@ -273,16 +271,28 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("rank").cast("bigint").alias("rank"), "path", "score", "rrf")
 
 
-_HYBRID = (
-    _bm25_sql("(SELECT * FROM store_docs WHERE body IS NOT NULL)", "row_id", "body", "SELECT 1 AS query, 'heating invoice' AS txt")
-    + f""",
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "store_docs").where(F.col("body").isNotNull())
+    one = spark.createDataFrame([(1, "heating invoice")], "query bigint, text string")
+    return _hybrid(spark, sf, bm25.search(docs, "row_id", "body", one, "query", "text", 200))
+
+
+def hybrid_stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the words' stems, from a stored index."""
+    docs = table(spark, sf, "store_docs").where(F.col("body").isNotNull())
+    one = spark.createDataFrame([(1, "heating invoice")], "query bigint, text string")
+    index = _stored_index(spark, bm25.stemmed_tokens(docs, "row_id", text.tokenize("body")))
+    return _hybrid(spark, sf, index.search(bm25.stemmed_query_terms(one, "query", "text"), 200))
+
+
+_FUSED = f""",
 w AS (SELECT rel_path AS path, max(score) AS score FROM (SELECT doc, score FROM scored ORDER BY score DESC, doc LIMIT 200) JOIN store_docs ON row_id = doc GROUP BY 1),
 chunks AS (SELECT rel_path AS path, vec_id, {_COS.format("vec", _Q)} AS score FROM chunk_vectors WHERE rel_path IS NOT NULL AND {_GOOD.format("vec")}),
 v AS (SELECT path, round(max(score), 6) AS score FROM (SELECT * FROM chunks ORDER BY score DESC, vec_id, path LIMIT 12000) GROUP BY 1 ORDER BY max(score) DESC, path LIMIT 200),
 lists AS (SELECT 0 AS l, row_number() OVER (ORDER BY score DESC, path) AS r, path, score FROM w UNION ALL SELECT 1, row_number() OVER (ORDER BY score DESC, path), path, score FROM v),
 fused AS (SELECT path, round(sum(1.0 / (60 + r)), 9) AS rrf, max(score) AS score, min(l * 1000000 + r) AS first FROM lists GROUP BY 1)
 SELECT row_number() OVER (ORDER BY rrf DESC, first, path) AS rank, path, score, rrf FROM fused ORDER BY rank LIMIT 20"""
-)
+_ASKED = ("(SELECT * FROM store_docs WHERE body IS NOT NULL)", "row_id", "body", "SELECT 1 AS query, 'heating invoice' AS txt")
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,9 +384,10 @@ _WINDOWS = ", ".join(
     )
     for phrase in phrases.split("|")
 )
-#: Words of documents and queries with their stems, then the same as ``_bm25_sql``.
-_STEMMED = f"""
-WITH d AS MATERIALIZED (SELECT doc_id AS doc, {_tok("text")} AS t FROM documents), q0 AS (SELECT query_id AS query, unnest({_tok("text")}) AS term FROM saved_queries),
+def _stemmed_sql(source: str, key: str, body: str, queries: str) -> str:
+    """``_bm25_sql`` over the words of documents and queries with their stems."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT {key} AS doc, {_tok(body)} AS t FROM {source}), q0 AS (SELECT query, unnest({_tok("txt")}) AS term FROM ({queries})),
 terms AS MATERIALIZED (SELECT DISTINCT term FROM (SELECT unnest(t) AS term FROM d UNION ALL SELECT term FROM q0)), {stem_sql.stems("terms")},
 post0 AS MATERIALIZED (SELECT DISTINCT doc, unnest([term, english, german]) AS term FROM (SELECT doc, unnest(t) AS term FROM d) JOIN stems USING (term)),
 all0 AS MATERIALIZED (SELECT doc, term FROM post0 UNION ALL SELECT doc, '' FROM d WHERE len(t) = 0),
@@ -386,8 +397,11 @@ dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, stats),
 idf AS MATERIALIZED (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
 q AS (SELECT DISTINCT query, unnest([term, english, german]) AS term FROM q0 JOIN stems USING (term)),
-scored AS (SELECT query, doc, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len / al))), 6) AS score FROM post JOIN q USING (term) JOIN idf USING (term), stats GROUP BY 1, 2)
-SELECT query, rank, doc, score FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 20"""
+scored AS (SELECT query, doc, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len / al))), 6) AS score FROM post JOIN q USING (term) JOIN idf USING (term), stats GROUP BY 1, 2)"""
+
+
+_BEST = " SELECT query, rank, doc, score FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 20"
+_STEMMED = _stemmed_sql("documents", "doc_id", "text", "SELECT query_id AS query, text AS txt FROM saved_queries") + _BEST
 _LIVE = "list_filter(coalesce(entities, []), lambda e: e.valid IS DISTINCT FROM false)"
 _CHUNKS = f"""
 d AS (SELECT * FROM store_docs WHERE rel_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rel_path ORDER BY mtime_ns DESC NULLS LAST, ingested_at DESC NULLS LAST, row_id DESC) = 1),
@@ -401,7 +415,7 @@ k AS (SELECT rel_path, mtime_ns, i AS chunk_idx, concat_ws(chr(10), nullif(head,
 def queries() -> dict:
     names = (
         tokenize_doc, token_df, doc_len_stats, field_term_tf, bm25_idf, bm25_topk, bm25_stored, bm25_stemmed, stem_table, field_terms_stemmed, answer_hits, hits_json, date_windows, embed_chunks, embed_missing, embed_store, decoded_texts, bm25_temporal, bm25_temporal_fallback, snippets, cosine_topk, query_vec_pool, dense_file_max,
-        dense_temporal, hybrid_topk, rrf_runs, rrf_two_stage, chunk_windows, chunk_prefix, doc_date_parse, path_tokenize, path_scores, locate_topk, skip_prefix, slugs, scanned_only,
+        dense_temporal, hybrid_topk, hybrid_stemmed, rrf_runs, rrf_two_stage, chunk_windows, chunk_prefix, doc_date_parse, path_tokenize, path_scores, locate_topk, skip_prefix, slugs, scanned_only,
     )
     return {f.__name__: f for f in names}
 
@@ -474,7 +488,8 @@ WITH c AS (SELECT rel_path, vec_id, {_COS.format("vec", _Q)} AS score FROM chunk
 f AS (SELECT rel_path, max(score) AS score FROM (SELECT * FROM c ORDER BY score DESC, vec_id, rel_path LIMIT 1200) GROUP BY 1),
 d AS (SELECT rel_path, max({DAY_SQL}) AS day FROM store_docs GROUP BY 1)
 SELECT rel_path, round(score, 6) AS score FROM f JOIN d USING (rel_path) WHERE day BETWEEN DATE '{low}' AND DATE '{high}' ORDER BY f.score DESC, rel_path LIMIT 20""",
-        "hybrid_topk": _HYBRID,
+        "hybrid_topk": _bm25_sql(*_ASKED) + _FUSED,
+        "hybrid_stemmed": _stemmed_sql(*_ASKED) + _FUSED,
         "rrf_runs": f"""
 WITH f AS (SELECT query_id, path, {fused}, min((list_no, rank)) AS first FROM ({runs}) WHERE path IS NOT NULL GROUP BY 1, 2)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, path) AS rank, path, score, rrf FROM f""",

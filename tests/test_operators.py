@@ -417,3 +417,49 @@ def test_manifest_rules(spark):
     plugins = registry.Registry()
     plugins.add(failing)
     assert registry.check_interface(failing) == [] and plugins.amend(spark.createDataFrame([("a",)], "rel_path string")) == []
+
+
+def test_locks_hold_among_applications(spark, tmp_path):
+    from leafmill.plans import runs
+
+    folder = f"file://{tmp_path}/locks"
+    with runs.exclusive(spark, folder, runs.Run("index", "a")):
+        with runs.exclusive(spark, folder, runs.Run("index", "b")), runs.exclusive(spark, folder, runs.Run("scrub", "x")):
+            for other in (runs.Run("index", "a"), runs.Run("convert", "y")):
+                with pytest.raises(RuntimeError), runs.exclusive(spark, folder, other):
+                    pass
+    with runs.exclusive(spark, folder, runs.Run("index", "a")), runs.exclusive(spark, folder, runs.Run("index", "a"), stale=-1):
+        pass
+    assert not list((tmp_path / "locks").glob("*.lock"))
+
+
+def test_embedding_is_tried_again(spark, tmp_path):
+    mark = str(tmp_path / "failed")
+
+    def once(texts):
+        import os
+
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise OSError("busy")
+        return np.ones((len(texts), 4), np.float32)
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k long, t string").coalesce(1)
+    assert [r.k for r in dense.embed_texts(rows, "k", "t", once, tries=2, pause=0.01).collect()] == [1]
+
+
+def test_answer_from_sources(spark):
+    docs = spark.createDataFrame([("a", 1, "2023-05-01", "A", "red apples"), ("b", 1, "2018-01-01", None, "green pears")], "rel_path string, mtime_ns long, date string, title string, body string")
+    tokenized = bm25.tokens_of(docs.select("rel_path", text.tokenize("body").alias("t")), "rel_path", F.col("t"))
+    post, stats = bm25.postings_grouped(tokenized), bm25.corpus_stats(tokenized)
+    said = lambda system, prompt: iter([f'data: {json.dumps({"choices": [{"delta": {"content": x}}]})}' for x in (str(len(system) > 0), " ", prompt.split("\n")[0])])
+    hits, prompt, words = answer.answer(docs, (post, stats, bm25.term_stats(post, stats)), "apples", 3, date(2024, 1, 1), said)
+    assert [r.path for r in hits.collect()] == ["a"] and prompt.startswith("[1] A\nred apples") and words == "True [1] A"
+    assert answer.answer(docs, (post, stats, bm25.term_stats(post, stats)), "nothing of it", 3, date(2024, 1, 1), said)[2] == ""
+
+
+def test_stemmed_fields_count_by_field(spark):
+    docs = spark.createDataFrame([(1, ["runs"], ["runs", "häuser"], ["runs"]), (2, [], [], [])], "id long, a array<string>, b array<string>, c array<string>")
+    rows = {r.doc: r.tokens for r in bm25.stemmed_fields(docs, "id", F.array("a", "b", "c")).collect()}
+    assert rows == {1: sorted(["runs", "runs", "run", "häuser", "haus", "runs", "run"]), 2: [""]} or rows[1].count("run") == 2
+    assert rows[1].count("runs") == 3 and rows[2] == [""]
