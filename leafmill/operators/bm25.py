@@ -146,12 +146,15 @@ class Index:
     def save(self, tokenized: DataFrame) -> None:
         """Write the index of ``doc, tokens``; the version comes last, so an index half written does not load."""
         post = postings_grouped(tokenized).withColumn("bucket", self._bucket(F.col("term")))
-        # A bucket of common terms spreads over several tasks, by range of term and document.
-        post.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        # With more tasks than buckets a bucket spreads over several, by document, so a common term is no hot key.
+        spread = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        placed = post.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(spread))).sortWithinPartitions("bucket", "term", "doc")
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         corpus_stats(tokenized).write.mode("overwrite").parquet(f"{self.path}/stats")
         stored = self.spark.read.parquet(f"{self.path}/postings")
         terms = term_stats(stored, self.spark.read.parquet(f"{self.path}/stats"))
-        terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms")
+        # Sorted within each file, so its page index leads to a term.
+        terms.repartition(self._bucket(F.col("term"))).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms")
         self.spark.createDataFrame([(VERSION, self.buckets)], "version int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version")
 
     def load(self) -> tuple[DataFrame, DataFrame, DataFrame] | None:
