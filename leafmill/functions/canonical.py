@@ -94,3 +94,8 @@ def utc_seconds(raw: Column | str) -> Column:
     clean = strip(raw)
     stamp = F.coalesce(F.try_to_timestamp(F.when(clean.rlike(r"(Z|[+-]\d\d:?\d\d)$"), clean).otherwise(F.concat(clean, F.lit("Z")))))
     return F.date_format(F.to_utc_timestamp(stamp, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def shown_utc(raw: Column | str) -> Column:
+    """An ISO datetime for display, ``2024-05-06 05:08 UTC``; moved to UTC first, so the label is true. Other text gives null."""
+    return F.concat(F.translate(F.substring(utc_seconds(raw), 1, 16), "T", " "), F.lit(" UTC"))

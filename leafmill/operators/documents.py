@@ -125,6 +125,17 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("rel_path", kind.alias("change")).where("change IS NOT NULL")
 
 
+def to_process(before: DataFrame | None, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``after`` that were added or changed, ``rel_path`` of those deleted) since ``before``; without it all of ``after`` and none.
+
+    A path that was renamed is deleted under its old name and added under the new.
+    """
+    if before is None:
+        return after, after.select("rel_path").limit(0)
+    changes = snapshot_diff(before, after)
+    return after.join(changes.where("change <> 'deleted'").select("rel_path"), "rel_path", "left_semi"), changes.where("change = 'deleted'").select("rel_path")
+
+
 def to_rebuild(docs: DataFrame, indexed: DataFrame) -> DataFrame:
     """Documents whose (path, modification time) the index does not have."""
     return docs.join(indexed.select("rel_path", "mtime_ns"), ["rel_path", "mtime_ns"], "left_anti")

@@ -184,6 +184,23 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return dm.snapshot_diff(before, dm.newest_versions(d))
 
 
+def changed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """What an incremental run works on: newest rows added or changed since the day that splits the deliveries, and paths that left the store.
+
+    Paths of chats count as having left it, so that there are some.
+    """
+    d = table(spark, sf, "store_docs").where("rel_path IS NOT NULL")
+    before = dm.newest_versions(d.where(F.col("ingested_at") < F.lit(SPLIT).cast("timestamp_ntz")))
+    work, gone = dm.to_process(before, dm.newest_versions(d.where("NOT rel_path LIKE 'chat/%'")))
+    return work.select("rel_path", "row_id").unionByName(gone.select("rel_path", F.lit(None).cast("bigint").alias("row_id")))
+
+
+def shown_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates that are written as ISO datetimes with an offset or Z, as they are displayed."""
+    d = table(spark, sf, "store_docs").where(r"date RLIKE '^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(Z|[+-]\\d\\d:\\d\\d)$'")
+    return d.select("row_id", canonical.utc_seconds("date").alias("utc"), canonical.shown_utc("date").alias("shown")).where("utc IS NOT NULL")
+
+
 def newest_versions(spark: SparkSession, sf: str) -> DataFrame:
     return dm.newest_versions(table(spark, sf, "store_docs").where("rel_path IS NOT NULL")).select("rel_path", "row_id")
 
@@ -340,7 +357,7 @@ def _key(e: str) -> str:
 def queries() -> dict:
     names = (
         canonical_values, entity_amounts, canon_emails, canon_references, content_hashes, thread_ids, resolve_amendments, pending_amendments, apply_amendments, producer_claims, retractable, queue_rollup,
-        producers_refcount, plan_gc, plan_remove, link_names, cache_misses, snapshot_diff, newest_versions, managed_outdated, invalid_entities_by_type, concurrent_keys, thread_summary,
+        producers_refcount, plan_gc, plan_remove, link_names, cache_misses, snapshot_diff, changed_documents, shown_dates, newest_versions, managed_outdated, invalid_entities_by_type, concurrent_keys, thread_summary,
         directions, shared_references, chat_lines, validate_findings, participant_strings, day_buckets, index_health,
         default_tags, extracted_entities, extracted_values, session_turns, stream_day_counts, retractable_claims,
         current_claims, emitted, markdown_scan, head_findings, new_notes, session_bodies, cache_puts, manifest_merge, producer_lists, amount_forms,
@@ -478,6 +495,12 @@ SELECT processor AS model, count(*) AS n FROM k WHERE NOT coalesce(hit, false) G
 WITH b AS (SELECT * FROM store_docs WHERE rel_path IS NOT NULL AND ingested_at < {split} QUALIFY {newest}), n AS (SELECT * FROM store_docs WHERE rel_path IS NOT NULL QUALIFY {newest})
 SELECT rel_path, CASE WHEN b.row_id IS NULL THEN 'added' WHEN n.row_id IS NULL THEN 'deleted' ELSE 'changed' END AS change
 FROM b FULL JOIN n USING (rel_path) WHERE b.row_id IS NULL OR n.row_id IS NULL OR b.mtime_ns IS DISTINCT FROM n.mtime_ns OR b.sha256 IS DISTINCT FROM n.sha256""",
+        "changed_documents": f"""
+WITH b AS (SELECT * FROM store_docs WHERE rel_path IS NOT NULL AND ingested_at < {split} QUALIFY {newest}), n AS (SELECT * FROM store_docs WHERE rel_path IS NOT NULL AND NOT starts_with(rel_path, 'chat/') QUALIFY {newest})
+SELECT rel_path, n.row_id FROM b FULL JOIN n USING (rel_path) WHERE b.row_id IS NULL OR n.row_id IS NULL OR b.mtime_ns IS DISTINCT FROM n.mtime_ns OR b.sha256 IS DISTINCT FROM n.sha256""",
+        "shown_dates": r"""
+SELECT row_id, strftime(timezone('UTC', t), '%Y-%m-%dT%H:%M:%SZ') AS utc, strftime(timezone('UTC', t), '%Y-%m-%d %H:%M UTC') AS shown
+FROM (SELECT row_id, CAST(date AS TIMESTAMPTZ) AS t FROM store_docs WHERE regexp_matches(date, '^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)$') AND try_cast(date AS TIMESTAMPTZ) IS NOT NULL)""",
         "newest_versions": f"SELECT rel_path, row_id FROM store_docs WHERE rel_path IS NOT NULL QUALIFY {newest}",
         "managed_outdated": f"SELECT processor_version, count(*) AS n FROM store_docs WHERE processor = 'eml' AND processor_version IS DISTINCT FROM '{CURRENT}' GROUP BY 1",
         "invalid_entities_by_type": "SELECT coalesce(e.type, 'unknown') AS type, count(*) AS n FROM (SELECT unnest(entities) AS e FROM store_docs) WHERE e.valid = false GROUP BY 1",
