@@ -283,8 +283,8 @@ def covered(item: Item, doc: list[str]) -> int:
     return len(places)
 
 
-def seeded_shares(seeds: np.ndarray, n_seeds: np.ndarray, weights: np.ndarray, n_weights: np.ndarray, hits: np.ndarray, n_hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each pair the largest share of the weight of a stretch of LEAST_WORDS words of the item that the hits among its seeds hold, and their number.
+def seeded_shares(seeds: np.ndarray, n_seeds: np.ndarray, weights: np.ndarray, n_weights: np.ndarray, hits: np.ndarray, n_hits: np.ndarray) -> np.ndarray:
+    """For each pair the largest share of the weight of a stretch of LEAST_WORDS words of the item that the hits among its seeds hold.
 
     All arrays lie back to back, with their lengths by pair.
     """
@@ -302,7 +302,7 @@ def seeded_shares(seeds: np.ndarray, n_seeds: np.ndarray, weights: np.ndarray, n
     begin = np.arange(len(weights))
     stop = np.minimum(begin + size, np.repeat(ends, n_weights))
     share = np.where(stop - begin == size, (a[stop] - a[begin]) / np.maximum(b[stop] - b[begin], 1e-300), 0.0)
-    return (np.maximum.reduceat(share, starts) if pairs else np.zeros(0)), np.bincount(pair, minlength=pairs)
+    return np.maximum.reduceat(share, starts) if pairs else np.zeros(0)
 
 
 def telling_seeds(seeds: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -525,12 +525,12 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
             parts = []
             for column in (batch.column(3), batch.column(4), batch.column(2)):
                 parts += [column.flatten().to_numpy(), pc.list_value_length(column).to_numpy().astype(np.int64)]
-            shares, hits = seeded_shares(*parts)
-            keep = np.flatnonzero((shares >= SEEDED) & (hits >= batch.column(5).to_numpy()))
+            keep = np.flatnonzero(seeded_shares(*parts) >= SEEDED)
             yield batch.take(pa.array(keep, pa.int64())).select(["uid", "p"])
 
     both = pairs.join(candidates.select("uid", F.col("seeds").alias("hit")), "uid").join(prepared.select("p", "seeds", "weights", "need"), "p")
-    chosen = both.select("uid", "p", "hit", "seeds", "weights", "need").mapInArrow(promising, "uid bigint, p bigint")
+    shared_seeds = both.select("uid", "p", F.array_intersect("hit", "seeds").alias("hit"), "seeds", "weights", "need").where(F.size("hit") >= F.col("need"))
+    chosen = shared_seeds.select("uid", "p", "hit", "seeds", "weights").mapInArrow(promising, "uid bigint, p bigint")
 
     item_type = to_arrow_type(items.schema[item_key].dataType)
 

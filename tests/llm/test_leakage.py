@@ -161,7 +161,7 @@ def test_no_pair_is_tiled_without_a_telling_seed():
         told = set(lk.telling_seeds(seeds, weights).tolist())
         rest = np.array(sorted(set(seeds.tolist()) - told), np.int64)
         if len(rest):
-            shares, _ = lk.seeded_shares(seeds, np.array([len(seeds)]), weights, np.array([n]), rest, np.array([len(rest)]))
+            shares = lk.seeded_shares(seeds, np.array([len(seeds)]), weights, np.array([n]), rest, np.array([len(rest)]))
             assert shares[0] < lk.SEEDED
     # A common phrase tells nothing, the rare words beside it do.
     weights = np.array(([0.1] * 8 + [9.0] * 2) * 6)
