@@ -8,6 +8,10 @@ spellings and initials, and so matches records (initials, abbreviations, bare
 surnames) that no single spelling did.  Merged profiles go into blocking again
 until nothing merges.  A record that fits several profiles equally is ambiguous
 and stays apart.
+
+All tables grow with the collection, and a Python step makes many keys of a short
+row, which the optimizer doesn't foresee.  So joins are told to merge: none sends
+a table through the driver to all tasks.
 """
 
 from __future__ import annotations
@@ -231,12 +235,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        spread = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        spread = both.join(labels.hint("merge"), both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         own = labels.select(F.col("node").alias("at"), F.col("label").alias("jump"))
         new = (
-            labels.join(spread, "node")
+            labels.join(spread.hint("merge"), "node")
             .withColumn("low", F.least("label", "near"))
-            .join(own, F.col("low") == F.col("at"), "left")
+            .join(own.hint("merge"), F.col("low") == F.col("at"), "left")
             .select("node", F.least("low", F.coalesce("jump", "low")).alias("new"), "label")
         )
         new = cut(new)
@@ -289,24 +293,24 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocked(keyed: DataFrame, all_keyed: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of profiles of which one is in ``keyed``, the other in ``all_keyed`` (id, key), that share a key."""
-    both = keyed.withColumnRenamed("id", "x").join(all_keyed.withColumnRenamed("id", "y"), "key").where("x <> y")
+    both = keyed.withColumnRenamed("id", "x").join(all_keyed.withColumnRenamed("id", "y").hint("merge"), "key").where("x <> y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _together(members: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of profiles (id, tokens) that share a close key and an address (places: sig, address), however many stand there."""
-    keyed = _keyed(members, close_keys).join(places.withColumnRenamed("sig", "id"), "id")
+    keyed = _keyed(members, close_keys).join(places.withColumnRenamed("sig", "id").hint("merge"), "id")
     right = keyed.select("address", "key", F.col("id").alias("b"))
-    return keyed.withColumnRenamed("id", "a").join(right, ["address", "key"]).where("a < b").select("a", "b").distinct()
+    return keyed.withColumnRenamed("id", "a").join(right.hint("merge"), ["address", "key"]).where("a < b").select("a", "b").distinct()
 
 
 def _matched(candidates: DataFrame, members: DataFrame) -> DataFrame:
     """The candidate pairs (a, b, close) that are spellings of one name."""
     own = members.select("id", "tokens", "freq")
-    full = candidates.join(own.toDF("a", "ta", "fa"), "a").join(own.toDF("b", "tb", "fb"), "b")
+    full = candidates.join(own.toDF("a", "ta", "fa").hint("merge"), "a").join(own.toDF("b", "tb", "fb").hint("merge"), "b")
     told = written(full.select("a", "b", "ta", "fa", "tb", "fb", "close").mapInArrow(_verify, "a string, b string, low string, high string, n int, holder string"), "names-told")
     beside = told.where("low IS NOT NULL").groupBy("low", "high").agg(F.countDistinct("holder").alias("held"), F.max("n").alias("n")).where(F.col("held") >= F.lit(BESIDE) * F.col("n"))
-    return told.where("low IS NULL").select("a", "b").union(told.join(beside.select("low", "high"), ["low", "high"]).select("a", "b"))
+    return told.where("low IS NULL").select("a", "b").union(told.join(beside.select("low", "high").hint("merge"), ["low", "high"]).select("a", "b"))
 
 
 def fitting_keys(tokens: list[str], initials: list[str], joins: list[str], legals: list[str], org: bool) -> set[str]:
@@ -345,14 +349,14 @@ def _attachable(records: DataFrame, keyed: DataFrame, known: DataFrame, places:
     """
     spread = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     ends = [F.min("low").alias("low"), F.max("high").alias("high")]
-    fits = records.join(spread, "key").groupBy("sig", "level").agg(*ends)
+    fits = records.join(spread.hint("merge"), "key").groupBy("sig", "level").agg(*ends)
     first = Window.partitionBy("sig").orderBy("level")
     fits = fits.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
     # The profiles under whose addresses the record stands too.
-    homes = places.join(known, "sig").select("address", F.col("label").alias("id")).distinct()
-    near = keyed.join(homes, "id").groupBy("key", "address").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    beside = records.join(places, "sig").join(near, ["key", "address"]).groupBy("sig", "level").agg(F.min("low").alias("near_low"), F.max("high").alias("near_high"))
-    judged = fits.join(beside, ["sig", "level"], "left")
+    homes = places.join(known.hint("merge"), "sig").select("address", F.col("label").alias("id")).distinct()
+    near = keyed.join(homes.hint("merge"), "id").groupBy("key", "address").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    beside = records.join(places.hint("merge"), "sig").join(near.hint("merge"), ["key", "address"]).groupBy("sig", "level").agg(F.min("low").alias("near_low"), F.max("high").alias("near_high"))
+    judged = fits.join(beside.hint("merge"), ["sig", "level"], "left")
     home = F.col("near_low") == F.col("near_high")
     alone = F.col("near_low").isNull() & (F.col("low") == F.col("high"))
     return judged.where(home | alone).select("sig", F.coalesce("near_low", "low").alias("label"))
@@ -373,7 +377,7 @@ def link_names(spellings: DataFrame) -> DataFrame:
     parsed = parsed.withColumn("sig", F.when(F.size("tokens") > 0, F.col("sig")).otherwise(F.concat(F.lit("="), F.col("name"))))
     flags = seen.groupBy("name").agg(F.max("org").alias("org"))
     sigs = (
-        parsed.join(flags, "name")
+        parsed.join(flags.hint("merge"), "name")
         .groupBy("sig")
         .agg(
             F.first("tokens").alias("tokens"),
@@ -388,10 +392,10 @@ def link_names(spellings: DataFrame) -> DataFrame:
     sigs = written(sigs, "names-sigs")
     spread = sigs.select("sig", F.posexplode("tokens").alias("at", "token"))
     counts = spread.groupBy("token").agg(F.count("*").cast("int").alias("n"))
-    freq = spread.join(counts, "token").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).getField("n").alias("freq"))
-    members = written(sigs.join(freq, "sig").where(F.size("tokens") > 1).select(F.col("sig").alias("id"), "tokens", "freq"), "names-members")
+    freq = spread.join(counts.hint("merge"), "token").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).getField("n").alias("freq"))
+    members = written(sigs.join(freq.hint("merge"), "sig").where(F.size("tokens") > 1).select(F.col("sig").alias("id"), "tokens", "freq"), "names-members")
 
-    places = seen.where(F.col("address") != "").join(parsed.select("name", "sig"), "name").select("sig", "address").distinct()
+    places = seen.where(F.col("address") != "").join(parsed.select("name", "sig").hint("merge"), "name").select("sig", "address").distinct()
     places = written(places, "names-places")
 
     profiles = _keyed(members, pair_keys)
@@ -399,7 +403,7 @@ def link_names(spellings: DataFrame) -> DataFrame:
     together = _together(members, places).withColumn("close", F.lit(True))
     edges = written(_matched(blocked.union(together), members), "names-edges")
     labels = components(edges)
-    known = members.select(F.col("id").alias("sig")).join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"))
+    known = members.select(F.col("id").alias("sig")).join(labels.withColumnRenamed("node", "sig").hint("merge"), "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"))
     known = written(known, "names-known")
     merged = written(_merged(known, sigs, freq), "names-merged")
     keyed = written(_profile_keys(merged), "names-keys")
@@ -409,28 +413,28 @@ def link_names(spellings: DataFrame) -> DataFrame:
     while True:
         # Richer profiles are blocked again, by the union of their words; those that nothing was merged into are only met.
         pairs = keyed.where("kind = 'pair'").select("id", "key")
-        again = _matched(_blocked(pairs.join(changed, "id", "left_semi"), pairs).withColumn("close", F.lit(False)), merged)
+        again = _matched(_blocked(pairs.join(changed.hint("merge"), "id", "left_semi"), pairs).withColumn("close", F.lit(False)), merged)
         again = written(again, "names-again")
-        loose = records.join(known.select("sig"), "sig", "left_anti")
+        loose = records.join(known.select("sig").hint("merge"), "sig", "left_anti")
         attached = written(_attachable(loose, keyed.where("kind = 'fit'").select("id", "key"), known, places), "names-attached")
         if not again.limit(1).count() and not attached.limit(1).count():
             break
         moves = written(components(again).select(F.col("node").alias("label"), F.col("label").alias("to")), "names-moves")
-        known = known.union(attached.select("sig", "label")).join(moves, "label", "left").select("sig", F.coalesce("to", "label").alias("label"))
+        known = known.union(attached.select("sig", "label")).join(moves.hint("merge"), "label", "left").select("sig", F.coalesce("to", "label").alias("label"))
         known = written(known, "names-known")
         touched = moves.select(F.col("label").alias("id")).union(attached.select(F.col("label").alias("id"))).distinct()
-        changed = written(touched.join(moves.withColumnRenamed("label", "id"), "id", "left").select(F.coalesce("to", "id").alias("id")).distinct(), "names-changed")
-        renewed = written(_merged(known.join(changed.withColumnRenamed("id", "label"), "label", "left_semi"), sigs, freq), "names-renewed")
+        changed = written(touched.join(moves.withColumnRenamed("label", "id").hint("merge"), "id", "left").select(F.coalesce("to", "id").alias("id")).distinct(), "names-changed")
+        renewed = written(_merged(known.join(changed.withColumnRenamed("id", "label").hint("merge"), "label", "left_semi"), sigs, freq), "names-renewed")
         gone = touched.union(changed).distinct()
-        merged = written(merged.join(gone, "id", "left_anti").unionByName(renewed), "names-merged")
-        keyed = written(keyed.join(gone, "id", "left_anti").unionByName(_profile_keys(renewed)), "names-keys")
-    return parsed.select("name", "sig").join(known, "sig", "left").select("name", F.coalesce("label", "sig").alias("entity"))
+        merged = written(merged.join(gone.hint("merge"), "id", "left_anti").unionByName(renewed), "names-merged")
+        keyed = written(keyed.join(gone.hint("merge"), "id", "left_anti").unionByName(_profile_keys(renewed)), "names-keys")
+    return parsed.select("name", "sig").join(known.hint("merge"), "sig", "left").select("name", F.coalesce("label", "sig").alias("entity"))
 
 
 def _merged(known: DataFrame, sigs: DataFrame, freq: DataFrame) -> DataFrame:
     """Merged profiles of ``known`` (sig, label): the union of the words, initials, legal forms and joined spellings of their signatures."""
     union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    merged = known.join(sigs, "sig").join(freq, "sig", "left").groupBy("label").agg(
+    merged = known.join(sigs.hint("merge"), "sig").join(freq.hint("merge"), "sig", "left").groupBy("label").agg(
         F.count("*").alias("n_sigs"), union(F.arrays_zip("tokens", "freq")).alias("words"), union("initials").alias("initials"), F.max("org").alias("org"), union("legals").alias("legals"), union("joins").alias("joins")
     )
     # A word that stands alone in an attached record has no count of its own there.
@@ -469,7 +473,7 @@ def variant_pairs(spellings: DataFrame) -> DataFrame:
     """``name_a, name_b`` (``name_a < name_b`` by code points) of spellings of one entity."""
     linked = written(link_names(spellings), "names-linked")
     left, right = linked.toDF("name_a", "entity"), linked.toDF("name_b", "entity")
-    return left.join(right, "entity").where("name_a < name_b").select("name_a", "name_b")
+    return left.join(right.hint("merge"), "entity").where("name_a < name_b").select("name_a", "name_b")
 
 
 def store_spellings(store_docs: DataFrame) -> DataFrame:

@@ -130,3 +130,18 @@ def test_a_common_word_makes_no_pairs(spark):
     crowd = [(f"Thomas {a}{b}{c}eling", f"{a}{b}{c}@x.example", False) for a in ("Bor", "Dul", "Fam", "Gep", "Hil", "Jon", "Kum", "Len", "Mar", "Nib") for b in ("ta", "ko", "ri", "su", "pe") for c in ("dr", "st", "lm", "rk")]
     assert ["Thomas"] in linked(spark, crowd + [("Thomas", None, False)])
     assert ["Thomas", "Thomas Bortadreling"] in linked(spark, crowd + [("Thomas", "BORtadr@x.example", False)])
+
+
+def test_no_table_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def noted(plain):
+        return lambda df, *stem: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df, *stem))[1]
+
+    monkeypatch.setattr(nm, "written", noted(nm.written))
+    monkeypatch.setattr(nm, "cut", noted(nm.cut))
+    df = spark.createDataFrame([(n, "t@x.example", False) for n in PEOPLE], "name string, address string, org boolean")
+    last = nm.variant_pairs(df)
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert last.count() and sum("SortMergeJoin" in p for p in plans) > 10
+    assert not any("Broadcast" in p or "ShuffledHashJoin" in p for p in plans)
