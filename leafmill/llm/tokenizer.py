@@ -1,10 +1,10 @@
 """Encoding a whole corpus with a public byte-level BPE vocabulary.
 
-The words of a bounded sample of rows are counted, pre-aggregated per task; the
-most frequent are merged once on the driver and compiled into a transducer
-lexicon that all workers map from the shared folder.  One pass over the corpus
-looks words up there and merges unseen ones exactly by rank, so the ids depend
-neither on the sample nor on the lexicon.  Nothing but word counts is shuffled.
+The words of all rows are counted, pre-aggregated per task; the most frequent
+are merged once on the driver and compiled into a transducer lexicon that all
+workers map from the shared folder.  A second pass over the corpus looks words
+up there and merges unseen ones exactly by rank, so the ids do not depend on the
+lexicon.  Nothing but word counts is shuffled.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import lexicon as lx
-from leafmill.session import put_file
+from leafmill.session import put_file, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the word pattern of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that the lexicon holds at most; bounds the driver's part and the file.
 LEXICON_WORDS = 60_000
-#: Rows, about, whose words are counted for it; which words the lexicon holds decides on speed alone.
-SAMPLE_ROWS = 10_000
+#: None: the words of all rows are counted for it.  A number, where a caller sets one: of about so many rows.
+SAMPLE_ROWS: int | None = None
 #: Words that a task counts before it hands the counts on, and that a worker remembers.
 TASK_WORDS = 200_000
 #: Longer words stay out of the lexicon and are merged where they occur.
@@ -98,13 +98,15 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def build_lexicon(df: DataFrame, text: str, ranks: dict[bytes, int], words: int = LEXICON_WORDS) -> bytes:
-    """The lexicon file's content for the most frequent words of a sample of a corpus."""
-    share = SAMPLE_ROWS / max(1, df.count())
-    # By the place of a row, so that copies of a text come in proportion.
-    placed = df.select(text).withColumn("__place", F.monotonically_increasing_id())
-    sample = df if share >= 1 else placed.where(F.pmod(F.xxhash64("__place"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = word_counts(sample, text).where((F.col("n") > 1) & (F.octet_length("word") <= LEXICON_BYTES))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    """The lexicon file's content for the most frequent words of a corpus."""
+    counted = df
+    if SAMPLE_ROWS is not None and (share := SAMPLE_ROWS / max(1, df.count())) < 1:
+        # By the place of a row, so that copies of a text come in proportion.
+        placed = df.select(text).withColumn("__place", F.monotonically_increasing_id())
+        counted = placed.where(F.pmod(F.xxhash64("__place"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = word_counts(counted, text).where((F.col("n") > 1) & (F.octet_length("word") <= LEXICON_BYTES))
+    # Written first: a collected limit would send each partition's most frequent words to the driver.
+    top = written(counts.orderBy(F.desc("n"), "word").limit(words).select("word"), "lexicon-words").collect()
     return lx.build((word := row[0].encode(), merge(word, ranks)) for row in top)
 
 

@@ -83,3 +83,12 @@ def test_a_sampled_lexicon_changes_no_ids(spark, monkeypatch):
     monkeypatch.setattr(tk, "word_counts", lambda d, t: (seen.append(d.count()), plain(d, t))[1])
     assert {r.doc_id: r.ids for r in tk.encode_corpus(df, "doc_id", "text").collect()} == whole and len(whole) == 600
     assert 5 < seen[0] < 120
+
+
+def test_words_of_all_rows_are_counted(spark, monkeypatch):
+    # More rows than were once counted; a word that is rare in all of them is still in the lexicon.
+    df = spark.range(12_000).selectExpr("id AS doc_id", "IF(id % 6000 = 77, 'xylograph', 'plain') AS text")
+    kept, plain = [], tk.word_counts
+    monkeypatch.setattr(tk, "word_counts", lambda d, t: (kept.append((d.count(), plain(d, t))), kept[-1][1])[1])
+    assert tk.encode_corpus(df, "doc_id", "text").count() == 12_000
+    assert kept[0][0] == 12_000 and {r.word: r.n for r in kept[0][1].collect()} == {"xylograph": 2, "plain": 11_998}
